@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import computed_once
 from urlsight.functions.score import label_score
 from urlsight.sinks.messages import url_message
 
@@ -116,9 +117,8 @@ def ct_messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
         F.lit("."), host, F.lit('"]}}}'),
     )
     value = F.when(F.col("event_id") % 50 == 49, F.lit("test message")).otherwise(body)
-    return on_pages(spark, sf_dir, events).select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), value.alias("value")
-    )
+    sent = computed_once(on_pages(spark, sf_dir, events), "value", value)
+    return sent.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
 def ct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def ct_search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One search response per record; every fiftieth is an error page."""
     record = F.to_json(F.array(F.struct("id", "name_value", "common_name")))
     body = F.when(F.col("id") % 50 == 0, F.lit("<html>busy</html>")).otherwise(record)
-    return ct_records(spark, sf_dir).select(body.alias("value"))
+    return computed_once(ct_records(spark, sf_dir), "value", body).select("value")
 
 
 def envelopes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
@@ -158,9 +158,8 @@ def envelopes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None)
         .when(F.col("event_id") % 10 == 7, F.lit("{}"))
         .otherwise(url_message(urls))
     )
-    return on_pages(spark, sf_dir, events).select(
-        "event_id", F.base64(F.encode(text, "UTF-8")).alias("data")
-    )
+    data = F.base64(F.encode(text, "UTF-8"))
+    return computed_once(on_pages(spark, sf_dir, events), "data", data).select("event_id", "data")
 
 
 def submissions(
@@ -181,4 +180,5 @@ def submissions(
     second = F.when(F.col("event_type") == "error", F.lit('"high"')).otherwise(score)
     extra = F.when(F.col("event_id") % 20 == 3, F.lit(',"note":"x"')).otherwise(F.lit(""))
     body = F.concat(F.lit("["), row(score, F.lit("")), F.lit(","), row(second, extra), F.lit("]"))
-    return classify_events(spark, sf_dir, events).select("event_id", body.alias("value"))
+    sent = computed_once(classify_events(spark, sf_dir, events), "value", body)
+    return sent.select("event_id", "value")

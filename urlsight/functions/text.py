@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, TimestampType
 
+from urlsight.functions.rows import let
+
 # What is removed from a URL before scoring, and what a host is.
 SCHEME_OR_WWW = r"https?://|www\."
 HOST = r"(?:https?://)?(?:www\.)?([^/]+)"
@@ -61,6 +63,15 @@ def extract_domain(url: Column) -> Column:
     return F.nullif(F.regexp_extract(url, HOST, 1), F.lit(""))
 
 
+def has_domain(url: Column) -> Column:
+    """Whether ``extract_domain`` finds one: any character but a slash will do.
+
+    Cheaper in a filter than testing the extracted domain, which would run the pattern
+    twice per row.
+    """
+    return F.btrim(url, F.lit("/")) != ""
+
+
 def url_prefix(url: Column, length: int = 80) -> Column:
     """Display form of a URL."""
     return F.substring(url, 1, length)
@@ -78,8 +89,13 @@ def certificate_names(name_value: Column, common_name: Column) -> Column:
     """
     lines = F.transform(F.split(F.coalesce(name_value, F.lit("")), "\n"), strip)
     names = F.filter(lines, lambda name: name != "")
-    extra = (F.coalesce(common_name, F.lit("")) != "") & ~F.array_contains(names, common_name)
-    return F.when(extra, F.array_append(names, common_name)).otherwise(names)
+    named = F.coalesce(common_name, F.lit("")) != ""
+
+    def with_common(listed: Column) -> Column:
+        extra = named & ~F.array_contains(listed, common_name)
+        return F.when(extra, F.array_append(listed, common_name)).otherwise(listed)
+
+    return let(names, with_common)
 
 
 def iso_timestamp(moment: Column) -> Column:

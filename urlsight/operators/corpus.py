@@ -7,6 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import computed_once
 from urlsight.operators.ranking import hash_key, key_at_rank
 
 TRAIN, TEST, VALIDATION = "train", "test", "validation"
@@ -63,14 +64,15 @@ def balance_split(corpus: DataFrame, train: float = 0.8, seed: int = 42) -> Data
     """
     counts = _counts(corpus)
     size = min(counts.get(0, 0), counts.get(1, 0))
-    key = hash_key(seed)
+    keyed = computed_once(corpus, "_key", hash_key(seed))
+    key = F.col("_key")
     train_size = int(size * train)
     wanted = {(label, rank) for label in (0, 1) for rank in (train_size, size)}
-    cuts = key_at_rank(corpus, key, "label", sorted(wanted))
+    cuts = key_at_rank(keyed, key, "label", sorted(wanted))
     part = F.when(_upto(cuts, train_size, key), F.lit(TRAIN)).when(
         _upto(cuts, size, key), F.lit(TEST)
     )
-    return corpus.withColumn("part", part).filter(F.col("part").isNotNull())
+    return keyed.withColumn("part", part).filter(F.col("part").isNotNull()).drop("_key")
 
 
 def train_sizes(counts: dict[int, int], fraction: float) -> dict[int, int]:
@@ -92,11 +94,12 @@ def train_sizes(counts: dict[int, int], fraction: float) -> dict[int, int]:
 def stratified_split(corpus: DataFrame, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """``train`` and ``validation`` with the classes in proportion; URLs must be distinct."""
     counts = _counts(corpus)
-    key = hash_key(seed)
+    keyed = computed_once(corpus, "_key", hash_key(seed))
+    key = F.col("_key")
     sizes = train_sizes(counts, fraction)
-    cuts = key_at_rank(corpus, key, "label", sorted(sizes.items()))
+    cuts = key_at_rank(keyed, key, "label", sorted(sizes.items()))
     part = F.when(_upto(cuts, sizes, key), F.lit(TRAIN)).otherwise(F.lit(VALIDATION))
-    return corpus.withColumn("part", part)
+    return keyed.withColumn("part", part).drop("_key")
 
 
 def shuffle_corpus(corpus: DataFrame, seed: int = 42) -> DataFrame:

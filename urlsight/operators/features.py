@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import unnest
 from urlsight.functions.text import characters, model_text, normalize_url
 
 VOCABULARY = 128
@@ -19,7 +20,7 @@ def char_vocab(
     """Learned characters ``(id, token, n)``: most frequent first, higher character on ties."""
     text = model_text(normalize_url(F.col(url)), strip_punct)
     counted = (
-        df.select(F.explode(characters(text)).alias("token"))
+        unnest(df.select(characters(text).alias("tokens")), "tokens", "token")
         .groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     )
     order = [F.col("n").desc(), F.col("token").desc()]
@@ -78,7 +79,7 @@ def with_grams(
 
 def gram_counts(df: DataFrame, url: str = "url", widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Number of rows that contain each n-gram."""
-    exploded = with_grams(df.select(url), url, widths).select(F.explode("grams").alias("gram"))
+    exploded = unnest(with_grams(df.select(url), url, widths).select("grams"), "grams", "gram")
     return (
         exploded.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
         .select(F.length("gram").alias("width"), "gram", "n")

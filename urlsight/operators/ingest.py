@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from urlsight.functions.predicates import is_wildcard
+from urlsight.functions.rows import unnest
+
+
+PUBLISHED = "published"
 
 
 def record_key(*parts: str) -> Column:
@@ -20,8 +25,7 @@ def record_key(*parts: str) -> Column:
 
 def explode_domains(df: DataFrame, names: str, name: str = "domain") -> DataFrame:
     """One row per listed name, with its place ``pos`` in the list."""
-    keep = [c for c in df.columns if c != names]
-    return df.select(*keep, F.posexplode(names).alias("pos", name))
+    return unnest(df, names, name, "pos")
 
 
 def drop_wildcards(df: DataFrame, name: str = "url") -> DataFrame:
@@ -79,10 +83,20 @@ def published_counters() -> list[Column]:
     ]
 
 
-def count_published(messages: DataFrame, observation: Observation | str) -> DataFrame:
-    """The same rows, counted on their way to the sink.
+def count_published(messages: DataFrame, name: str = PUBLISHED) -> DataFrame:
+    """The same rows, counted on their way to the sink; the progress events carry the counts."""
+    return messages.observe(name, *published_counters())
+
+
+def published_so_far(query: StreamingQuery, name: str = PUBLISHED) -> dict[str, int]:
+    """Sum of the counts over the progress events the query still keeps.
 
-    Read the counts from the observation, or for a stream, where it is a name, from the
-    progress events.
+    A query keeps ``spark.sql.streaming.numRecentProgressUpdates`` of them; ask in time,
+    or add up the same field in a listener.
     """
-    return messages.observe(observation, *published_counters())
+    counts = {"batches": 0, "domains": 0}
+    for progress in query.recentProgress:
+        observed = progress["observedMetrics"].get(name)
+        for key in counts if observed else ():
+            counts[key] += observed[key]
+    return counts

@@ -11,6 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import unnest
 from urlsight.functions.score import THRESHOLD
 from urlsight.operators.corpus import class_weights
 from urlsight.operators.features import WIDTHS, with_grams
@@ -31,7 +32,7 @@ def train_table(corpus: DataFrame, width: int = TABLE_GRAM) -> DataFrame:
         F.coalesce(F.sum(1 - F.col("label")), F.lit(0)).alias("neg"),
     )).scalar()
     grams = with_grams(corpus.select("url", "label"), widths=(width,))
-    counted = grams.select(F.explode("grams").alias("gram"), "label").groupBy("gram").agg(
+    counted = unnest(grams.select("grams", "label"), "grams", "gram").groupBy("gram").agg(
         F.sum("label").cast("bigint").alias("pos"),
         F.sum(1 - F.col("label")).cast("bigint").alias("neg"),
     )

@@ -8,6 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import unnest
 from urlsight.functions.score import THRESHOLD, label_score, round_score
 from urlsight.operators.features import with_grams
 from urlsight.operators.model import TABLE_GRAM, predict
@@ -50,7 +51,7 @@ def score_with_table(
     so the n-grams are never shuffled.
     """
     urls = df.select("url").distinct()
-    grams = with_grams(urls, widths=(width,)).select("url", F.explode("grams").alias("gram"))
+    grams = unnest(with_grams(urls, widths=(width,)), "grams", "gram")
     found = _log_odds(grams, table, broadcast_rows)
     sums = found.groupBy("url").agg(F.sum("log_odds").alias("_sum"))
     return (

@@ -307,8 +307,11 @@ select event_id, cast(unnest(range(len(domains))) as integer) as pos, unnest(dom
 from ct_messages where kind = 'certificate_update'""")
 ORACLES["regroup_by_cert"] = (("batches",), "select id, array_to_string(urls, '|') as urls from batches")
 ORACLES["max_id_mark"] = (("ct_records",), "select max(id) as max_cert_id from ct_records where id <> 0")
-ORACLES["ingest_counters"] = (("batches",), """
-select count(*) as batches, cast(sum(len(urls)) as bigint) as domains from batches""")
+ORACLES["ingest_counters"] = (("ct_messages",), f"""
+select count(*) as batches, cast(sum(n) as bigint) as domains
+from (select len(list_filter(domains, lambda domain: {_valid})) as n
+      from ct_messages where kind = 'certificate_update')
+where n > 0""")
 
 # ------------------------------------------------------------------ dashboard
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.functions.score import BENIGN, MALICIOUS, is_malicious, length_band, score_band
-from urlsight.functions.text import extract_domain
+from urlsight.functions.text import extract_domain, has_domain
 from urlsight.sources.table import since
 
 AsOf = datetime | Column | None
@@ -101,9 +101,8 @@ def detection_rate(df: DataFrame, as_of: AsOf = None, interval: str = "7 DAYS")
 def top_domains(df: DataFrame, k: int = 15) -> DataFrame:
     """The domains with the most malicious rows."""
     return (
-        df.filter(F.col("classification") == MALICIOUS)
+        df.filter((F.col("classification") == MALICIOUS) & has_domain(F.col("url")))
         .select(extract_domain(F.col("url")).alias("domain"), "score")
-        .filter(F.col("domain").isNotNull())
         .groupBy("domain")
         .agg(F.count(F.lit(1)).alias("count"), F.avg("score").alias("avg_confidence"))
         .orderBy(F.col("count").desc(), "domain")

@@ -345,7 +345,7 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     counted = placed.groupBy("truth", "bin").agg(F.count(F.lit(1)).alias("count"))
     spine = ranges.select(
         "truth", "lo", "hi", "width",
-        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"),
     )
     return spine.join(counted, ["truth", "bin"], "left").select(
         "truth", "bin",

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight import fixtures as fx
-from urlsight.functions import predicates, score, text
+from urlsight.functions import predicates, rows, score, text
 from urlsight.operators import corpus, features, ingest, model, ranking, scoring
 from urlsight.plans import dashboard, evaluation
 from urlsight.session import shared_dir
@@ -287,13 +287,16 @@ def max_id_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    published = Observation("published")
-    counted = ingest.count_published(_batches(spark, sf_dir), published)
-    out.write_messages(out.url_messages(counted), shared_dir(spark, "batches"))
-    row = published.get
-    return spark.createDataFrame(
-        [(row["batches"], row["domains"])], "batches bigint, domains bigint"
+    stream = fx.ct_messages(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
+    updates = messages.good_rows(messages.parse_ct_messages(stream))
+    urls = predicates.valid_names(F.col("all_domains")).alias("urls")
+    batches = ingest.count_published(updates.select(urls).filter(F.size("urls") > 0))
+    writer = out.url_messages(batches).writeStream.format("text").option(
+        "checkpointLocation", shared_dir(spark, "checkpoint")
     )
+    query = jobs.drain(writer.option("path", shared_dir(spark, "batches")))
+    counts = ingest.published_so_far(query)
+    return spark.createDataFrame([counts], "batches bigint, domains bigint")
 
 
 # ------------------------------------------------------------------ dashboard
@@ -591,7 +594,9 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         jobs.ingest_stream(stream, path, shared_dir(spark, "checkpoint"), horizon=REPLAY_DELAY)
     )
     urls = F.from_json("value", "urls array<string>")["urls"]
-    return spark.read.text(path).select(F.explode(urls).alias("domain"))
+    return spark.read.text(path).select(urls.alias("urls")).transform(
+        rows.unnest, "urls", "domain"
+    )
 
 
 def _event_files(spark: SparkSession, sf_dir: str, path: str) -> None:

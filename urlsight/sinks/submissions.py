@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import computed_once, unnest
 from urlsight.schemas import CLASSIFIED
 from urlsight.sinks.table import write_classified
 from urlsight.sources.messages import good_rows
@@ -27,7 +28,7 @@ def _fits(row: Column) -> Column:
 
 def parse_submissions(df: DataFrame, body: str = "value") -> DataFrame:
     """Requests with their typed ``rows``, or an ``error`` if any row is invalid."""
-    parsed = df.withColumn("_rows", F.from_json(F.col(body), _ROWS))
+    parsed = computed_once(df, "_rows", F.from_json(F.col(body), _ROWS))
     error = (
         F.when(F.col("_rows").isNull(), F.lit("not a JSON list of objects"))
         .when(~F.forall("_rows", _fits), F.lit("invalid row"))
@@ -48,12 +49,8 @@ def parse_submissions(df: DataFrame, body: str = "value") -> DataFrame:
 
 def accepted_rows(parsed: DataFrame) -> DataFrame:
     """The rows of the accepted requests in the shape of the classified table."""
-    keep = [c for c in good_rows(parsed).columns if c != "rows"]
-    return (
-        good_rows(parsed)
-        .select(*keep, F.explode("rows").alias("_row"))
-        .select(*keep, "_row.*")
-    )
+    rows = unnest(good_rows(parsed), "rows", "_row")
+    return rows.select(*[c for c in rows.columns if c != "_row"], "_row.*")
 
 
 def submit(df: DataFrame, path: str, body: str = "value") -> DataFrame:

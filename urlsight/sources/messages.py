@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.functions.predicates import has_monitored_tld
+from urlsight.functions.rows import computed_once, unnest
 from urlsight.schemas import CERT_MESSAGE, CERT_RECORDS, CORRUPT, URL_BATCH
 
 CERT_UPDATE = "certificate_update"
@@ -30,7 +31,6 @@ def parse_ct_messages(df: DataFrame, body: str = "value") -> DataFrame:
     with its ``error``.
     """
     message = F.from_json(F.col(body), CERT_MESSAGE, {"columnNameOfCorruptRecord": CORRUPT})
-    parsed = df.withColumn("_message", message)
     domains = F.col("_message.data.leaf_cert.all_domains")
     malformed = F.col("_message").isNull() | F.col(f"_message.{CORRUPT}").isNotNull()
     update = F.col("_message.message_type") == CERT_UPDATE
@@ -39,7 +39,8 @@ def parse_ct_messages(df: DataFrame, body: str = "value") -> DataFrame:
         .when(update & domains.isNull(), F.lit("no domain list"))
     )
     return (
-        parsed.withColumn("all_domains", domains)
+        computed_once(df, "_message", message)
+        .withColumn("all_domains", domains)
         .withColumn("error", error)
         .filter(F.col("error").isNotNull() | update)
         .drop("_message")
@@ -51,23 +52,17 @@ def parse_ct_search(df: DataFrame, body: str = "value") -> DataFrame:
 
     A body that is not a JSON array keeps its ``error``.
     """
-    records = F.from_json(F.col(body), CERT_RECORDS)
     is_array = F.coalesce(F.ltrim(F.col(body)).startswith("["), F.lit(False))
-    return df.withColumn("records", F.when(is_array, records)).withColumn(
-        "error",
-        F.when(~is_array, F.lit("not a JSON array"))
-        .when(F.col("records").isNull(), F.lit("malformed JSON array")),
+    records = F.when(is_array, F.from_json(F.col(body), CERT_RECORDS))
+    return computed_once(df, "records", records).withColumn(
+        "error", F.when(F.col("records").isNull(), F.lit("not a JSON array of objects"))
     )
 
 
 def search_records(parsed: DataFrame) -> DataFrame:
     """One row ``(id, name_value, common_name)`` per certificate record."""
-    return (
-        good_rows(parsed)
-        .select(F.explode("records").alias("record"))
-        .filter(F.col("record").isNotNull())
-        .select("record.*")
-    )
+    records = unnest(good_rows(parsed).select("records"), "records", "record")
+    return records.filter(F.col("record").isNotNull()).select("record.*")
 
 
 def newer_than(records: DataFrame, mark: int | Column | None) -> DataFrame:
@@ -88,12 +83,15 @@ def decode_envelopes(df: DataFrame, data: str = "data") -> DataFrame:
     cleaned = F.regexp_replace(F.col(data), "[^A-Za-z0-9+/=]", "")
     text = F.try_validate_utf8(F.try_to_binary(cleaned, F.lit("base64")).cast("string"))
     batch = F.from_json(text, URL_BATCH, {"columnNameOfCorruptRecord": CORRUPT})
-    parsed = df.withColumn("_text", text).withColumn("_batch", batch)
     urls = F.coalesce(F.col("_batch.urls"), F.array().cast("array<string>"))
-    malformed = F.col("_batch").isNull() | F.col(f"_batch.{CORRUPT}").isNotNull()
     error = (
-        F.when(F.coalesce(F.col("_text"), F.lit("")) == "", F.lit("not base64 of UTF-8 text"))
-        .when(malformed, F.lit("not a JSON object"))
+        F.when(F.col("_batch").isNull(), F.lit("not base64 of UTF-8 text"))
+        .when(F.col(f"_batch.{CORRUPT}").isNotNull(), F.lit("not a JSON object"))
         .when(F.exists(urls, lambda u: u.isNull()), F.lit("empty entry in the URL list"))
     )
-    return parsed.withColumn("urls", urls).withColumn("error", error).drop("_text", "_batch")
+    return (
+        computed_once(df, "_batch", batch)
+        .withColumn("urls", urls)
+        .withColumn("error", error)
+        .drop("_batch")
+    )

@@ -17,6 +17,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from urlsight.functions.predicates import is_valid_domain
+from urlsight.functions.rows import unnest
 from urlsight.operators.ingest import drop_wildcards, explode_domains, record_key, regroup
 from urlsight.operators.scoring import Model, score_urls
 from urlsight.sinks.messages import alert_messages, url_messages
@@ -84,7 +85,7 @@ def score_stream(envelopes: DataFrame, model: Model, path: str, checkpoint: str)
     def write(batch: DataFrame, batch_id: int) -> None:
         decoded = decode_envelopes(batch).persist()
         try:
-            names = good_rows(decoded).select(F.explode("urls").alias("url"))
+            names = unnest(good_rows(decoded).select("urls"), "urls", "url")
             scored = score_urls(drop_wildcards(names), model)
             lay_out(scored).write.mode("overwrite").partitionBy("dt").parquet(
                 _batch_path(path, batch_id)
