@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from urlsight.functions.rows import computed_once
+
 FEW_VALUES = 50_000
 VALUE_BUCKETS = 512
 PREFIX_STEP = 3
 FEW_KEYS = 10_000
 HEX_DIGITS = 30
+BUCKET_ROWS = 1_000_000
+MAX_PREFIX = 5
 
 
 def value_bounds(df: DataFrame, value: str) -> list[float]:
@@ -147,10 +153,12 @@ def _nth_key(keyed: DataFrame, group, prefix: str, rank: int) -> str:
 def with_position(df: DataFrame, key: Column) -> DataFrame:
     """Add ``position``, the 1-based rank of an evenly spread hash key over all rows.
 
-    Rows are ranked inside the first ``PREFIX_STEP`` hex digits of the key, 4096 buckets
-    of like size, and the bucket's offset is added from a broadcast table of 4096 rows.
+    Rows are ranked inside buckets, the first hex digits of the key, and the bucket's
+    offset is added. As many digits are taken as keep a bucket near ``BUCKET_ROWS`` rows,
+    five at most, so the broadcast offsets have no more than 16^5 rows.
     """
-    keyed = df.withColumn("_key", key).withColumn("_prefix", F.substring("_key", 1, PREFIX_STEP))
+    digits = min(max(math.ceil(math.log(max(df.count() / BUCKET_ROWS, 1), 16)), 1), MAX_PREFIX)
+    keyed = computed_once(df, "_key", key).withColumn("_prefix", F.substring("_key", 1, digits))
     before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
     offsets = keyed.groupBy("_prefix").count().select(
         "_prefix", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")

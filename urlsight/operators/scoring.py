@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.functions.rows import unnest
 from urlsight.functions.score import THRESHOLD, label_score, round_score
+from urlsight.functions.text import normalize_url, spaced_characters
 from urlsight.operators.features import with_grams
 from urlsight.operators.model import TABLE_GRAM, predict
 
@@ -64,7 +66,7 @@ def score_with_table(
 def with_raw_score(df: DataFrame, model: Model) -> DataFrame:
     """Add ``raw`` with a fitted pipeline, a log-odds table, or a function of the URL column.
 
-    The function is the place for a vectorised ``pandas_udf`` around a user's own model.
+    ``batch_scorer`` makes such a function of a user's own model.
     """
     if isinstance(model, DataFrame):
         return score_with_table(df, model)
@@ -73,6 +75,23 @@ def with_raw_score(df: DataFrame, model: Model) -> DataFrame:
     return df.withColumn("raw", model(F.col("url")))
 
 
+def batch_scorer(load: Callable[[], Callable[[list[str]], Sequence[float]]]) -> Callable[[Column], Column]:
+    """A scoring function around a user's own model, as ``score_urls`` takes it.
+
+    ``load`` runs once per Python worker and returns what predicts a batch: it gets the
+    normalised URLs with their characters set apart by blanks and gives one probability
+    each. The batch size is ``spark.sql.execution.arrow.maxRecordsPerBatch``.
+    """
+
+    @F.pandas_udf("float")
+    def predict_batches(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict_batch = load()
+        for texts in batches:
+            yield pd.Series(predict_batch(texts.tolist()), dtype="float32")
+
+    return lambda url: predict_batches(spaced_characters(normalize_url(url))).cast("double")
+
+
 def classify(scored: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Class from the raw score, then the rounded score that is stored."""
     return (

@@ -416,6 +416,11 @@ select gram, pos, neg, round(log_odds, 6) as log_odds from nb_table""")
 ORACLES["model_persist"] = ORACLES["model_nb_table"]
 ORACLES["score_urls"] = (("nb_table", "url_corpus_raw"), f"""
 select url, {_stored} from url_corpus_raw join ({_scored('url_corpus_raw')}) using (url)""")
+ORACLES["score_user_model"] = (("url_corpus_raw",), f"""
+select url, round_even(cast(cast(raw as float) as double), 2) as score,
+       case when cast(cast(raw as float) as double) > 0.1::double then 'MALICIOUS' else 'BENIGN' end as classification
+from (select url, length(regexp_replace({_normal}, '[^0-9]', '', 'g')) / length({_normal}) as raw
+      from url_corpus_raw)""")
 ORACLES["score_throughput"] = (("nb_table", "synth"), f"""
 select classification, count(*) as n
 from (select url, {_stored} from synth join ({_scored('synth')}) using (url)) group by all""")

@@ -82,6 +82,14 @@ def _ranked(df: DataFrame, bounds: list[float] | None) -> DataFrame:
     return running_totals(score_counts(df), "score", ["pos", "neg"], bounds=bounds)
 
 
+def _sizes(df: DataFrame) -> Column:
+    """Class sizes from the counts per score, whose shuffle the curves use anyway."""
+    return score_counts(df).agg(F.struct(
+        F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"),
+    )).scalar()
+
+
 def metrics(
     df: DataFrame, threshold: float = THRESHOLD, bounds: list[float] | None = None
 ) -> DataFrame:
@@ -174,12 +182,6 @@ def class_report(counts: DataFrame, names: tuple[str, str] = CLASS_NAMES) -> Dat
     return counts.select(F.explode(F.array(*entries)).alias("_entry")).select("_entry.*")
 
 
-def _sizes(df: DataFrame) -> Column:
-    return df.agg(F.struct(
-        F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
-    )).scalar()
-
-
 def roc_curve(
     df: DataFrame, drop_collinear: bool = True, bounds: list[float] | None = None
 ) -> DataFrame:

@@ -11,6 +11,7 @@ from urlsight import fixtures as fx
 from urlsight.functions import predicates, rows, score, text
 from urlsight.operators import corpus, features, ingest, model, ranking, scoring
 from urlsight.plans import dashboard, evaluation
+from urlsight.schemas import LABELLED
 from urlsight.session import shared_dir
 from urlsight.sinks import messages as out
 from urlsight.sinks import reports, submissions
@@ -358,8 +359,14 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.dedup_corpus(fx.url_corpus_raw(spark, sf_dir))
 
 
-def _part(spark: SparkSession, sf_dir: str, part: str) -> DataFrame:
-    split = corpus.balance_split(_corpus(spark, sf_dir))
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The balanced split of the stored corpus: each pass over it is then a plain scan."""
+    path = shared_dir(spark, "corpus")
+    _corpus(spark, sf_dir).write.parquet(path)
+    return corpus.balance_split(spark.read.schema(LABELLED).parquet(path))
+
+
+def _only(split: DataFrame, part: str) -> DataFrame:
     return split.filter(F.col("part") == part).drop("part")
 
 
@@ -386,7 +393,7 @@ def corpus_class_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_balance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.balance_split(_corpus(spark, sf_dir))
+    return _split(spark, sf_dir)
 
 
 @query
@@ -428,13 +435,13 @@ def feat_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_nb_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    learned = model.train_table(_part(spark, sf_dir, corpus.TRAIN))
+    learned = model.train_table(_only(_split(spark, sf_dir), corpus.TRAIN))
     return learned.withColumn("log_odds", F.round("log_odds", 6))
 
 
 def _saved_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "model")
-    model.save_table(model.train_table(_part(spark, sf_dir, corpus.TRAIN)), path)
+    model.save_table(model.train_table(_only(_split(spark, sf_dir), corpus.TRAIN)), path)
     return model.load_table(spark, path)
 
 
@@ -445,20 +452,19 @@ def model_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fitted = model.train(_part(spark, sf_dir, corpus.TRAIN))
+    split = _split(spark, sf_dir)
+    fitted = model.train(_only(split, corpus.TRAIN))
     path = shared_dir(spark, "pipeline")
     model.save_model(fitted, path)
-    scored = model.predict(_part(spark, sf_dir, corpus.TEST), model.load_model(path))
+    scored = model.predict(_only(split, corpus.TEST), model.load_model(path))
     return scored.select("url", "label", F.round("raw", 4).alias("score"))
 
 
 @query
 def model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = corpus.stratified_split(_part(spark, sf_dir, corpus.TRAIN))
+    parts = corpus.stratified_split(_only(_split(spark, sf_dir), corpus.TRAIN))
     chosen = model.select_model(
-        parts.filter(F.col("part") == corpus.TRAIN).drop("part"),
-        parts.filter(F.col("part") == corpus.VALIDATION).drop("part"),
-        max_rounds=3, max_iter=5,
+        _only(parts, corpus.TRAIN), _only(parts, corpus.VALIDATION), max_rounds=3, max_iter=5
     )
     return spark.createDataFrame(
         chosen.history, "round int, reg double, val_loss double, val_accuracy double"
@@ -472,6 +478,23 @@ def score_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("url", "score", "classification")
 
 
+def _load_digit_share() -> Callable[[list[str]], list[float]]:
+    """Stands for a user's model: the share of digits among a URL's characters."""
+
+    def predict(texts: list[str]) -> list[float]:
+        characters = [t.split(" ") for t in texts]
+        return [sum(c in "0123456789" for c in cs) / len(cs) for cs in characters]
+
+    return predict
+
+
+@query
+def score_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scorer = scoring.batch_scorer(_load_digit_share)
+    scored = scoring.score_urls(fx.url_corpus_raw(spark, sf_dir), scorer, threshold=0.1)
+    return scored.select("url", "score", "classification")
+
+
 @query
 def score_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     urls = generated.generate_urls(fx.read(spark, sf_dir, "events"), "event_id")
