@@ -107,6 +107,9 @@ def _thin_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day") -> DataFrame:
     """Rows whose domain did not come up within the horizon of event time before.
 
+    A domain is free again once the watermark has passed its last emission by the horizon;
+    the watermark moves with the other rows, so on a quiet stream that may be later.
+
     The state operator has no map-side step, so a domain that fills a third of the stream
     would go to one task row by row. Repeats are therefore thinned out within each Arrow
     batch first (per slot of one horizon, so none is lost that should come again).
