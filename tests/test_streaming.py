@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
 
 from urlsight.functions.predicates import valid_names
+from urlsight.functions.rows import unnest
 from urlsight.operators import ingest, model
+from urlsight.operators.scoring import score_urls
 from urlsight.sinks import messages as out
 from urlsight.sources import messages
 from urlsight.sources.table import read_classified
@@ -127,10 +129,26 @@ def test_scoring_stream(spark, tmp_path, corpus_rows, kind):
     assert sorted((r.url, r.classification) for r in scored.collect()) == [
         ("evil3.biz/login", "MALICIOUS"), ("evil4.biz/login", "MALICIOUS"), ("site3.org/page", "BENIGN"),
     ]
-    dead = spark.read.parquet(f"{path}_dead").collect()
+
+
+def test_dead_letters_are_kept(spark, tmp_path):
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = StructType([StructField("data", StringType())])
+    put(spark, source, [(envelope("a.com"),), ("%%%",), (envelope(),)], schema)
+    decoded = messages.decode_envelopes(jobs.file_stream(spark, source, schema))
+    jobs.drain(jobs.dead_letter_stream(decoded.select("data", "error"), path, str(tmp_path / "ck")))
+    dead = spark.read.schema("data string, error string").parquet(path).collect()
     assert [(r.data, r.error) for r in dead] == [("%%%", "not base64 of UTF-8 text")]
 
 
+def test_scoring_each_row_by_itself_does_not_shuffle(spark, tmp_path, corpus_rows):
+    fitted = model.train(corpus_rows, max_iter=1, features=1 << 8)
+    rows = spark.createDataFrame([(envelope("a.com"),)], "data string")
+    decoded = messages.good_rows(messages.decode_envelopes(rows))
+    scored = score_urls(unnest(decoded.select("urls"), "urls", "url"), fitted)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
 def test_minute_counts_add_up_over_batches(spark, tmp_path):
     source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
     schema = "classification string, time_added timestamp"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from urlsight.functions.rows import computed_once
 from urlsight.functions.score import label_score
@@ -17,9 +18,16 @@ from urlsight.sinks.messages import url_message
 TRUE_HOSTS = ("ads-track", "adult-x", "free-bets")
 
 
+_schemas: dict[str, StructType] = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A given table. Its schema is inferred, which takes a job, only once per path."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _schemas:
+        _schemas[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_schemas[path]).parquet(path)
 
 
 def read_events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

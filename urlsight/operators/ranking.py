@@ -22,18 +22,15 @@ MAX_PREFIX = 5
 def value_bounds(df: DataFrame, value: str) -> list[float]:
     """Bounds that cut the rows into buckets of like size; none if few values are distinct.
 
-    This runs one aggregation and brings at most ``VALUE_BUCKETS`` numbers to the driver.
-    As literals they make the bucket a pure function of the value, so a task that runs
-    again puts every row where it was before.
+    At most ``VALUE_BUCKETS`` numbers reach the driver. As literals they make the bucket a
+    pure function of the value, so a task that runs again puts every row where it was
+    before. Stored scores, with two decimals, need only the first, cheap aggregate.
     """
-    steps = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    row = df.agg(
-        F.approx_count_distinct(value).alias("distinct"),
-        F.percentile_approx(value, steps, 10 * VALUE_BUCKETS).alias("bounds"),
-    ).first()
-    if row["distinct"] <= FEW_VALUES:
+    if df.agg(F.approx_count_distinct(value)).first()[0] <= FEW_VALUES:
         return []
-    return sorted({float(bound) for bound in row["bounds"]})
+    steps = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
+    bounds = df.agg(F.percentile_approx(value, steps, 10 * VALUE_BUCKETS)).first()[0]
+    return sorted({float(bound) for bound in bounds})
 
 
 def _with_bucket(df: DataFrame, value: str, bounds: list[float]) -> DataFrame:

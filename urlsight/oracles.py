@@ -518,6 +518,8 @@ from classified_urls group by all""")
 VIEWS["enveloped"] = (("envelopes",), "select url from envelopes where kind = 'good'")
 ORACLES["stream_score"] = (("nb_table", "enveloped"), f"""
 select url, {_stored} from enveloped join ({_scored('enveloped')}) using (url)""")
+ORACLES["stream_dead_letter"] = (("envelopes",), """
+select event_id, 'not a JSON object' as error from envelopes where kind = 'dead'""")
 ORACLES["stream_ingest"] = (("ct_messages",), f"""
 select distinct domain
 from (select unnest(domains) as domain from ct_messages where kind = 'certificate_update')

@@ -609,6 +609,15 @@ def stream_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read_classified(spark, path).select("url", "score", "classification")
 
 
+@query
+def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark, "dead")
+    stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
+    decoded = messages.decode_envelopes(stream).select("event_id", "error")
+    jobs.drain(jobs.dead_letter_stream(decoded, path, shared_dir(spark, "checkpoint")))
+    return spark.read.schema("event_id bigint, error string").parquet(path)
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "ingested")

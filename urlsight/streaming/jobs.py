@@ -1,9 +1,9 @@
 """The streaming side: paced sources, and writers that survive restarts.
 
 Each job is returned as a writer that is not started yet, so the caller picks the
-trigger; ``drain`` runs one until its source has nothing new. Batches are written to a
-folder named after the batch id and replace it when a batch runs again, which together
-with the checkpoint gives every row exactly once.
+trigger; ``drain`` runs one until its source has nothing new. Every row is written exactly
+once: either by the file sink, or per batch into a folder named after the batch id, which
+is replaced when a batch runs again.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from urlsight.functions.rows import unnest
 from urlsight.operators.ingest import drop_wildcards, explode_domains, record_key, regroup
 from urlsight.operators.scoring import Model, score_urls
 from urlsight.sinks.messages import alert_messages, url_messages
-from urlsight.sinks.table import lay_out
+from urlsight.sinks.table import lay_out, with_day
 from urlsight.sources.messages import dead_letters, decode_envelopes, good_rows, parse_ct_messages
 
 # Messages per second of the two producers.
@@ -79,24 +79,38 @@ def _batch_path(path: str, batch_id: int) -> str:
 def score_stream(envelopes: DataFrame, model: Model, path: str, checkpoint: str) -> DataStreamWriter:
     """Envelopes to classified rows: decode, drop wildcards, score, append.
 
-    Envelopes that cannot be read go to ``<path>_dead`` and do not stop the stream.
+    With a pipeline or a scoring function each row is scored by itself, and the rows go
+    straight to the file sink, one job per batch and no shuffle. A log-odds table needs a
+    join and a sum per URL, so its batches are scored one by one. Envelopes that cannot be
+    read are left to ``dead_letter_stream``.
     """
+    names = unnest(good_rows(decode_envelopes(envelopes)).select("urls"), "urls", "url")
+    names = drop_wildcards(names)
+    if not isinstance(model, DataFrame):
+        return (
+            with_day(score_urls(names, model))
+            .writeStream.format("parquet")
+            .partitionBy("dt")
+            .option("path", path)
+            .option("checkpointLocation", checkpoint)
+        )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        decoded = decode_envelopes(batch).persist()
-        try:
-            names = unnest(good_rows(decoded).select("urls"), "urls", "url")
-            scored = score_urls(drop_wildcards(names), model)
-            lay_out(scored).write.mode("overwrite").partitionBy("dt").parquet(
-                _batch_path(path, batch_id)
-            )
-            dead_letters(decoded).select("data", "error").write.mode("overwrite").parquet(
-                _batch_path(f"{path}_dead", batch_id)
-            )
-        finally:
-            decoded.unpersist()
-
-    return envelopes.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+        lay_out(score_urls(batch, model)).write.mode("overwrite").partitionBy("dt").parquet(
+            _batch_path(path, batch_id)
+        )
+
+    return names.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def dead_letter_stream(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The rows a parser marked with an error, kept for inspection."""
+    return (
+        dead_letters(parsed)
+        .writeStream.format("parquet")
+        .option("path", path)
+        .option("checkpointLocation", checkpoint)
+    )
 
 
 def _thin_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
