@@ -316,17 +316,25 @@ def error_examples(df: DataFrame, threshold: float = THRESHOLD, k: int = EXAMPLE
 def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     """``bins`` equal bins per class over the class's own score range, the last one closed.
 
-    Empty bins are listed. The bin is found by division and put right by comparing with
-    its edges.
+    Empty bins are listed. The ranges come from one aggregate ahead of the counting scan.
+    The bin is found by division and put right by comparing with its edges.
     """
-    scored = df.filter(F.col("score").isNotNull() & F.col("truth").isin(0, 1))
-    ranges = scored.groupBy("truth").agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    flat = F.col("lo") == F.col("hi")
-    ranges = ranges.select(
-        "truth",
-        F.when(flat, F.col("lo") - 0.5).otherwise(F.col("lo")).alias("lo"),
-        F.when(flat, F.col("hi") + 0.5).otherwise(F.col("hi")).alias("hi"),
-    ).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    scored = df.select("truth", "score").filter(
+        F.col("score").isNotNull() & F.col("truth").isin(0, 1)
+    )
+    ends = []
+    for truth in (0, 1):
+        of_class = F.when(F.col("truth") == truth, F.col("score"))
+        ends += [F.min(of_class).alias(f"lo{truth}"), F.max(of_class).alias(f"hi{truth}")]
+    ranges = scored.agg(F.struct(*ends)).scalar()
+
+    def with_range(rows: DataFrame) -> DataFrame:
+        positive = F.col("truth") == 1
+        lo = F.when(positive, ranges["lo1"]).otherwise(ranges["lo0"])
+        hi = F.when(positive, ranges["hi1"]).otherwise(ranges["hi0"])
+        margin = F.when(lo == hi, 0.5).otherwise(0.0)
+        ranged = rows.withColumn("lo", lo - margin).withColumn("hi", hi + margin)
+        return ranged.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
 
     score, lo, width = F.col("score"), F.col("lo"), F.col("width")
 
@@ -335,7 +343,7 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
 
     guess = F.least(F.floor((score - lo) / width), F.lit(bins - 1))
     placed = (
-        scored.join(F.broadcast(ranges), "truth")
+        with_range(scored)
         .withColumn("_guess", guess)
         .withColumn(
             "bin",
@@ -345,11 +353,11 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
         )
     )
     counted = placed.groupBy("truth", "bin").agg(F.count(F.lit(1)).alias("count"))
-    spine = ranges.select(
-        "truth", "lo", "hi", "width",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"),
+    spine = df.sparkSession.range(2 * bins).select(
+        F.floor(F.col("id") / bins).cast("int").alias("truth"), (F.col("id") % bins).alias("bin")
     )
-    return spine.join(counted, ["truth", "bin"], "left").select(
+    listed = with_range(spine).filter(lo.isNotNull())
+    return listed.join(counted, ["truth", "bin"], "left").select(
         "truth", "bin",
         edge(F.col("bin")).alias("bin_start"),
         edge(F.col("bin") + 1).alias("bin_end"),
@@ -400,13 +408,15 @@ def box_stats(
         ],
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     score, iqr = F.col("score"), F.col("iqr")
+    # The sum of n keeps the counts the same subplan as above, so their shuffle is reused.
     reach = counts.join(F.broadcast(quartiles), "outcome").groupBy(*quartiles.columns).agg(
+        F.sum("n").alias("n"),
         F.min(F.when(score >= F.col("q1") - 1.5 * iqr, score)).alias("low"),
         F.max(F.when(score <= F.col("q3") + 1.5 * iqr, score)).alias("high"),
     )
     notch = 1.57 * iqr / F.sqrt("size")
     return reach.select(
-        "outcome", F.col("size").alias("n"), "mean", "q1", "median", "q3",
+        "outcome", "n", "mean", "q1", "median", "q3",
         F.least(F.coalesce("low", "q1"), F.col("q1")).alias("whisker_low"),
         F.greatest(F.coalesce("high", "q3"), F.col("q3")).alias("whisker_high"),
         (F.col("median") - notch).alias("notch_low"),

@@ -398,8 +398,7 @@ def corpus_balance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    positioned = ranking.with_position(_corpus(spark, sf_dir), ranking.hash_key(7))
-    return positioned.orderBy("position")
+    return ranking.with_position(_corpus(spark, sf_dir), ranking.hash_key(7))
 
 
 @query
