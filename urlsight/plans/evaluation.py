@@ -316,8 +316,9 @@ def error_examples(df: DataFrame, threshold: float = THRESHOLD, k: int = EXAMPLE
 def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     """``bins`` equal bins per class over the class's own score range, the last one closed.
 
-    Empty bins are listed. The ranges come from one aggregate ahead of the counting scan.
-    The bin is found by division and put right by comparing with its edges.
+    Empty bins are listed. The four ends of the ranges are read first and stand in the
+    plan as numbers. The bin is found by division and put right by comparing with its
+    edges.
     """
     scored = df.select("truth", "score").filter(
         F.col("score").isNotNull() & F.col("truth").isin(0, 1)
@@ -325,38 +326,34 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     ends = []
     for truth in (0, 1):
         of_class = F.when(F.col("truth") == truth, F.col("score"))
-        ends += [F.min(of_class).alias(f"lo{truth}"), F.max(of_class).alias(f"hi{truth}")]
-    ranges = scored.agg(F.struct(*ends)).scalar()
+        ends += [F.min(of_class), F.max(of_class)]
+    lo0, hi0, lo1, hi1 = scored.agg(*ends).first()
+    ranges = [_widened(lo0, hi0), _widened(lo1, hi1)]
 
-    def with_range(rows: DataFrame) -> DataFrame:
-        positive = F.col("truth") == 1
-        lo = F.when(positive, ranges["lo1"]).otherwise(ranges["lo0"])
-        hi = F.when(positive, ranges["hi1"]).otherwise(ranges["hi0"])
-        margin = F.when(lo == hi, 0.5).otherwise(0.0)
-        ranged = rows.withColumn("lo", lo - margin).withColumn("hi", hi + margin)
-        return ranged.withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    def of_class(values: list[float | None]) -> Column:
+        return F.get(F.array(*[F.lit(v).cast("double") for v in values]), F.col("truth"))
 
-    score, lo, width = F.col("score"), F.col("lo"), F.col("width")
+    score, lo, hi = F.col("score"), of_class([r[0] for r in ranges]), of_class([r[1] for r in ranges])
+    width = of_class([None if r[0] is None else (r[1] - r[0]) / bins for r in ranges])
 
     def edge(place: Column) -> Column:
-        return F.when(place >= bins, F.col("hi")).otherwise(lo + place * width)
+        return F.when(place >= bins, hi).otherwise(lo + place * width)
 
     guess = F.least(F.floor((score - lo) / width), F.lit(bins - 1))
-    placed = (
-        with_range(scored)
-        .withColumn("_guess", guess)
-        .withColumn(
-            "bin",
-            F.col("_guess")
-            - (score < edge(F.col("_guess"))).cast("int")
-            + ((score >= edge(F.col("_guess") + 1)) & (F.col("_guess") < bins - 1)).cast("int"),
-        )
+    bin_of = (
+        F.col("_guess")
+        - (score < edge(F.col("_guess"))).cast("int")
+        + ((score >= edge(F.col("_guess") + 1)) & (F.col("_guess") < bins - 1)).cast("int")
+    )
+    counted = (
+        scored.withColumn("_guess", guess)
+        .groupBy("truth", bin_of.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("count"))
     )
-    counted = placed.groupBy("truth", "bin").agg(F.count(F.lit(1)).alias("count"))
     spine = df.sparkSession.range(2 * bins).select(
         F.floor(F.col("id") / bins).cast("int").alias("truth"), (F.col("id") % bins).alias("bin")
     )
-    listed = with_range(spine).filter(lo.isNotNull())
+    listed = spine.filter(lo.isNotNull())
     return listed.join(counted, ["truth", "bin"], "left").select(
         "truth", "bin",
         edge(F.col("bin")).alias("bin_start"),
@@ -365,6 +362,11 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     )
 
 
+def _widened(lo: float | None, hi: float | None) -> tuple[float | None, float | None]:
+    """A range of one single score is widened by a half on either side."""
+    return (lo - 0.5, hi + 0.5) if lo is not None and lo == hi else (lo, hi)
+
+
 def box_stats(
     df: DataFrame, threshold: float = THRESHOLD, bounds: list[float] | None = None
 ) -> DataFrame:
