@@ -258,7 +258,7 @@ ORACLES["src_classified"] = (("classified_urls",), f"""
 select {_rows} from classified_urls
 where time_added >= (select max(ts) from events) - interval 7 day""")
 ORACLES["src_synth_urls"] = (("synth",), "select event_id, url from synth")
-ORACLES["sink_url_batches"] = (("batches",), "select to_json({'urls': urls}) as value from batches")
+ORACLES["sink_url_batches"] = (("batches",), "select cast(to_json({'urls': urls}) as varchar) as value from batches")
 ORACLES["sink_classified"] = (("classified_urls",), f"select {_rows} from classified_urls")
 ORACLES["sink_layout"] = (("classified_urls",), """
 select strftime(time_added, '%Y-%m-%d') as dt, classification, count(*) as n,

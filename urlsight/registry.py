@@ -477,19 +477,18 @@ def score_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("url", "score", "classification")
 
 
-def _load_digit_share() -> Callable[[list[str]], list[float]]:
-    """Stands for a user's model: the share of digits among a URL's characters."""
-
-    def predict(texts: list[str]) -> list[float]:
-        characters = [t.split(" ") for t in texts]
-        return [sum(c in "0123456789" for c in cs) / len(cs) for cs in characters]
+@query
+def score_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def load() -> Callable[[list[str]], list[float]]:
+        """Stands for a user's model: the share of digits among a URL's characters."""
 
-    return predict
+        def predict(texts: list[str]) -> list[float]:
+            characters = [t.split(" ") for t in texts]
+            return [sum(c in "0123456789" for c in cs) / len(cs) for cs in characters]
 
+        return predict
 
-@query
-def score_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scorer = scoring.batch_scorer(_load_digit_share)
+    scorer = scoring.batch_scorer(load)
     scored = scoring.score_urls(fx.url_corpus_raw(spark, sf_dir), scorer, threshold=0.1)
     return scored.select("url", "score", "classification")
 

@@ -113,11 +113,6 @@ def dead_letter_stream(parsed: DataFrame, path: str, checkpoint: str) -> DataStr
     )
 
 
-def _thin_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for rows in batches:
-        yield rows.drop_duplicates(["domain", "_slot"])
-
-
 def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day") -> DataFrame:
     """Rows whose domain did not come up within the horizon of event time before.
 
@@ -128,8 +123,14 @@ def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day")
     would go to one task row by row. Repeats are therefore thinned out within each Arrow
     batch first (per slot of one horizon, so none is lost that should come again).
     """
+
+    # Defined here, the function travels to the workers by value, without this package.
+    def thin_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            yield rows.drop_duplicates(["domain", "_slot"])
+
     slotted = domains.withColumn("_slot", F.window(time, horizon)["start"])
-    thinned = slotted.mapInPandas(_thin_out, slotted.schema).drop("_slot")
+    thinned = slotted.mapInPandas(thin_out, slotted.schema).drop("_slot")
     return thinned.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["domain"])
 
 
