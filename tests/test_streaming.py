@@ -53,7 +53,7 @@ def test_ingest_drops_what_it_has_seen(spark, tmp_path):
 
     def run():
         stream = jobs.file_stream(spark, source, TIMED)
-        jobs.drain(jobs.ingest_stream(stream, path, checkpoint, horizon="1 hour"))
+        jobs.drain(jobs.ingest_stream(jobs.names_of_messages(stream), path, checkpoint, horizon="1 hour"))
 
     run()
     assert sorted(sum(urls_of(spark, path), [])) == ["a.com", "b.com"]
@@ -70,10 +70,23 @@ def test_a_domain_comes_again_after_the_horizon(spark, tmp_path):
     for hour, name in (("00", "a.com"), ("03", "b.com"), ("05", "a.com")):
         stamp(spark, source, [(certificate(name), f"2024-01-01 {hour}:00:00")])
         stream = jobs.file_stream(spark, source, TIMED)
-        jobs.drain(jobs.ingest_stream(stream, path, checkpoint, horizon="1 hour"))
+        jobs.drain(jobs.ingest_stream(jobs.names_of_messages(stream), path, checkpoint, horizon="1 hour"))
     assert sorted(urls_of(spark, path)) == [["a.com"], ["a.com"], ["b.com"]]
 
 
+def test_search_responses_are_ingested_alike(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    records = [
+        {"id": 1, "name_value": "a.com\n*.a.com\n b.com ", "common_name": "a.com"},
+        {"id": None, "name_value": "b.com", "common_name": "c.com"},
+        {"name_value": "Visit d.com"},
+    ]
+    stamp(spark, source, [(json.dumps(records), "2024-01-01 00:00:00"), ("<html/>", "2024-01-01 00:00:01")])
+    names = jobs.names_of_searches(jobs.file_stream(spark, source, TIMED))
+    jobs.drain(jobs.ingest_stream(names, path, checkpoint))
+    assert sorted(sum(urls_of(spark, path), [])) == ["a.com", "b.com", "c.com"]
+
+
 def test_thinning_keeps_one_per_slot(spark, tmp_path):
     """A hot domain is thinned out before the state operator, but not across slots."""
     source = str(tmp_path / "in")
@@ -178,7 +191,7 @@ def test_a_batch_that_runs_again_replaces_itself(spark, tmp_path):
     stamp(spark, source, [(certificate("a.com"), "2024-01-01 00:00:00")])
     for checkpoint in ("ck1", "ck2"):
         stream = jobs.file_stream(spark, source, TIMED)
-        jobs.drain(jobs.ingest_stream(stream, path, str(tmp_path / checkpoint)))
+        jobs.drain(jobs.ingest_stream(jobs.names_of_messages(stream), path, str(tmp_path / checkpoint)))
     assert urls_of(spark, path) == [["a.com"]]
 
 

@@ -81,7 +81,9 @@ def parser() -> argparse.ArgumentParser:
         stream.add_argument("--checkpoint", required=True)
         stream.add_argument("--every", type=int, help="seconds per batch; all at once if absent")
         stream.add_argument("--files", type=int, help="files per batch")
-        if name == "score":
+        if name == "ingest":
+            stream.add_argument("--search", action="store_true", help="input is search responses")
+        else:
             stream.add_argument("--model", required=True)
             stream.add_argument("--dead-letters", help="also keep what cannot be read here")
 
@@ -103,7 +105,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         training.write_reports(spark.read.parquet(args.predictions), args.out)
     elif args.command == "ingest":
         messages = _messages(spark, args, "value").withColumn("ts", F.current_timestamp())
-        _run(jobs.ingest_stream(messages, args.out, args.checkpoint), args.every)
+        parse = jobs.names_of_searches if args.search else jobs.names_of_messages
+        _run(jobs.ingest_stream(parse(messages), args.out, args.checkpoint), args.every)
     elif args.command == "score":
         if args.dead_letters:
             decoded = decode_envelopes(_messages(spark, args, "data")).select("data", "error")

@@ -129,11 +129,14 @@ def ct_messages(spark: SparkSession, sf_dir: str, events: DataFrame | None = Non
     return sent.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "value")
 
 
-def ct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ct_records(
+    spark: SparkSession, sf_dir: str, events: DataFrame | None = None
+) -> DataFrame:
     """Search records with blanks, wildcards, missing names and certificate metadata.
 
     One record per event; the id repeats, as when a search is polled again.
     """
+    events = read(spark, sf_dir, "events") if events is None else events
     host = _host(F.col("url"))
     turn = F.col("event_id")
     names = F.concat(host, F.lit("\n*."), host, F.lit("\n "), host, F.lit("\n"))
@@ -143,18 +146,21 @@ def ct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(turn % 11 == 5, F.concat(F.lit("cn."), host, F.lit(".ru")))
         .otherwise(F.concat(F.lit("cn"), (turn % 11).cast("string"), F.lit("."), host))
     )
-    return on_pages(spark, sf_dir, read(spark, sf_dir, "events")).select(
+    return on_pages(spark, sf_dir, events).select(
+        F.col("ts").cast("timestamp").alias("ts"),
         (F.floor(turn / 2).cast("bigint") + 1).alias("id"),
         F.when(turn % 7 != 0, names).alias("name_value"),
         common.alias("common_name"),
     )
 
 
-def ct_search_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def ct_search_bodies(
+    spark: SparkSession, sf_dir: str, events: DataFrame | None = None
+) -> DataFrame:
     """One search response per record; every fiftieth is an error page."""
     record = F.to_json(F.array(F.struct("id", "name_value", "common_name")))
     body = F.when(F.col("id") % 50 == 0, F.lit("<html>busy</html>")).otherwise(record)
-    return computed_once(ct_records(spark, sf_dir), "value", body).select("value")
+    return computed_once(ct_records(spark, sf_dir, events), "value", body).select("ts", "value")
 
 
 def envelopes(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:

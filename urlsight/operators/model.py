@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight.functions.rows import unnest
@@ -57,10 +57,12 @@ def _weighted(corpus: DataFrame) -> DataFrame:
     return corpus.withColumn("weight", weight)
 
 
-def _estimator(reg: float, max_iter: int, features: int) -> Pipeline:
-    hashing = HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
-    regression = LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter)
-    return Pipeline(stages=[hashing, regression])
+def _hashing(features: int) -> HashingTF:
+    return HashingTF(inputCol="grams", outputCol="features", numFeatures=features, binary=True)
+
+
+def _regression(reg: float, max_iter: int) -> LogisticRegression:
+    return LogisticRegression(weightCol="weight", regParam=reg, maxIter=max_iter)
 
 
 def train(
@@ -72,14 +74,18 @@ def train(
 ) -> PipelineModel:
     """Logistic regression on the presence of hashed n-grams, classes weighted alike."""
     prepared = with_grams(_weighted(corpus), widths=widths)
-    return _estimator(reg, max_iter, features).fit(prepared)
+    return Pipeline(stages=[_hashing(features), _regression(reg, max_iter)]).fit(prepared)
+
+
+def _probability() -> Column:
+    """Unrounded probability of the malicious class."""
+    return F.get(vector_to_array(F.col("probability")), 1)
 
 
 def predict(df: DataFrame, model: PipelineModel, widths: tuple[int, ...] = WIDTHS) -> DataFrame:
     """Add ``raw``, the unrounded probability of the malicious class."""
     scored = model.transform(with_grams(df, widths=widths))
-    probability = vector_to_array(F.col("probability"))
-    return scored.withColumn("raw", F.get(probability, 1)).select(*df.columns, "raw")
+    return scored.withColumn("raw", _probability()).select(*df.columns, "raw")
 
 
 def save_model(model: PipelineModel, path: str) -> None:
@@ -90,14 +96,12 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
-def validation_scores(
-    validation: DataFrame, model: PipelineModel, widths: tuple[int, ...] = WIDTHS
-) -> tuple[float, float]:
-    """Log-loss and accuracy on held-out rows."""
+def validation_scores(scored: DataFrame) -> tuple[float, float]:
+    """Log-loss and accuracy of held-out rows ``(label, raw)``."""
     p = F.least(F.greatest(F.col("raw"), F.lit(CLIP)), F.lit(1 - CLIP))
     loss = F.when(F.col("label") == 1, -F.log(p)).otherwise(-F.log(1 - p))
     hit = (F.col("raw") > THRESHOLD).cast("int") == F.col("label")
-    row = predict(validation, model, widths).agg(
+    row = scored.agg(
         F.avg(loss).alias("loss"), F.avg(hit.cast("int")).alias("accuracy")
     ).first()
     return row["loss"], row["accuracy"]
@@ -127,17 +131,25 @@ def select_model(
     """Weaken the regularisation round by round while the validation loss falls.
 
     After ``step_patience`` rounds without a better loss the step is halved (on the log
-    scale), after ``patience`` such rounds the search stops. The n-grams are cut once and
-    kept for all rounds; a lost executor's share is cut again from the source.
+    scale), after ``patience`` such rounds the search stops. Both parts are hashed to sparse
+    vectors once and kept for all rounds; a lost executor's share is hashed again.
     """
-    prepared = with_grams(_weighted(training), widths=widths).persist()
+    hashing = _hashing(features)
+
+    def hashed(rows: DataFrame, *columns: str) -> DataFrame:
+        return hashing.transform(with_grams(rows, widths=widths)).select(*columns, "features").persist()
+
+    prepared = hashed(_weighted(training), "label", "weight")
+    held_out = hashed(validation, "label")
     reg, best_loss, best_accuracy, stale, since_step = start_reg, float("inf"), -1.0, 0, 0
     by_loss = by_accuracy = None
     history = []
     try:
         for number in range(1, max_rounds + 1):
-            model = _estimator(reg, max_iter, features).fit(prepared)
-            loss, accuracy = validation_scores(validation, model, widths)
+            fitted = _regression(reg, max_iter).fit(prepared)
+            scored = fitted.transform(held_out).select("label", _probability().alias("raw"))
+            loss, accuracy = validation_scores(scored)
+            model = PipelineModel(stages=[hashing, fitted])
             history.append((number, reg, loss, accuracy))
             if accuracy > best_accuracy:
                 best_accuracy, by_accuracy = accuracy, model
@@ -152,4 +164,5 @@ def select_model(
             reg /= step
     finally:
         prepared.unpersist()
+        held_out.unpersist()
     return Selection(by_loss, by_accuracy, history)

@@ -524,6 +524,10 @@ ORACLES["stream_ingest"] = (("ct_messages",), f"""
 select distinct domain
 from (select unnest(domains) as domain from ct_messages where kind = 'certificate_update')
 where {_valid}""")
+VIEWS["searched_names"] = (("certificates",), """
+select id, unnest(names) as domain from certificates where id % 50 <> 0""")
+ORACLES["stream_ingest_search"] = (("searched_names",), f"""
+select distinct domain from searched_names where {_valid}""")
 ORACLES["stream_rate_limit"] = ((), "select 4::bigint as batches, count(*) as n from events")
 ORACLES["stream_resume"] = (("classified_urls",), """
 select event_id, url, score, classification from classified_urls""")

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight import fixtures as fx
-from urlsight.functions import predicates, rows, score, text
+from urlsight.functions import predicates, score, text
+from urlsight.functions.rows import unnest
 from urlsight.operators import corpus, features, ingest, model, ranking, scoring
 from urlsight.plans import dashboard, evaluation
 from urlsight.schemas import LABELLED
@@ -616,17 +617,24 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema("event_id bigint, error string").parquet(path)
 
 
+def _ingested(spark: SparkSession, names: DataFrame) -> DataFrame:
+    path = shared_dir(spark, "ingested")
+    checkpoint = shared_dir(spark, "checkpoint")
+    jobs.drain(jobs.ingest_stream(names, path, checkpoint, horizon=REPLAY_DELAY))
+    urls = F.from_json("value", "urls array<string>")["urls"]
+    return unnest(spark.read.text(path).select(urls.alias("urls")), "urls", "domain")
+
+
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = shared_dir(spark, "ingested")
     stream = fx.ct_messages(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
-    jobs.drain(
-        jobs.ingest_stream(stream, path, shared_dir(spark, "checkpoint"), horizon=REPLAY_DELAY)
-    )
-    urls = F.from_json("value", "urls array<string>")["urls"]
-    return spark.read.text(path).select(urls.alias("urls")).transform(
-        rows.unnest, "urls", "domain"
-    )
+    return _ingested(spark, jobs.names_of_messages(stream))
+
+
+@query
+def stream_ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stream = fx.ct_search_bodies(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
+    return _ingested(spark, jobs.names_of_searches(stream))
 
 
 def _event_files(spark: SparkSession, sf_dir: str, path: str) -> None:

@@ -59,10 +59,10 @@ def parse_ct_search(df: DataFrame, body: str = "value") -> DataFrame:
     )
 
 
-def search_records(parsed: DataFrame) -> DataFrame:
-    """One row ``(id, name_value, common_name)`` per certificate record."""
-    records = unnest(good_rows(parsed).select("records"), "records", "record")
-    return records.filter(F.col("record").isNotNull()).select("record.*")
+def search_records(parsed: DataFrame, *keep: str) -> DataFrame:
+    """One row ``(id, name_value, common_name)`` per certificate record, and ``keep``."""
+    records = unnest(good_rows(parsed).select(*keep, "records"), "records", "record")
+    return records.filter(F.col("record").isNotNull()).select(*keep, "record.*")
 
 
 def newer_than(records: DataFrame, mark: int | Column | None) -> DataFrame:

@@ -18,11 +18,19 @@ from pyspark.sql.types import StructType
 
 from urlsight.functions.predicates import is_valid_domain
 from urlsight.functions.rows import unnest
+from urlsight.functions.text import certificate_names
 from urlsight.operators.ingest import drop_wildcards, explode_domains, record_key, regroup
 from urlsight.operators.scoring import Model, score_urls
 from urlsight.sinks.messages import alert_messages, url_messages
 from urlsight.sinks.table import lay_out, with_day
-from urlsight.sources.messages import dead_letters, decode_envelopes, good_rows, parse_ct_messages
+from urlsight.sources.messages import (
+    dead_letters,
+    decode_envelopes,
+    good_rows,
+    parse_ct_messages,
+    parse_ct_search,
+    search_records,
+)
 
 # Messages per second of the two producers.
 STREAM_RATE = 50
@@ -134,18 +142,25 @@ def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day")
     return thinned.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["domain"])
 
 
+def names_of_messages(messages: DataFrame, body: str = "value", time: str = "ts") -> DataFrame:
+    """``(time, record, names)`` of certificate stream messages."""
+    updates = good_rows(parse_ct_messages(messages, body))
+    return updates.select(time, record_key(body).alias("record"), F.col("all_domains").alias("names"))
+
+
+def names_of_searches(bodies: DataFrame, body: str = "value", time: str = "ts") -> DataFrame:
+    """``(time, record, names)`` of certificate search responses."""
+    records = search_records(parse_ct_search(bodies, body), time)
+    names = certificate_names(F.col("name_value"), F.col("common_name"))
+    key = record_key("id", "name_value", "common_name")
+    return records.select(time, key.alias("record"), names.alias("names"))
+
+
 def ingest_stream(
-    messages: DataFrame,
-    path: str,
-    checkpoint: str,
-    body: str = "value",
-    time: str = "ts",
-    horizon: str = "1 day",
+    names: DataFrame, path: str, checkpoint: str, time: str = "ts", horizon: str = "1 day"
 ) -> DataStreamWriter:
-    """Certificate messages to URL batches: valid domains not seen lately, one list each."""
-    updates = good_rows(parse_ct_messages(messages, body))
-    listed = updates.select(F.col(time), record_key(body).alias("record"), "all_domains")
-    domains = explode_domains(listed, "all_domains").filter(is_valid_domain(F.col("domain")))
+    """Certificates to URL batches: valid domains not seen lately, one list per record."""
+    domains = explode_domains(names, "names").filter(is_valid_domain(F.col("domain")))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         url_messages(regroup(batch, ["record"])).write.mode("overwrite").text(
