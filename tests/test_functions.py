@@ -22,6 +22,7 @@ URLS = [
     ("", None, ""),
     ("www.www.a.com", "www.a.com", "a.com"),
     ("http://u@www.b.com/", "u@www.b.com", "u@b.com/"),
+    ("ΑΣ.com/İK", "ΑΣ.com", "ασ.com/i\u0307k"),
 ]
 
 

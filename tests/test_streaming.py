@@ -87,8 +87,19 @@ def test_search_responses_are_ingested_alike(spark, tmp_path):
     assert sorted(sum(urls_of(spark, path), [])) == ["a.com", "b.com", "c.com"]
 
 
-def test_thinning_keeps_one_per_slot(spark, tmp_path):
-    """A hot domain is thinned out before the state operator, but not across slots."""
+def test_a_late_copy_does_not_hide_a_domain(spark, tmp_path):
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    for rows in (
+        [(certificate("b.com"), "2024-01-02 00:00:00")],
+        [(certificate("a.com"), "2024-01-01 00:00:00"), (certificate("a.com"), "2024-01-02 00:00:01")],
+    ):
+        stamp(spark, source, rows)
+        names = jobs.names_of_messages(jobs.file_stream(spark, source, TIMED))
+        jobs.drain(jobs.ingest_stream(names, path, checkpoint, horizon="1 hour"))
+    assert sorted(urls_of(spark, path)) == [["a.com"], ["b.com"]]
+
+
+def test_a_hot_domain_is_thinned_out_before_the_state(spark, tmp_path):
     source = str(tmp_path / "in")
     spark.range(20_000).select(
         F.lit("hot.com").alias("domain"),

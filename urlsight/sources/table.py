@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +17,12 @@ def read_classified(spark: SparkSession, path: str) -> DataFrame:
 
 
 def moment(as_of: datetime | Column | None) -> Column:
-    """The reference time of a query; the current time unless one is given."""
+    """The reference time of a query; the current time unless one is given, in UTC if naive."""
     if as_of is None:
         return F.current_timestamp()
-    return as_of if isinstance(as_of, Column) else F.lit(as_of)
+    if isinstance(as_of, Column):
+        return as_of
+    return F.lit(as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC))
 
 
 def since(
