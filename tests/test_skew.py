@@ -36,6 +36,32 @@ def test_hot_url_is_scored_in_every_row(spark):
     assert counts == {"MALICIOUS": ROWS // 3, "BENIGN": ROWS - ROWS // 3}
 
 
+def test_rows_of_a_hot_url_are_split_in_the_join(spark):
+    small = {
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+    }
+    table = model.train_table(spark.createDataFrame([("http://hot.com/a", 1), ("x", 0)], "url string, label int"))
+    rows = hot_third(spark, "http://hot.com/a", "http://cold.com/").withColumn(
+        "note", F.sha2(F.col("id").cast("string"), 512)
+    )
+    before = {key: spark.conf.get(key) for key in small}
+    for key, value in small.items():
+        spark.conf.set(key, value)
+    try:
+        scored = scoring.score_with_table(rows, table)
+        got = scored.collect()
+        plan = scored._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert len({r.id for r in got}) == len(got) == ROWS
+    assert "skew=true" in plan
+
+
 def test_hot_score_is_one_row_after_counting(spark):
     df = spark.range(0, ROWS, 1, 8).select(
         F.col("id").cast("string").alias("url"),

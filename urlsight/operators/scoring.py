@@ -51,11 +51,17 @@ def score_with_table(
     Each distinct URL is scored once; copies, however many, only meet again in the last
     join. With a broadcast table the distinct URLs' partitioning serves the sum as well,
     so the n-grams are never shuffled.
+
+    The sums go through a shuffle of their own before that join: adaptive execution splits
+    the rows of a hot URL only where both sides of a join come straight from a shuffle. The
+    planner would save that shuffle, since the sums are partitioned by URL already, so the
+    key is written as a new expression.
     """
     urls = df.select("url").distinct()
     grams = unnest(with_grams(urls, widths=(width,)), "grams", "gram")
     found = _log_odds(grams, table, broadcast_rows)
     sums = found.groupBy("url").agg(F.sum("log_odds").alias("_sum"))
+    sums = sums.select(F.concat("url", F.lit("")).alias("url"), "_sum")
     return (
         df.join(sums, "url", "left")
         .withColumn("raw", 1 / (1 + F.exp(-F.coalesce("_sum", F.lit(0.0)))))
