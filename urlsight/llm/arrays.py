@@ -135,12 +135,6 @@ def rolling(hashes: np.ndarray, size: int) -> np.ndarray:
         block, width = joined(block[:-width], block[width:]), 2 * width
 
 
-def union_length(start: np.ndarray, end: np.ndarray) -> int:
-    """Positions that the spans cover together."""
-    start, end = merged(start, end)
-    return int((end - start).sum())
-
-
 def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The union of spans, as spans that neither overlap nor touch."""
     if not len(start):
@@ -152,6 +146,20 @@ def merged(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[opens], reach[closes]
 
 
+def merged_within(start: np.ndarray, end: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The unions of spans inside each of the neighbouring stretches that ``bounds`` part.
+
+    Spans of two stretches can touch; a gap of one between stretches keeps them apart.
+    """
+    gap = np.searchsorted(bounds, start, "right") - 1
+    low, high = merged(start + gap, end + gap)
+    cuts = np.searchsorted(low, bounds + np.arange(len(bounds)))
+    return [
+        (low[a:b] - bounds[k] - k, high[a:b] - bounds[k] - k)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:]))
+    ]
+
+
 def counted(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Sums of ``values`` between neighbouring bounds."""
     total = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])

@@ -58,7 +58,61 @@ select q.doc_id, q.size, q.source_size, q.target, coalesce(t.times, 0) * q.size
 from queued q left join times t on q.doc_id = t.doc_id and q.place = t.place
 """
 
+BLOCK_DEDUP = r"""
+with texts as (
+  select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+words as (
+  select doc_id, words, len(words) as n, unnest(words) as word, generate_subscripts(words, 1) as pos from texts),
+windows as (
+  select doc_id, pos, md5(array_to_string(list_slice(words, pos, pos + 49), ' ')) as content
+  from words where pos + 49 <= n),
+repeated as (
+  select doc_id, pos from (
+    select doc_id, pos, min(doc_id) over (partition by content) as least from windows) where least < doc_id),
+marked as (
+  select w.doc_id, w.word, w.pos,
+         max(case when r.pos is not null then 1 else 0 end) over (
+           partition by w.doc_id order by w.pos rows between 49 preceding and current row) as removed
+  from words w left join repeated r on w.doc_id = r.doc_id and w.pos = r.pos),
+kept as (
+  select doc_id, sum(removed)::bigint as n_removed,
+         coalesce(string_agg(word, ' ' order by pos) filter (where removed = 0), '') as text
+  from marked group by doc_id)
+select t.doc_id, len(t.words) as n_words, coalesce(k.n_removed, 0) as n_removed,
+       sha256(coalesce(k.text, '')) as kept_sha256
+from texts t left join kept k on t.doc_id = k.doc_id
+"""
+
+SUFFIX_DEDUP = r"""
+with texts as (
+  select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as hexed from documents),
+bytes as (
+  select doc_id, hexed, len(hexed) // 2 as n, unnest(range(len(hexed) // 2)) as pos from texts),
+windows as (
+  select doc_id, pos, md5(substr(hexed, 2 * pos + 1, 400)) as content from bytes where pos + 200 <= n),
+repeated as (
+  select doc_id, pos from (
+    select doc_id, pos, count(*) over (partition by content) as times from windows) where times > 1),
+marked as (
+  select b.doc_id, b.pos, substr(b.hexed, 2 * b.pos + 1, 2) as byte,
+         max(case when r.pos is not null then 1 else 0 end) over (
+           partition by b.doc_id order by b.pos rows between 199 preceding and current row) as removed
+  from bytes b left join repeated r on b.doc_id = r.doc_id and b.pos = r.pos),
+turns as (
+  select *, case when removed = 1 and coalesce(lag(removed) over (partition by doc_id order by pos), 0) = 0
+                 then 1 else 0 end as opens from marked),
+kept as (
+  select doc_id, sum(removed)::bigint as n_removed, sum(opens)::bigint as n_spans,
+         coalesce(string_agg(byte, '' order by pos) filter (where removed = 0), '') as hexed
+  from turns group by doc_id)
+select t.doc_id, len(t.hexed) // 2 as n_bytes, coalesce(k.n_removed, 0) as n_removed,
+       coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.hexed, ''))) as kept_sha256
+from texts t left join kept k on t.doc_id = k.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_exact_dedup": EXACT_DEDUP,
+    "op9_block_dedup": BLOCK_DEDUP,
     "op10_weighted_mix": WEIGHTED_MIX,
 }
