@@ -106,13 +106,15 @@ def test_running_totals(spark, bounds, descending):
 
 
 def test_value_bounds(spark, monkeypatch):
+    """The number of buckets follows the distinct values, however many rows each stands for."""
     df = spark.range(10_000).select((F.col("id") / 10_000).alias("score"))
     assert ranking.value_bounds(df, "score") == []
-    monkeypatch.setattr(ranking, "FEW_VALUES", 100)
+    monkeypatch.setattr(ranking, "BUCKET_VALUES", 100)
     bounds = ranking.value_bounds(df, "score")
-    assert len(bounds) == ranking.VALUE_BUCKETS - 1 and bounds == sorted(bounds)
-    hot = df.select(F.when(F.col("score") < 0.4, 0.0).otherwise(F.col("score")).alias("score"))
-    assert ranking.value_bounds(hot, "score")[0] == 0.0
+    assert len(bounds) == 99 and bounds == sorted(bounds)
+    assert all(abs(b - a - 0.01) < 0.002 for a, b in zip(bounds, bounds[1:]))
+    with_none = df.unionByName(spark.createDataFrame([(float("-inf"),)], "score double"))
+    assert float("-inf") not in ranking.value_bounds(with_none, "score")
 
 
 # ------------------------------------------------------------------ corpus
@@ -161,7 +163,9 @@ def test_stratified_sizes(spark, counts):
 
 def test_shuffle_repeats(spark):
     df = spark.range(300).select(F.concat(F.lit("u"), "id").alias("url"))
-    order = [r.url for r in corpus.shuffle_corpus(df).collect()]
+    rows = corpus.shuffle_corpus(df).collect()
+    assert [r.position for r in rows] == list(range(1, 301))
+    order = [r.url for r in rows]
     assert order == [r.url for r in corpus.shuffle_corpus(df.repartition(5)).collect()]
     assert order != sorted(order) and len(set(order)) == 300
 
@@ -234,12 +238,21 @@ def test_table_model(spark, broadcast_rows):
     assert {r.gram: r.log_odds for r in table.collect()} == pytest.approx(expected)
     urls = [u for u, _ in ROWS] + ["http://evil.biz/login"] * 50 + ["zz", "http://new.biz/login"]
     df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "i int, url string")
-    got = scoring.score_with_table(df, table, broadcast_rows=broadcast_rows)
+    got = scoring.score_with_table(df, scoring.table_model(table, broadcast_rows=broadcast_rows))
     assert {r.i: r.raw for r in got.collect()} == pytest.approx(
         {i: score(u) if "://" in u else 0.5 for i, u in enumerate(urls)}
     )
 
 
+def test_a_small_table_scores_each_row_by_itself(spark):
+    loaded = scoring.table_model(model.train_table(labelled(spark, ROWS)))
+    scored = scoring.score_urls(spark.range(5).select(F.concat(F.lit("evil"), "id").alias("url")), loaded)
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    empty = spark.createDataFrame([(None,), ("",)], "url string")
+    assert [r.raw for r in scoring.score_with_table(empty, loaded).collect()] == [0.5, 0.5]
+
+
 def test_scores_are_labelled_before_rounding(spark):
     df = spark.createDataFrame([("a", 0.503), ("b", 0.5), ("c", 0.126)], "url string, raw double")
     assert sorted((r.url, r.classification, r.score) for r in scoring.classify(df).collect()) == [

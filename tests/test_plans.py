@@ -1,5 +1,6 @@
 """Dashboard and evaluation on small tables, against numpy and written-out sums."""
 
+import math
 from datetime import datetime
 
 import numpy as np
@@ -257,3 +258,23 @@ def test_whole_run(spark, tmp_path):
     metrics = spark.read.option("header", True).csv(f"{out}/model_metrics").collect()
     assert [r.Metric for r in metrics] == [name for name, _ in evaluation.METRIC_ROWS]
     assert spark.read.option("header", True).csv(f"{out}/evaluation_summary").first().Count == "20"
+
+
+@pytest.mark.parametrize("bounds", [[], [0.1, 0.25, 0.5]])
+def test_rows_without_a_score_count_alike_everywhere(spark, bounds):
+    """They are not flagged, and rank below all others, however the scores are ranked."""
+    rows = [(f"u{i}", i % 3 == 0, None if i % 5 == 0 else (i % 7) / 8) for i in range(210)]
+    df = spark.createDataFrame([(u, int(t), s) for u, t, s in rows], "url string, truth int, score double")
+    counts = evaluation.confusion(df).first()
+    found = evaluation.counted(df, bounds)
+    measured = evaluation.metrics(found).first()
+    assert tuple(counts) == tuple(measured)[:4] and sum(counts) == 210
+    ranks = [(-1.0 if s is None else s, t) for _, t, s in rows]
+    positives = [s for s, t in ranks if t]
+    negatives = [s for s, t in ranks if not t]
+    wins = sum((p > n) + (p == n) / 2 for p in positives for n in negatives)
+    assert math.isclose(measured.auc_roc, wins / len(positives) / len(negatives))
+    for curve in (evaluation.roc_curve(found), evaluation.pr_curve(found)):
+        assert curve.filter("threshold = double('-infinity')").count() == 0
+    last = evaluation.roc_curve(found, drop_collinear=False).filter("threshold is null").first()
+    assert (last.fpr, last.tpr) == (1.0, 1.0)

@@ -10,26 +10,28 @@ from pyspark.sql import functions as F
 
 from urlsight.functions.rows import computed_once
 
-FEW_VALUES = 50_000
-VALUE_BUCKETS = 512
+BUCKET_VALUES = 50_000
 PREFIX_STEP = 3
 FEW_KEYS = 10_000
 HEX_DIGITS = 30
 BUCKET_ROWS = 1_000_000
-MAX_PREFIX = 5
+SMALL_ROWS = 20_000
 
 
-def value_bounds(df: DataFrame, value: str) -> list[float]:
-    """Bounds that cut the rows into buckets of like size; none if few values are distinct.
+def value_bounds(values: DataFrame, value: str) -> list[float]:
+    """Bounds that cut distinct values into buckets of about ``BUCKET_VALUES``.
 
-    At most ``VALUE_BUCKETS`` numbers reach the driver. As literals they make the bucket a
-    pure function of the value, so a task that runs again puts every row where it was
-    before. Stored scores, with two decimals, need only the first, cheap aggregate.
+    ``values`` has a row per distinct value (and group), so a value that fills most of a table
+    weighs no more than others. One number per ``BUCKET_VALUES`` rows reaches the driver. As
+    literals they make the bucket a pure function of the value, so a task that runs again puts
+    every row where it was before.
     """
-    if df.agg(F.approx_count_distinct(value)).first()[0] <= FEW_VALUES:
+    finite = values.filter(F.abs(value) < float("inf"))
+    buckets = math.ceil(finite.count() / BUCKET_VALUES)
+    if buckets < 2:
         return []
-    steps = [i / VALUE_BUCKETS for i in range(1, VALUE_BUCKETS)]
-    bounds = df.agg(F.percentile_approx(value, steps, 10 * VALUE_BUCKETS)).first()[0]
+    steps = [i / buckets for i in range(1, buckets)]
+    bounds = finite.agg(F.percentile_approx(value, steps, 10 * buckets)).first()[0]
     return sorted({float(bound) for bound in bounds})
 
 
@@ -50,9 +52,9 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>``, the total of ``s`` up to and including the row's value.
 
-    ``counts`` holds one row per (``by``, ``value``). Also adds ``next_<s>``, the value of
-    ``s`` in the following row. Each bucket is sorted on its own; the totals of the
-    buckets before it, a table of at most ``VALUE_BUCKETS`` rows per group, are broadcast.
+    ``counts`` holds one row per (``by``, ``value``), no value NULL. Also adds ``next_<s>``, the
+    value of ``s`` in the following row. Each bucket is sorted on its own and gets the totals of
+    the buckets before it, a table of one row per bucket and group, broadcast while it is small.
     """
     by = by or []
     counts = _with_bucket(counts, value, bounds or [])
@@ -81,7 +83,8 @@ def running_totals(
         *[F.coalesce(F.sum(f"total_{s}").over(before), F.lit(0)).alias(f"before_{s}") for s in sums],
         F.lead("head").over(across).alias("next_head"),
     )
-    rows = rows.join(F.broadcast(offsets), [*by, "_bucket"])
+    offsets = F.broadcast(offsets) if len(bounds) < SMALL_ROWS else offsets
+    rows = rows.join(offsets, [*by, "_bucket"])
     for s in sums:
         rows = rows.withColumn(f"cum_{s}", F.col(f"cum_{s}") + F.col(f"before_{s}"))
         rows = rows.withColumn(f"next_{s}", F.coalesce(f"next_{s}", F.col("next_head")[s]))
@@ -150,20 +153,27 @@ def _nth_key(keyed: DataFrame, group, prefix: str, rank: int) -> str:
 def with_position(df: DataFrame, key: Column) -> DataFrame:
     """Add ``position``, the 1-based rank of an evenly spread hash key over all rows.
 
-    Rows are ranked inside buckets, the first hex digits of the key, and the bucket's
-    offset is added. As many digits are taken as keep a bucket near ``BUCKET_ROWS`` rows,
-    five at most, so the broadcast offsets have no more than 16^5 rows.
+    Rows are ranked inside buckets, the first hex digits of the key, as many as keep a bucket
+    near ``BUCKET_ROWS`` rows. Offsets are summed on two levels: over the buckets that share the
+    first half of the digits, and over those halves, so no task sees more than the square root
+    of the buckets. ``df`` is read twice and should be stored.
     """
-    digits = min(max(math.ceil(math.log(max(df.count() / BUCKET_ROWS, 1), 16)), 1), MAX_PREFIX)
+    digits = 1 + max(math.ceil(math.log(max(df.count() / BUCKET_ROWS, 1), 16)), 1)
     keyed = computed_once(df, "_key", key).withColumn("_prefix", F.substring("_key", 1, digits))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = keyed.groupBy("_prefix").count().select(
-        "_prefix", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    half = F.substring("_prefix", 1, digits // 2).alias("_half")
+    counts = keyed.groupBy("_prefix", half).count()
+    outer = Window.orderBy("_half").rowsBetween(Window.unboundedPreceding, -1)
+    inner = Window.partitionBy("_half").orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
+    halves = counts.groupBy("_half").agg(F.sum("count").alias("_rows")).select(
+        "_half", F.coalesce(F.sum("_rows").over(outer), F.lit(0)).alias("_outer")
     )
+    offsets = counts.withColumn("_inner", F.coalesce(F.sum("count").over(inner), F.lit(0))).join(
+        halves, "_half"
+    ).select("_prefix", (F.col("_outer") + F.col("_inner")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_prefix").orderBy("_key"))
     return (
         keyed.withColumn("_rank", rank)
-        .join(F.broadcast(offsets), "_prefix")
+        .join(F.broadcast(offsets) if 16 ** digits < SMALL_ROWS else offsets, "_prefix")
         .withColumn("position", F.col("_before") + F.col("_rank"))
         .drop("_key", "_prefix", "_rank", "_before")
     )

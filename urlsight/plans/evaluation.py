@@ -3,10 +3,16 @@
 Predictions are ``score > threshold``; only the threshold sweep compares with ``>=``.
 Rows are first counted per distinct score, so one score that fills a third of the table
 is one row afterwards, and all ranks come from ``running_totals``.
+
+A row without a score is not flagged. Where scores are ranked it comes below all others, as
+minus infinity (its threshold is shown as NULL), and its loss is that of the score 0. Figures
+of the scores themselves (histogram, boxes, mean scores) leave it out.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +20,7 @@ from pyspark.sql import functions as F
 from urlsight.functions.score import THRESHOLD
 from urlsight.functions.text import url_prefix
 from urlsight.operators.ranking import running_totals, value_bounds
+from urlsight.session import stored
 
 CLIP = 1e-7
 BINS = 60
@@ -69,29 +76,50 @@ def rates(counts: DataFrame) -> DataFrame:
     )
 
 
+NO_SCORE = float("-inf")
+
+
 def score_counts(df: DataFrame) -> DataFrame:
-    """Positives and negatives per distinct score."""
-    return df.groupBy("score").agg(
+    """Positives and negatives per distinct score; rows without one are counted at ``NO_SCORE``."""
+    return df.groupBy(F.coalesce(F.col("score"), F.lit(NO_SCORE)).alias("score")).agg(
         F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
     )
 
 
-def _ranked(df: DataFrame, bounds: list[float] | None) -> DataFrame:
-    if bounds is None:
-        bounds = value_bounds(df, "score")
-    return running_totals(score_counts(df), "score", ["pos", "neg"], bounds=bounds)
+@dataclass(frozen=True)
+class Counted:
+    """Stored counts per distinct score, and the bounds by which they are ranked.
+
+    The rows of a table are read once for it; metrics and both curves come from it.
+    """
+
+    counts: DataFrame
+    bounds: list[float]
 
+    def ranked(self) -> DataFrame:
+        return running_totals(self.counts, "score", ["pos", "neg"], bounds=self.bounds)
 
-def _sizes(df: DataFrame) -> Column:
-    """Class sizes from the counts per score, whose shuffle the curves use anyway."""
-    return score_counts(df).agg(F.struct(
-        F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"),
-        F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"),
-    )).scalar()
+    def sizes(self) -> Column:
+        return self.counts.agg(F.struct(
+            F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"),
+            F.coalesce(F.sum("neg"), F.lit(0)).alias("neg"),
+        )).scalar()
+
+
+def counted(df: DataFrame | Counted, bounds: list[float] | None = None) -> Counted:
+    """Count the rows ``(truth, score)``; ``bounds`` follow from the distinct scores if not given."""
+    if isinstance(df, Counted):
+        return df
+    counts = stored(score_counts(df), "score-counts")
+    return Counted(counts, value_bounds(counts, "score") if bounds is None else bounds)
+
+
+def _shown(score: Column) -> Column:
+    return F.nullif(score, F.lit(NO_SCORE))
 
 
 def metrics(
-    df: DataFrame, threshold: float = THRESHOLD, bounds: list[float] | None = None
+    df: DataFrame | Counted, threshold: float = THRESHOLD, bounds: list[float] | None = None
 ) -> DataFrame:
     """One row with the confusion counts, the four rates, ROC-AUC, average precision and loss.
 
@@ -106,7 +134,7 @@ def metrics(
     def total(amount: Column) -> Column:
         return F.coalesce(F.sum(amount), F.lit(0))
 
-    sums = _ranked(df, bounds).agg(
+    sums = counted(df, bounds).ranked().agg(
         total(F.when(flagged, 0).otherwise(neg)).alias("tn"),
         total(F.when(flagged, neg).otherwise(0)).alias("fp"),
         total(F.when(flagged, 0).otherwise(pos)).alias("fn"),
@@ -183,15 +211,15 @@ def class_report(counts: DataFrame, names: tuple[str, str] = CLASS_NAMES) -> Dat
 
 
 def roc_curve(
-    df: DataFrame, drop_collinear: bool = True, bounds: list[float] | None = None
+    df: DataFrame | Counted, drop_collinear: bool = True, bounds: list[float] | None = None
 ) -> DataFrame:
     """ROC points ``(fpr, tpr, threshold)`` from (0, 0) to (1, 1), one per distinct score.
 
     With ``drop_collinear`` a point goes if the next step has the same slope and length;
     the first and the last stay.
     """
-    sizes = _sizes(df)
-    ranked = _ranked(df, bounds)
+    found = counted(df, bounds)
+    sizes, ranked = found.sizes(), found.ranked()
     if drop_collinear:
         is_first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
@@ -199,24 +227,25 @@ def roc_curve(
     points = ranked.select(
         F.try_divide(F.col("cum_neg").cast("double"), sizes["neg"]).alias("fpr"),
         F.try_divide(F.col("cum_pos").cast("double"), sizes["pos"]).alias("tpr"),
-        F.col("score").alias("threshold"),
+        _shown(F.col("score")).alias("threshold"),
     )
-    start = df.sparkSession.range(1).select(
+    start = found.counts.sparkSession.range(1).select(
         F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")
     )
     return points.unionByName(start)
 
 
-def pr_curve(df: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+def pr_curve(df: DataFrame | Counted, bounds: list[float] | None = None) -> DataFrame:
     """``(precision, recall, threshold)`` per distinct score, and the end point (1, 0)."""
-    sizes = _sizes(df)
+    found = counted(df, bounds)
+    sizes = found.sizes()
     cum_pos, cum_neg = F.col("cum_pos"), F.col("cum_neg")
-    points = _ranked(df, bounds).select(
+    points = found.ranked().select(
         _ratio(cum_pos, cum_pos + cum_neg).alias("precision"),
         F.coalesce(F.try_divide(cum_pos.cast("double"), sizes["pos"]), F.lit(1.0)).alias("recall"),
-        F.col("score").alias("threshold"),
+        _shown(F.col("score")).alias("threshold"),
     )
-    end = df.sparkSession.range(1).select(
+    end = found.counts.sparkSession.range(1).select(
         F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall"),
         F.lit(None).cast("double").alias("threshold"),
     )
@@ -373,14 +402,15 @@ def box_stats(
     """Box-plot figures of the scores per outcome: quartiles, whiskers, mean and notch.
 
     Quartiles are exact, with linear interpolation. They are read off running counts over
-    the distinct scores, so no outcome's scores are gathered in one task.
+    the distinct scores, which are stored, so no outcome's scores are gathered in one task.
     """
-    if bounds is None:
-        bounds = value_bounds(df, "score")
     scored = df.filter(F.col("score").isNotNull())
-    counts = scored.groupBy(_outcome(threshold).alias("outcome"), "score").agg(
-        F.count(F.lit(1)).alias("n")
+    counts = stored(
+        scored.groupBy(_outcome(threshold).alias("outcome"), "score").agg(F.count(F.lit(1)).alias("n")),
+        "outcome-counts",
     )
+    if bounds is None:
+        bounds = value_bounds(counts, "score")
     ranked = running_totals(counts, "score", ["n"], by=["outcome"], bounds=bounds, descending=False)
     sizes = counts.groupBy("outcome").agg(
         F.sum("n").alias("size"), (F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("mean")
@@ -410,7 +440,6 @@ def box_stats(
         ],
     ).withColumn("iqr", F.col("q3") - F.col("q1"))
     score, iqr = F.col("score"), F.col("iqr")
-    # The sum of n keeps the counts the same subplan as above, so their shuffle is reused.
     reach = counts.join(F.broadcast(quartiles), "outcome").groupBy(*quartiles.columns).agg(
         F.sum("n").alias("n"),
         F.min(F.when(score >= F.col("q1") - 1.5 * iqr, score)).alias("low"),
