@@ -3,8 +3,10 @@ import json
 
 import pytest
 
-from urlsight.__main__ import main
+from urlsight.__main__ import _timed, main
+from urlsight.operators import ingest
 from urlsight.sources.table import read_classified
+from urlsight.streaming import jobs
 
 
 @pytest.fixture(scope="module")
@@ -49,4 +51,50 @@ def test_ingest(spark, tmp_path):
     (source / "m.txt").write_text(json.dumps(body) + "\n")
     main(["ingest", "--input", str(source), "--out", str(tmp_path / "out"),
           "--checkpoint", str(tmp_path / "ck")], spark)
-    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "out")).collect()] == [{"urls": ["a.com"]}]
+    # All names of a certificate are published, as they came.
+    assert published(spark, tmp_path / "out") == [["a.com", "*.b.com"]]
+
+
+def published(spark, path):
+    return sorted(json.loads(r.value)["urls"] for r in spark.read.text(str(path)).collect())
+
+
+def test_search_ingest_resumes_from_its_mark(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+
+    def run(*more):
+        main(["ingest", "--search", "--input", str(source), "--out", str(tmp_path / "out"),
+              "--checkpoint", str(tmp_path / "ck"), "--dead-letters", str(tmp_path / "dead"), *more], spark)
+
+    records = [{"id": 3, "name_value": "a.com\n*.a.com", "common_name": "a.com"}, {"id": 4, "name_value": "See x.com"}]
+    (source / "1.json").write_text(json.dumps(records, indent=2))
+    (source / "2.json").write_text("<html/>")
+    run()
+    assert published(spark, tmp_path / "out") == [["a.com"]]
+    assert spark.read.schema("value string, error string").parquet(str(tmp_path / "dead")).first().value == "<html/>"
+    more = [{"id": 4, "name_value": "old.com"}, {"id": 5, "name_value": "a.com\nb.com"}]
+    (source / "3.json").write_text(json.dumps(more))
+    run()
+    assert published(spark, tmp_path / "out") == [["a.com"], ["b.com"]]
+    totals = ingest.published_so_far(spark, jobs.counters_of(str(tmp_path / "out"))).first()
+    assert tuple(totals) == (2, 2)
+
+
+def test_time_of_messages(spark):
+    rows = spark.createDataFrame([('{"data": {"seen": 1704067200.5}}',), ("no json",)], "value string")
+    first, second = (r.ts for r in _timed(rows, "$.data.seen").collect())
+    assert first.timestamp() == 1704067200.5 and second > first
+
+
+def test_submit_and_alerts(spark, tmp_path):
+    row = {"url": "u", "score": 0.5, "classification": "BENIGN", "time_added": "2024-01-01T00:00:00"}
+    (tmp_path / "requests").write_text(json.dumps([row, {**row, "url": "v"}]) + "\nno json\n")
+    table, feed = str(tmp_path / "table"), str(tmp_path / "feed")
+    main(["submit", "--input", str(tmp_path / "requests"), "--table", table,
+          "--rejected", str(tmp_path / "rejected")], spark)
+    assert read_classified(spark, table).count() == 2
+    assert spark.read.parquet(str(tmp_path / "rejected")).first().value == "no json"
+    for _ in range(2):
+        main(["alerts", "--table", table, "--out", feed, "--checkpoint", str(tmp_path / "ck")], spark)
+        assert sorted(json.loads(r.value)["url"] for r in spark.read.text(feed).collect()) == ["u", "v"]

@@ -45,6 +45,7 @@ def test_rows_of_a_hot_url_are_split_in_the_join(spark):
         "spark.sql.autoBroadcastJoinThreshold": "-1",
     }
     table = model.train_table(spark.createDataFrame([("http://hot.com/a", 1), ("x", 0)], "url string, label int"))
+    table = scoring.table_model(table, broadcast_rows=0)
     rows = hot_third(spark, "http://hot.com/a", "http://cold.com/").withColumn(
         "note", F.sha2(F.col("id").cast("string"), 512)
     )
@@ -112,9 +113,10 @@ def test_hot_day_is_written_by_many_tasks(spark, tmp_path):
         write_classified(rows, str(tmp_path / "table"))
     finally:
         spark.conf.set(size, before)
+    (batch,) = (tmp_path / "table").glob("run=*/batch=0")
     files = {
-        day: sum(name.endswith(".parquet") for name in os.listdir(tmp_path / "table" / day))
-        for day in os.listdir(tmp_path / "table") if day.startswith("dt=")
+        day: sum(name.endswith(".parquet") for name in os.listdir(batch / day))
+        for day in os.listdir(batch) if day.startswith("dt=")
     }
     assert files["dt=2024-01-01"] > 3
     assert min(files.values()) == 1

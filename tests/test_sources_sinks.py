@@ -9,7 +9,7 @@ from urlsight.operators import ingest
 from urlsight.sinks import messages as out
 from urlsight.sinks import reports, submissions
 from urlsight.sinks import table as sink
-from urlsight.sources import generated, lines, messages, table
+from urlsight.sources import lines, messages, table
 
 
 def frame(spark, bodies, name="value"):
@@ -87,17 +87,6 @@ def test_envelopes(spark):
     assert messages.dead_letters(parsed).count() == 5
 
 
-def test_generated_urls_are_well_formed_and_repeatable(spark):
-    ids = spark.range(2000)
-    first = generated.generate_urls(ids, seed=1).orderBy("id").collect()
-    again = generated.generate_urls(ids.repartition(3), seed=1).orderBy("id").collect()
-    assert first == again
-    pattern = r"^https?://((www|mail|secure|app)\.)?[a-z0-9.-]+(/[a-z]+){1,3}\?[a-z]+=[a-z0-9]{8}$"
-    assert generated.generate_urls(ids).filter(~F.col("url").rlike(pattern)).count() == 0
-    domains = {d for r in first for d in generated.DOMAINS if d in r.url}
-    assert domains == set(generated.DOMAINS)
-
-
 def classified(spark, days=3, per_day=40):
     return spark.range(days * per_day).select(
         F.concat(F.lit("http://u"), "id").alias("url"),
@@ -152,6 +141,21 @@ def test_submissions_are_taken_whole_or_not_at_all(spark, tmp_path):
     assert [(r.url, r.score) for r in stored] == [("u", 0.5), ("v", None)]
 
 
+def test_batch_rows_and_submissions_add_up(spark, tmp_path):
+    path = str(tmp_path / "table")
+    sink.write_classified(classified(spark), path)
+    sink.write_classified(classified(spark, days=1), path)
+    row = {"url": "u", "score": 0.5, "classification": "BENIGN", "time_added": "2024-01-01T00:00:00"}
+    submissions.submit(frame(spark, [json.dumps([row])]), path)
+    assert table.read_classified(spark, path).count() == 161
+    sink.write_classified(classified(spark, days=1), path, mode="overwrite")
+    assert table.read_classified(spark, path).count() == 40
+
+
+def test_no_mark_yet(spark, tmp_path):
+    assert ingest.load_mark(spark, str(tmp_path / "none")) is None
+
+
 def test_csv_report(spark, tmp_path):
     path = str(tmp_path / "report")
     reports.write_csv_report(spark.createDataFrame([("Accuracy", "0.9826")], "Metric string, Value string"), path)

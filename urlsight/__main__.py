@@ -18,8 +18,15 @@ from pyspark.sql.streaming import DataStreamWriter  # noqa: E402
 from urlsight.functions.text import iso_columns  # noqa: E402
 from urlsight.plans import dashboard, training  # noqa: E402
 from urlsight.session import build_session  # noqa: E402
-from urlsight.sources.messages import decode_envelopes  # noqa: E402
-from urlsight.sources.table import read_classified  # noqa: E402
+from urlsight.operators.ingest import load_mark  # noqa: E402
+from urlsight.sinks import submissions  # noqa: E402
+from urlsight.sources.messages import (  # noqa: E402
+    decode_envelopes,
+    newer_than,
+    parse_ct_messages,
+    parse_ct_search,
+)
+from urlsight.sources.table import read_classified, stream_classified  # noqa: E402
 from urlsight.streaming import jobs  # noqa: E402
 
 # Name and, where the answer depends on the current time, that it takes ``as_of``.
@@ -43,21 +50,59 @@ def ask(spark: SparkSession, name: str, path: str, as_of: datetime | None) -> Da
     return iso_columns(question(rows, as_of) if timed else question(rows))
 
 
-def _run(writer: DataStreamWriter, every: int | None) -> None:
-    if every:
-        jobs.paced(writer, every).start().awaitTermination()
-    else:
-        jobs.drain(writer)
-
-
-def _messages(spark: SparkSession, args: argparse.Namespace, column: str) -> DataFrame:
-    """Text files with one message per line, at most ``--files`` new files per batch."""
-    stream = spark.readStream.format("text")
+def _run(spark: SparkSession, writers: list[DataStreamWriter], every: int | None) -> None:
+    """Run writers to the end one after the other, or all at once until one of them fails."""
+    if not every:
+        for writer in writers:
+            jobs.drain(writer)
+        return
+    queries = [jobs.paced(writer, every).start() for writer in writers]
+    try:
+        spark.streams.awaitAnyTermination()
+    finally:
+        for query in queries:
+            query.stop()
+    for query in queries:
+        if query.exception():
+            raise query.exception()
+
+
+def _messages(spark: SparkSession, args: argparse.Namespace, column: str, whole: bool = False) -> DataFrame:
+    """Text files with one message per line, or per file, at most ``--files`` new files per batch."""
+    stream = spark.readStream.format("text").option("wholetext", str(whole).lower())
     if args.files:
         stream = stream.option("maxFilesPerTrigger", args.files)
     return stream.load(args.input).select(F.col("value").alias(column))
 
 
+def _timed(messages: DataFrame, path: str | None) -> DataFrame:
+    """Add ``ts``: epoch seconds at a JSON path of the message, else the time of the batch."""
+    now = F.current_timestamp()
+    if not path:
+        return messages.withColumn("ts", now)
+    seconds = F.get_json_object("value", path).try_cast("double")
+    return messages.withColumn("ts", F.coalesce(F.timestamp_seconds(seconds), now))
+
+
+def _ingest(spark: SparkSession, args: argparse.Namespace) -> list[DataStreamWriter]:
+    """The certificate path publishes every list; the search path filters, resumes and de-duplicates."""
+    messages = _timed(_messages(spark, args, "value", whole=args.search), args.time)
+    parse = parse_ct_search if args.search else parse_ct_messages
+    writers = []
+    if args.dead_letters:
+        dead = parse(messages).select("value", "error")
+        writers.append(jobs.dead_letter_stream(dead, args.dead_letters, f"{args.checkpoint}-dead"))
+    if not args.search:
+        return [*writers, jobs.certificate_stream(jobs.names_of_messages(messages), args.out, args.checkpoint)]
+    mark, staging = f"{args.checkpoint}-mark", f"{args.checkpoint}-staging"
+    names = newer_than(jobs.names_of_searches(messages), None if args.again else load_mark(spark, mark))
+    return [
+        *writers,
+        jobs.staged_domains(names, staging, f"{args.checkpoint}-staged", mark),
+        jobs.ingest_stream(spark, staging, args.out, args.checkpoint),
+    ]
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="urlsight")
     commands = top.add_subparsers(dest="command", required=True)
@@ -81,11 +126,24 @@ def parser() -> argparse.ArgumentParser:
         stream.add_argument("--checkpoint", required=True)
         stream.add_argument("--every", type=int, help="seconds per batch; all at once if absent")
         stream.add_argument("--files", type=int, help="files per batch")
+        stream.add_argument("--dead-letters", help="also keep what cannot be read here")
         if name == "ingest":
-            stream.add_argument("--search", action="store_true", help="input is search responses")
+            stream.add_argument("--search", action="store_true", help="input is search responses, one a file")
+            stream.add_argument("--again", action="store_true", help="search: do not resume from the saved mark")
+            stream.add_argument("--time", help="JSON path of the message's time in epoch seconds")
         else:
             stream.add_argument("--model", required=True)
-            stream.add_argument("--dead-letters", help="also keep what cannot be read here")
+
+    take = commands.add_parser("submit", help="add rows handed in by users to the table")
+    take.add_argument("--input", required=True, help="text files, one JSON list per line")
+    take.add_argument("--table", required=True)
+    take.add_argument("--rejected", help="keep rejected requests here")
+
+    feed = commands.add_parser("alerts", help="rows added to the table as a feed of JSON lines")
+    feed.add_argument("--table", required=True)
+    feed.add_argument("--out", required=True)
+    feed.add_argument("--checkpoint", required=True)
+    feed.add_argument("--every", type=int, help="seconds per batch; all at once if absent")
 
     show = commands.add_parser("dashboard", help="answer one monitoring question as JSON")
     show.add_argument("name", choices=sorted(DASHBOARD))
@@ -104,20 +162,22 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
     elif args.command == "evaluate":
         training.write_reports(spark.read.parquet(args.predictions), args.out)
     elif args.command == "ingest":
-        messages = _messages(spark, args, "value").withColumn("ts", F.current_timestamp())
-        parse = jobs.names_of_searches if args.search else jobs.names_of_messages
-        _run(jobs.ingest_stream(parse(messages), args.out, args.checkpoint), args.every)
+        _run(spark, _ingest(spark, args), args.every)
     elif args.command == "score":
+        writers = []
         if args.dead_letters:
             decoded = decode_envelopes(_messages(spark, args, "data")).select("data", "error")
-            writer = jobs.dead_letter_stream(decoded, args.dead_letters, f"{args.checkpoint}-dead")
-            if args.every:
-                jobs.paced(writer, args.every).start()
-            else:
-                jobs.drain(writer)
+            writers.append(jobs.dead_letter_stream(decoded, args.dead_letters, f"{args.checkpoint}-dead"))
         model = PipelineModel.load(args.model)
-        writer = jobs.score_stream(_messages(spark, args, "data"), model, args.out, args.checkpoint)
-        _run(writer, args.every)
+        writers.append(jobs.score_stream(_messages(spark, args, "data"), model, args.out, args.checkpoint))
+        _run(spark, writers, args.every)
+    elif args.command == "submit":
+        rejected = submissions.submit(spark.read.text(args.input), args.table)
+        if args.rejected:
+            rejected.write.mode("append").parquet(args.rejected)
+    elif args.command == "alerts":
+        rows = stream_classified(spark, args.table)
+        _run(spark, [jobs.alert_stream(rows, args.out, args.checkpoint)], args.every)
     else:
         # Every answer is an aggregate or a top-k, so it is small.
         answer = ask(spark, args.name, args.table, args.as_of)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.functions.rows import computed_once
-from urlsight.operators.ranking import hash_key, key_at_rank
+from urlsight.operators.ranking import hash_key, key_at_rank, with_position
 
 TRAIN, TEST, VALIDATION = "train", "test", "validation"
 
@@ -103,8 +103,11 @@ def stratified_split(corpus: DataFrame, fraction: float = 0.2, seed: int = 42) -
 
 
 def shuffle_corpus(corpus: DataFrame, seed: int = 42) -> DataFrame:
-    """All rows in a random order that is the same for the same seed."""
-    return corpus.orderBy(hash_key(seed))
+    """All rows in a random order, the same for the same seed, with their ``position`` from 1.
+
+    URLs must be distinct, and the corpus stored: it is read twice.
+    """
+    return with_position(corpus, hash_key(seed)).orderBy("position")
 
 
 def class_weights(corpus: DataFrame) -> DataFrame:

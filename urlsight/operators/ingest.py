@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from urlsight.functions.predicates import is_wildcard
 from urlsight.functions.rows import unnest
-
-
-PUBLISHED = "published"
+from urlsight.sinks.batches import read_batches
 
 
 def record_key(*parts: str) -> Column:
@@ -69,10 +67,12 @@ def save_mark(mark: DataFrame, path: str) -> None:
 
 
 def load_mark(spark: SparkSession, path: str) -> int | None:
-    """The mark saved last."""
-    log = spark.read.schema("max_cert_id bigint, saved_at timestamp").parquet(path)
-    row = log.agg(F.max_by("max_cert_id", "saved_at").alias("mark")).first()
-    return row["mark"]
+    """The mark saved last; none where no mark was ever saved."""
+    try:
+        log = spark.read.schema("max_cert_id bigint, saved_at timestamp").parquet(path)
+    except AnalysisException:
+        return None
+    return log.agg(F.max_by("max_cert_id", "saved_at").alias("mark")).first()["mark"]
 
 
 def published_counters() -> list[Column]:
@@ -83,20 +83,15 @@ def published_counters() -> list[Column]:
     ]
 
 
-def count_published(messages: DataFrame, name: str = PUBLISHED) -> DataFrame:
-    """The same rows, counted on their way to the sink; the progress events carry the counts."""
-    return messages.observe(name, *published_counters())
-
+def write_counters(messages: DataFrame, path: str) -> None:
+    """The counters of one batch of messages, next to those of all other batches and runs."""
+    urls = F.from_json("value", "urls array<string>")["urls"].alias("urls")
+    messages.select(urls).agg(*published_counters()).write.mode("overwrite").parquet(path)
 
-def published_so_far(query: StreamingQuery, name: str = PUBLISHED) -> dict[str, int]:
-    """Sum of the counts over the progress events the query still keeps.
 
-    A query keeps ``spark.sql.streaming.numRecentProgressUpdates`` of them; ask in time,
-    or add up the same field in a listener.
-    """
-    counts = {"batches": 0, "domains": 0}
-    for progress in query.recentProgress:
-        observed = progress["observedMetrics"].get(name)
-        for key in counts if observed else ():
-            counts[key] += observed[key]
-    return counts
+def published_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """Lifetime totals over every batch of every run."""
+    counters = read_batches(spark, path, "batches bigint, domains bigint")
+    return counters.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("batches", "domains")]
+    )

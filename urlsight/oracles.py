@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from urlsight.functions.predicates import METADATA_PHRASES, MONITORED_TLDS
 from urlsight.plans.evaluation import CLASS_NAMES, SUMMARY_ROWS, thresholds
-from urlsight.sources import generated
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {}
@@ -60,7 +59,7 @@ select event_id, time_added as ts,
 from hosts""")
 
 VIEWS["ct_records"] = (("hosts",), """
-select event_id // 2 + 1 as id,
+select time_added as ts, event_id // 2 + 1 as id,
        case when event_id % 7 <> 0
             then host || chr(10) || '*.' || host || chr(10) || ' ' || host || chr(10) end as name_value,
        case when event_id % 3 = 0 then host
@@ -83,10 +82,10 @@ where event_type <> 'error' and event_id % 20 <> 3""")
 # ------------------------------------------------------------------ shared steps
 
 VIEWS["certificates"] = (("ct_records",), """
-select id, record,
+select ts, id, record,
        case when coalesce(common_name, '') <> '' and not list_contains(names, common_name)
             then list_append(names, common_name) else names end as names
-from (select id, common_name,
+from (select ts, id, common_name,
              md5(concat_ws(chr(31), cast(id as varchar), coalesce(name_value, chr(30)),
                            coalesce(common_name, chr(30)))) as record,
              list_filter(list_transform(string_split(coalesce(name_value, ''), chr(10)),
@@ -160,31 +159,6 @@ _stored = (
 )
 
 
-def _draw(slot: int, choices: int) -> str:
-    return f"(('0x' || substr(d, {4 * slot + 1}, 4))::bigint % {choices})"
-
-
-def _pick(slot: int, options: tuple[str, ...]) -> str:
-    listed = ", ".join(f"'{o}'" for o in options)
-    return f"([{listed}])[{_draw(slot, len(options))} + 1]"
-
-
-def _synth_sql() -> str:
-    words = ", ".join(_pick(4 + i, generated.PATH_WORDS) for i in range(generated.MAX_PATH_WORDS))
-    suffix = " || ".join(
-        f"substr('{generated.ALPHABET}', {_draw(8 + i, len(generated.ALPHABET))} + 1, 1)"
-        for i in range(generated.SUFFIX_LENGTH)
-    )
-    return f"""
-select event_id, {_pick(0, generated.SCHEMES)} || '://' || {_pick(1, generated.SUBDOMAINS)}
-       || {_pick(2, generated.DOMAINS)} || '/'
-       || array_to_string(([{words}])[1:{_draw(3, generated.MAX_PATH_WORDS)} + 1], '/')
-       || {_pick(7, generated.PARAMETERS)} || {suffix} as url
-from (select event_id, sha256(concat_ws(':', cast(event_id as varchar), '42')) as d from events)"""
-
-
-VIEWS["synth"] = ((), _synth_sql())
-
 VIEWS["scored_rows"] = (("classified_urls",), "select url, truth, raw as score from classified_urls")
 
 VIEWS["conf"] = (("scored_rows",), """
@@ -233,6 +207,27 @@ VIEWS["outcomes"] = (("scored_rows",), """
 select *, case when score > 0.5 then case when truth = 1 then 'TP' else 'FP' end
                when truth = 1 then 'FN' else 'TN' end as outcome from scored_rows""")
 
+# The same steps over rows of which some have no score, which ranks below all others.
+VIEWS["hot_rows"] = (("classified_urls",), """
+select url, truth, coalesce(case when event_id % 100 >= 5 then 0.25::double
+                                 when event_id % 100 >= 2 then raw end, '-inf'::double) as score
+from classified_urls""")
+VIEWS["hot_scores"] = (("hot_rows",), "select * from hot_rows where score > '-inf'::double")
+
+
+def _hot(text: str, rows: str = "hot_rows") -> str:
+    text = text.replace("scored_rows", rows).replace("by_score", "hot_by_score")
+    return text.replace("conf_rates", "hot_rates").replace("from conf", "from hot_conf").replace(
+        "by_score, conf", "by_score, hot_conf").replace("measured", "hot_measured").replace(
+        "outcomes", "hot_outcomes")
+
+
+VIEWS["hot_conf"] = (("hot_rows",), _hot(VIEWS["conf"][1]))
+VIEWS["hot_rates"] = (("hot_conf",), _hot(VIEWS["conf_rates"][1]))
+VIEWS["hot_by_score"] = (("hot_rows",), _hot(VIEWS["by_score"][1]))
+VIEWS["hot_measured"] = (("hot_rates", "hot_by_score", "hot_rows"), _hot(VIEWS["measured"][1]))
+VIEWS["hot_outcomes"] = (("hot_scores",), _hot(VIEWS["outcomes"][1], "hot_scores"))
+
 # ------------------------------------------------------------------ sources and sinks
 
 ORACLES["src_labelled_lines"] = (("url_corpus_raw",), "select url, label from url_corpus_raw")
@@ -257,7 +252,6 @@ _rows = f"url, score, classification, {_iso('time_added')} as time_added"
 ORACLES["src_classified"] = (("classified_urls",), f"""
 select {_rows} from classified_urls
 where time_added >= (select max(ts) from events) - interval 7 day""")
-ORACLES["src_synth_urls"] = (("synth",), "select event_id, url from synth")
 ORACLES["sink_url_batches"] = (("batches",), "select cast(to_json({'urls': urls}) as varchar) as value from batches")
 ORACLES["sink_classified"] = (("classified_urls",), f"select {_rows} from classified_urls")
 ORACLES["sink_layout"] = (("classified_urls",), """
@@ -272,6 +266,19 @@ from measured, lateral (values ('Accuracy', accuracy), ('Precision', precision),
      ('Average Precision', average_precision)) t(metric, v)""")
 ORACLES["sink_alerts"] = ORACLES["sink_submit"]
 
+
+def _by_length(rows: str) -> str:
+    return (
+        f"select url, (length(url) % 100) / 100 as score, case when (length(url) % 100) / 100 > 0.5 "
+        f"then 'MALICIOUS' else 'BENIGN' end as classification from {rows}"
+    )
+
+
+ORACLES["sink_all_writers"] = (("envelopes", "classified_urls", "submitted"), f"""
+{_by_length("envelopes where kind = 'good' and event_id % 2 = 0")}
+union all select url, score, classification from classified_urls
+union all select url, score, classification from submitted""")
+
 # ------------------------------------------------------------------ expressions and ingest
 
 ORACLES["fn_normalize_url"] = (("messy_urls",), f"select event_id, {_normal} as normalized from messy_urls")
@@ -307,11 +314,9 @@ select event_id, cast(unnest(range(len(domains))) as integer) as pos, unnest(dom
 from ct_messages where kind = 'certificate_update'""")
 ORACLES["regroup_by_cert"] = (("batches",), "select id, array_to_string(urls, '|') as urls from batches")
 ORACLES["max_id_mark"] = (("ct_records",), "select max(id) as max_cert_id from ct_records where id <> 0")
-ORACLES["ingest_counters"] = (("ct_messages",), f"""
-select count(*) as batches, cast(sum(n) as bigint) as domains
-from (select len(list_filter(domains, lambda domain: {_valid})) as n
-      from ct_messages where kind = 'certificate_update')
-where n > 0""")
+ORACLES["ingest_counters"] = (("ct_messages",), """
+select count(*) as batches, cast(sum(len(domains)) as bigint) as domains
+from ct_messages where kind = 'certificate_update'""")
 
 # ------------------------------------------------------------------ dashboard
 
@@ -416,14 +421,23 @@ select gram, pos, neg, round(log_odds, 6) as log_odds from nb_table""")
 ORACLES["model_persist"] = ORACLES["model_nb_table"]
 ORACLES["score_urls"] = (("nb_table", "url_corpus_raw"), f"""
 select url, {_stored} from url_corpus_raw join ({_scored('url_corpus_raw')}) using (url)""")
+ORACLES["score_urls_joined"] = ORACLES["score_urls"]
+ORACLES["model_train"] = (("balanced",), """
+select url, label, true as is_probability, true as survives_saving from balanced where part = 'test'""")
+ORACLES["model_select"] = (("train",), """
+select cast(count(*) - ceil(0.2::double * count(*)) as bigint) as n_train,
+       cast(ceil(0.2::double * count(*)) as bigint) as n_validation,
+       true as rounds_in_bounds, true as best_has_least_loss, true as accurate
+from train""")
+ORACLES["score_pipeline"] = (("url_corpus_raw",), "select url, true as fits from url_corpus_raw")
 ORACLES["score_user_model"] = (("url_corpus_raw",), f"""
 select url, round_even(cast(cast(raw as float) as double), 2) as score,
        case when cast(cast(raw as float) as double) > 0.1::double then 'MALICIOUS' else 'BENIGN' end as classification
 from (select url, length(regexp_replace({_normal}, '[^0-9]', '', 'g')) / length({_normal}) as raw
       from url_corpus_raw)""")
-ORACLES["score_throughput"] = (("nb_table", "synth"), f"""
-select classification, count(*) as n
-from (select url, {_stored} from synth join ({_scored('synth')}) using (url)) group by all""")
+ORACLES["score_throughput"] = (("nb_table", "messy_urls"), f"""
+select classification, count(*) as n, true as keeps_up
+from (select url, {_stored} from messy_urls join ({_scored('messy_urls')}) using (url)) group by all""")
 
 # ------------------------------------------------------------------ evaluation
 
@@ -500,6 +514,11 @@ select outcome, n, round(mean, 6) as mean, round(q1, 6) as q1, round(median, 6)
 from (select outcome, count(*) as n, avg(score) as mean, quantile_cont(score, 0.25) as q1,
              quantile_cont(score, 0.5) as median, quantile_cont(score, 0.75) as q3
       from outcomes group by outcome) q""")
+ORACLES["eval_metrics_bucketed"] = (("hot_measured",), _hot(ORACLES["eval_metrics"][1]))
+ORACLES["eval_curves_bucketed"] = (("hot_by_score", "hot_conf"), f"""
+select curve, x, y, nullif(threshold, '-inf'::double) as threshold
+from ({_hot(ORACLES["eval_curves"][1])})""")
+ORACLES["eval_box_bucketed"] = (("hot_outcomes",), _hot(ORACLES["eval_box"][1]))
 _summary = ", ".join(f"('{name}', {column})" for name, column in SUMMARY_ROWS)
 ORACLES["eval_summary"] = (("conf",), f"""
 select category as "Category", n as "Count"
@@ -520,15 +539,22 @@ ORACLES["stream_score"] = (("nb_table", "enveloped"), f"""
 select url, {_stored} from enveloped join ({_scored('enveloped')}) using (url)""")
 ORACLES["stream_dead_letter"] = (("envelopes",), """
 select event_id, 'not a JSON object' as error from envelopes where kind = 'dead'""")
-ORACLES["stream_ingest"] = (("ct_messages",), f"""
-select distinct domain
-from (select unnest(domains) as domain from ct_messages where kind = 'certificate_update')
-where {_valid}""")
-VIEWS["searched_names"] = (("certificates",), """
-select id, unnest(names) as domain from certificates where id % 50 <> 0""")
-ORACLES["stream_ingest_search"] = (("searched_names",), f"""
-select distinct domain from searched_names where {_valid}""")
-ORACLES["stream_rate_limit"] = ((), "select 4::bigint as batches, count(*) as n from events")
+ORACLES["stream_ingest"] = (("ct_messages",), """
+select cast(to_json({'urls': domains}) as varchar) as value
+from ct_messages where kind = 'certificate_update'""")
+VIEWS["searched"] = (("certificates",), f"""
+select * from (select ts, record, unnest(range(len(names))) as pos, unnest(names) as domain
+               from certificates where id % 50 <> 0) where {_valid}""")
+ORACLES["stream_ingest_search"] = (("searched", "ct_records"), """
+select cast(to_json({'urls': list(domain order by pos)}) as varchar) as value,
+       (select max(id) from ct_records where id % 50 <> 0) as mark
+from (select *, row_number() over (partition by domain order by ts, record, pos) as rn from searched)
+where rn = 1 group by record""")
+ORACLES["stream_replay"] = (("envelopes",), f"""
+{_by_length("envelopes where kind = 'good' and event_id % 2 = 0")} union all
+{_by_length("envelopes where kind = 'good' and event_id % 3 = 0")}""")
+ORACLES["stream_counts_replay"] = ORACLES["stream_minute_counts"]
+ORACLES["stream_rate_limit"] = ((), "select 4::bigint as batches, count(*) as n, true as paced from events")
 ORACLES["stream_resume"] = (("classified_urls",), """
 select event_id, url, score, classification from classified_urls""")
 

@@ -2,22 +2,23 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from urlsight import fixtures as fx
 from urlsight.functions import predicates, score, text
-from urlsight.functions.rows import unnest
-from urlsight.operators import corpus, features, ingest, model, ranking, scoring
+from urlsight.operators import corpus, features, ingest, model, scoring
 from urlsight.plans import dashboard, evaluation
-from urlsight.schemas import LABELLED
-from urlsight.session import shared_dir
+from urlsight.session import shared_dir, stored
 from urlsight.sinks import messages as out
 from urlsight.sinks import reports, submissions
 from urlsight.sinks import table as sink
-from urlsight.sources import generated, lines, messages, table
+from urlsight.sinks.batches import keyed_writer, read_batches
+from urlsight.sources import lines, messages, table
 from urlsight.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,11 +105,6 @@ def src_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.iso_columns(recent.select("url", "score", "classification", "time_added"))
 
 
-@query
-def src_synth_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return generated.generate_urls(fx.read(spark, sf_dir, "events"), "event_id")
-
-
 # ------------------------------------------------------------------ sinks
 
 
@@ -161,7 +157,23 @@ def sink_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = submissions.accepted_rows(submissions.parse_submissions(requests))
     jobs.drain(jobs.alert_stream(rows.select(*sink.COLUMNS), path, shared_dir(spark, "checkpoint")))
     shape = "url string, score double, classification string, time_added string"
-    return spark.read.schema(shape).json(path)
+    return read_batches(spark, path, shape, "json").drop("run", "batch")
+
+
+@query
+def sink_all_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table that a stream, a batch job and submissions add to."""
+    path = shared_dir(spark, "classified")
+
+    def by_length(url: Column) -> Column:
+        return (F.length(url) % 100) / 100
+
+    stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
+    writer = jobs.score_stream(stream.filter("event_id % 2 = 0"), by_length, path, shared_dir(spark, "checkpoint"))
+    jobs.drain(writer)
+    sink.write_classified(fx.classified_urls(spark, sf_dir), path)
+    submissions.submit(fx.submissions(spark, sf_dir), path)
+    return table.read_classified(spark, path).select("url", "score", "classification")
 
 
 # ------------------------------------------------------------------ expressions
@@ -287,18 +299,41 @@ def max_id_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.highest_id(fx.ct_records(spark, sf_dir))
 
 
+def _message_files(spark: SparkSession, sf_dir: str, label: str, rows: DataFrame, files: int = FILES) -> str:
+    """``rows(ts, value)`` as files in the order of time, each written after the one before."""
+    path = shared_dir(spark, label)
+    ends = rows.agg(F.percentile_approx("ts", [i / files for i in range(1, files)], 1000)).first()[0]
+    for low, high in zip([None, *ends], [*ends, None]):
+        part = rows
+        if low is not None:
+            part = part.filter(F.col("ts") > F.lit(low))
+        if high is not None:
+            part = part.filter(F.col("ts") <= F.lit(high))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _one_file_a_batch(spark: SparkSession, path: str) -> DataFrame:
+    schema = StructType.fromDDL("ts timestamp, value string")
+    return jobs.file_stream(spark, path, schema, files_per_trigger=1)
+
+
 @query
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = fx.ct_messages(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
-    updates = messages.good_rows(messages.parse_ct_messages(stream))
-    urls = predicates.valid_names(F.col("all_domains")).alias("urls")
-    batches = ingest.count_published(updates.select(urls).filter(F.size("urls") > 0))
-    writer = out.url_messages(batches).writeStream.format("text").option(
-        "checkpointLocation", shared_dir(spark, "checkpoint")
-    )
-    query = jobs.drain(writer.option("path", shared_dir(spark, "batches")))
-    counts = ingest.published_so_far(query)
-    return spark.createDataFrame([counts], "batches bigint, domains bigint")
+    """More batches than a query keeps progress of, from two checkpoints."""
+    path, kept = shared_dir(spark, "batches"), "spark.sql.streaming.numRecentProgressUpdates"
+    sent = fx.ct_messages(spark, sf_dir)
+    before = spark.conf.get(kept)
+    spark.conf.set(kept, "2")
+    try:
+        for turn in (0, 1):
+            half = sent.filter(F.col("event_id") % 2 == turn).select("ts", "value")
+            source = _message_files(spark, sf_dir, "messages", half)
+            lists = jobs.names_of_messages(_one_file_a_batch(spark, source))
+            jobs.drain(jobs.certificate_stream(lists, path, shared_dir(spark, "checkpoint")))
+    finally:
+        spark.conf.set(kept, before)
+    return ingest.published_so_far(spark, jobs.counters_of(path))
 
 
 # ------------------------------------------------------------------ dashboard
@@ -360,11 +395,13 @@ def _corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.dedup_corpus(fx.url_corpus_raw(spark, sf_dir))
 
 
+def _stored_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus de-duplicated once: each pass over it is then a plain scan."""
+    return stored(_corpus(spark, sf_dir), "corpus")
+
+
 def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The balanced split of the stored corpus: each pass over it is then a plain scan."""
-    path = shared_dir(spark, "corpus")
-    _corpus(spark, sf_dir).write.parquet(path)
-    return corpus.balance_split(spark.read.schema(LABELLED).parquet(path))
+    return corpus.balance_split(_stored_corpus(spark, sf_dir))
 
 
 def _only(split: DataFrame, part: str) -> DataFrame:
@@ -399,12 +436,12 @@ def corpus_balance_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def corpus_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.with_position(_corpus(spark, sf_dir), ranking.hash_key(7))
+    return corpus.shuffle_corpus(_stored_corpus(spark, sf_dir), seed=7)
 
 
 @query
 def corpus_stratified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.stratified_split(_corpus(spark, sf_dir))
+    return corpus.stratified_split(_stored_corpus(spark, sf_dir))
 
 
 @query
@@ -450,27 +487,56 @@ def model_persist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _saved_table(spark, sf_dir).withColumn("log_odds", F.round("log_odds", 6))
 
 
+# Floors that the models must reach on held-out rows of the given tables.
+LEAST_ACCURACY = 0.6
+
+
 @query
 def model_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The held-out rows, and whether each has a probability that saving does not change."""
     split = _split(spark, sf_dir)
     fitted = model.train(_only(split, corpus.TRAIN))
     path = shared_dir(spark, "pipeline")
     model.save_model(fitted, path)
-    scored = model.predict(_only(split, corpus.TEST), model.load_model(path))
-    return scored.select("url", "label", F.round("raw", 4).alias("score"))
+    test = _only(split, corpus.TEST)
+    first = model.predict(test, fitted).withColumnRenamed("raw", "first")
+    both = model.predict(first, model.load_model(path))
+    return both.select(
+        "url", "label",
+        F.coalesce(F.col("raw").between(0, 1), F.lit(False)).alias("is_probability"),
+        (F.abs(F.col("raw") - F.col("first")) < 1e-9).alias("survives_saving"),
+    )
 
 
 @query
 def model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = corpus.stratified_split(_only(_split(spark, sf_dir), corpus.TRAIN))
-    chosen = model.select_model(
-        _only(parts, corpus.TRAIN), _only(parts, corpus.VALIDATION), max_rounds=3, max_iter=5
+    """Facts of a search: sizes of its parts, that its best round is the best, and its accuracy."""
+    parts = corpus.stratified_split(stored(_only(_split(spark, sf_dir), corpus.TRAIN), "train"))
+    training, validation = _only(parts, corpus.TRAIN), _only(parts, corpus.VALIDATION)
+    chosen = model.select_model(training, validation, max_rounds=3, max_iter=5)
+    loss, accuracy = model.validation_scores(model.predict(validation, chosen.by_loss))
+    sizes = parts.agg(
+        F.count_if(F.col("part") == corpus.TRAIN).alias("n_train"),
+        F.count_if(F.col("part") == corpus.VALIDATION).alias("n_validation"),
     )
-    return spark.createDataFrame(
-        chosen.history, "round int, reg double, val_loss double, val_accuracy double"
+    return sizes.select(
+        "*",
+        F.lit(1 <= len(chosen.history) <= 3).alias("rounds_in_bounds"),
+        F.lit(abs(min(h[2] for h in chosen.history) - loss) < 1e-9).alias("best_has_least_loss"),
+        F.lit(accuracy >= LEAST_ACCURACY).alias("accurate"),
     )
 
 
+@query
+def score_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every URL scored by a pipeline, and whether score and class fit together."""
+    fitted = model.train(_only(_split(spark, sf_dir), corpus.TRAIN), max_iter=5)
+    scored = scoring.score_urls(fx.url_corpus_raw(spark, sf_dir), fitted)
+    malicious = F.col("classification") == score.MALICIOUS
+    fits = F.when(malicious, F.col("score") >= 0.5).otherwise(F.col("score") <= 0.5)
+    return scored.select("url", F.coalesce(fits & F.col("score").between(0, 1), F.lit(False)).alias("fits"))
+
+
 @query
 def score_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.url_corpus_raw(spark, sf_dir)
@@ -478,6 +544,14 @@ def score_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("url", "score", "classification")
 
 
+@query
+def score_urls_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form for a table that is too large to broadcast."""
+    large = scoring.table_model(_saved_table(spark, sf_dir), broadcast_rows=5)
+    scored = scoring.score_urls(fx.url_corpus_raw(spark, sf_dir), large)
+    return scored.select("url", "score", "classification")
+
+
 @query
 def score_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     def load() -> Callable[[list[str]], list[float]]:
@@ -494,11 +568,20 @@ def score_user_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("url", "score", "classification")
 
 
+# URLs per second that the deployed scorer is said to reach.
+REFERENCE_RATE = 200
+
+
 @query
 def score_throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
-    urls = generated.generate_urls(fx.read(spark, sf_dir, "events"), "event_id")
-    scored = scoring.score_urls(urls, _saved_table(spark, sf_dir))
-    return scored.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    """Classes of all messy URLs, and whether scoring them kept up with ``REFERENCE_RATE``."""
+    urls = stored(fx.messy_urls(spark, sf_dir), "urls")
+    learned = scoring.table_model(_saved_table(spark, sf_dir))
+    start = time.monotonic()
+    scored = stored(scoring.score_urls(urls, learned), "scored")
+    counts = scored.groupBy("classification").agg(F.count(F.lit(1)).alias("n"))
+    rate = urls.count() / (time.monotonic() - start)
+    return counts.withColumn("keeps_up", F.lit(rate >= REFERENCE_RATE))
 
 
 # ------------------------------------------------------------------ evaluation
@@ -522,25 +605,51 @@ def eval_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(measured, *RATES, "auc_roc", "average_precision", "loss")
 
 
+# Bounds as a table with many distinct scores gets them, for rows of which some have no score
+# and most have the same.
+BOUNDS = [0.1, 0.2, 0.25, 0.4, 0.8]
+
+
+@query
+def eval_metrics_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = evaluation.metrics(fx.hot_scored_rows(spark, sf_dir), bounds=BOUNDS)
+    return _rounded(measured, *RATES, "auc_roc", "average_precision", "loss")
+
+
+@query
+def eval_curves_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curves(fx.hot_scored_rows(spark, sf_dir), BOUNDS)
+
+
+@query
+def eval_box_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _boxes(fx.hot_scored_rows(spark, sf_dir), BOUNDS)
+
+
 @query
 def eval_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = evaluation.confusion(fx.scored_rows(spark, sf_dir))
     return _rounded(evaluation.class_report(counts), "precision", "recall", "f1")
 
 
-@query
-def eval_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = fx.scored_rows(spark, sf_dir)
-    roc = evaluation.roc_curve(rows).select(
+def _curves(rows: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+    """Both curves from one count of the rows."""
+    found = evaluation.counted(rows, bounds)
+    roc = evaluation.roc_curve(found).select(
         F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold"
     )
-    pr = evaluation.pr_curve(rows).select(
+    pr = evaluation.pr_curve(found).select(
         F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"),
         "threshold",
     )
     return _rounded(roc.unionByName(pr), "x", "y")
 
 
+@query
+def eval_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _curves(fx.scored_rows(spark, sf_dir))
+
+
 @query
 def eval_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sweep = evaluation.threshold_sweep(fx.scored_rows(spark, sf_dir))
@@ -566,10 +675,14 @@ def eval_hist60(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(bins, "bin_start", "bin_end")
 
 
+def _boxes(rows: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+    boxes = evaluation.box_stats(rows, bounds=bounds)
+    return _rounded(boxes, *[c for c in boxes.columns if c not in ("outcome", "n")])
+
+
 @query
 def eval_box(spark: SparkSession, sf_dir: str) -> DataFrame:
-    boxes = evaluation.box_stats(fx.scored_rows(spark, sf_dir))
-    return _rounded(boxes, *[c for c in boxes.columns if c not in ("outcome", "n")])
+    return _boxes(fx.scored_rows(spark, sf_dir))
 
 
 @query
@@ -614,27 +727,60 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
     decoded = messages.decode_envelopes(stream).select("event_id", "error")
     jobs.drain(jobs.dead_letter_stream(decoded, path, shared_dir(spark, "checkpoint")))
-    return spark.read.schema("event_id bigint, error string").parquet(path)
+    return read_batches(spark, path, "event_id bigint, error string").drop("run", "batch")
 
 
-def _ingested(spark: SparkSession, names: DataFrame) -> DataFrame:
-    path = shared_dir(spark, "ingested")
-    checkpoint = shared_dir(spark, "checkpoint")
-    jobs.drain(jobs.ingest_stream(names, path, checkpoint, horizon=REPLAY_DELAY))
-    urls = F.from_json("value", "urls array<string>")["urls"]
-    return unnest(spark.read.text(path).select(urls.alias("urls")), "urls", "domain")
+def _published(spark: SparkSession, path: str) -> DataFrame:
+    return read_batches(spark, path, "value string", "text").select("value")
 
 
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = fx.ct_messages(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
-    return _ingested(spark, jobs.names_of_messages(stream))
+    """Messages of the certificate path over several micro-batches."""
+    path = shared_dir(spark, "ingested")
+    source = _message_files(spark, sf_dir, "messages", fx.ct_messages(spark, sf_dir).select("ts", "value"))
+    lists = jobs.names_of_messages(_one_file_a_batch(spark, source))
+    jobs.drain(jobs.certificate_stream(lists, path, shared_dir(spark, "checkpoint")))
+    return _published(spark, path)
 
 
 @query
 def stream_ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stream = fx.ct_search_bodies(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
-    return _ingested(spark, jobs.names_of_searches(stream))
+    """Messages of the search path, and that its mark is the highest id, over several micro-batches."""
+    path, staging, mark = (shared_dir(spark, n) for n in ("ingested", "staging", "mark"))
+    source = _message_files(spark, sf_dir, "bodies", fx.ct_search_bodies(spark, sf_dir))
+    names = jobs.names_of_searches(_one_file_a_batch(spark, source))
+    jobs.drain(jobs.staged_domains(names, staging, shared_dir(spark, "checkpoint"), mark))
+    jobs.drain(jobs.ingest_stream(
+        spark, staging, path, shared_dir(spark, "checkpoint"), horizon=REPLAY_DELAY, files_per_trigger=1
+    ))
+    return _published(spark, path).withColumn("mark", F.lit(ingest.load_mark(spark, mark)))
+
+
+@query
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two checkpoints into one folder: the second run adds to the first."""
+    path = shared_dir(spark, "scored")
+
+    def by_length(url: Column) -> Column:
+        return (F.length(url) % 100) / 100
+
+    for half in ("event_id % 2 = 0", "event_id % 3 = 0"):
+        stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir)).filter(half)
+        jobs.drain(jobs.score_stream(stream, by_length, path, shared_dir(spark, "checkpoint")))
+    return table.read_classified(spark, path).select("url", "score", "classification")
+
+
+@query
+def stream_counts_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Live counts of a part of the rows, then of all of them again with a new checkpoint."""
+    path = shared_dir(spark, "minutes")
+    for part in ("event_id % 2 = 0", "true"):
+        rows = fx.classify_events(spark, sf_dir, fx.read_events_stream(spark, sf_dir)).filter(part)
+        jobs.drain(jobs.minute_counts_stream(
+            rows.select("time_added", "classification"), path, shared_dir(spark, "checkpoint"), REPLAY_DELAY
+        ))
+    return text.iso_columns(jobs.current_minute_counts(spark, path))
 
 
 def _event_files(spark: SparkSession, sf_dir: str, path: str) -> None:
@@ -644,19 +790,29 @@ def _event_files(spark: SparkSession, sf_dir: str, path: str) -> None:
 
 @query
 def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capped source with a paced trigger: one file a batch, and batches a second apart."""
     source, path = shared_dir(spark, "files"), shared_dir(spark, "paced")
     _event_files(spark, sf_dir, source)
     schema = fx.read(spark, sf_dir, "events").schema
     stream = jobs.file_stream(spark, source, schema, files_per_trigger=1)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.select("event_id").write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    checkpoint = shared_dir(spark, "checkpoint")
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
-    jobs.drain(writer)
-    return spark.read.schema("event_id bigint, batch bigint").parquet(path).agg(
-        F.count_distinct("batch").alias("batches"), F.count(F.lit(1)).alias("n")
+    def write(batch: DataFrame, folder: str) -> None:
+        batch.select("event_id", F.current_timestamp().alias("at")).write.mode("overwrite").parquet(folder)
+
+    writer = keyed_writer(stream, path, shared_dir(spark, "checkpoint"), write)
+    running = jobs.paced(writer, seconds=1).start()
+    try:
+        running.processAllAvailable()
+    finally:
+        running.stop()
+    batches = read_batches(spark, path, "event_id bigint, at timestamp").groupBy("batch").agg(
+        F.min("at").alias("at"), F.count(F.lit(1)).alias("n")
+    )
+    # The first batch starts at once, the second at the next full second.
+    seconds = F.max("at").cast("double") - F.min("at").cast("double")
+    return batches.agg(
+        F.count(F.lit(1)).alias("batches"), F.sum("n").alias("n"),
+        (seconds >= FILES - 2.5).alias("paced"),
     )
 
 
@@ -672,4 +828,4 @@ def stream_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
         feed = rows.select("event_id", *sink.COLUMNS)
         jobs.drain(jobs.alert_stream(feed, path, checkpoint))
     shape = "event_id bigint, url string, score double, classification string"
-    return spark.read.schema(shape).json(path)
+    return read_batches(spark, path, shape, "json").drop("run", "batch")

@@ -1,10 +1,12 @@
-"""Writing the table of classified URLs."""
+"""Writing the table of classified URLs: ``run=<run>/batch=<number>/dt=<day>``."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from urlsight.sinks.batches import new_run
+
 COLUMNS = ("url", "score", "classification", "time_added")
 
 
@@ -26,5 +28,14 @@ def lay_out(df: DataFrame) -> DataFrame:
     )
 
 
+def write_batch(laid_out: DataFrame, folder: str) -> None:
+    """One batch of a stream; written again it replaces itself."""
+    laid_out.write.mode("overwrite").partitionBy("dt").parquet(folder)
+
+
 def write_classified(df: DataFrame, path: str, mode: str = "append") -> None:
-    lay_out(df).write.mode(mode).partitionBy("dt").parquet(path)
+    """Add rows to the table as a run of one batch, next to those of streams and submissions."""
+    keyed = with_day(df).withColumns({"run": F.lit(new_run()), "batch": F.lit(0).cast("bigint")})
+    keyed.hint("rebalance", "dt").sortWithinPartitions(
+        "run", "batch", "dt", "classification", "time_added"
+    ).write.mode(mode).partitionBy("run", "batch", "dt").parquet(path)

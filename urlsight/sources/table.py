@@ -8,12 +8,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight.schemas import CLASSIFIED
+from urlsight.sinks.batches import read_batches
+
+
+def _shape() -> str:
+    return CLASSIFIED.simpleString()[len("struct<"):-1].replace(":", " ")
 
 
 def read_classified(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of the table; ``dt`` is its partition column."""
-    schema = CLASSIFIED.simpleString()[len("struct<"):-1].replace(":", " ")
-    return spark.read.schema(f"{schema}, dt date").parquet(path)
+    """Scan of the table, whoever wrote its rows; ``dt`` is its partition column."""
+    return read_batches(spark, path, f"{_shape()}, dt date").drop("run", "batch")
+
+
+def stream_classified(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the table as a stream, as they are added."""
+    reader = spark.readStream.schema(_shape()).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
 
 
 def moment(as_of: datetime | Column | None) -> Column:

@@ -1,16 +1,13 @@
 """The streaming side: paced sources, and writers that survive restarts.
 
 Each job is returned as a writer that is not started yet, so the caller picks the
-trigger; ``drain`` runs one until its source has nothing new. Every row is written exactly
-once: either by the file sink, or per batch into a folder named after the batch id, which
-is replaced when a batch runs again.
+trigger; ``drain`` runs one until its source has nothing new. Every batch has a folder of its
+own, named after the run of its checkpoint and its number: it replaces itself when it runs
+again, and a new checkpoint adds to what earlier runs have written.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -19,10 +16,20 @@ from pyspark.sql.types import StructType
 from urlsight.functions.predicates import is_valid_domain
 from urlsight.functions.rows import unnest
 from urlsight.functions.text import certificate_names
-from urlsight.operators.ingest import drop_wildcards, explode_domains, record_key, regroup
-from urlsight.operators.scoring import Model, score_urls
+from urlsight.operators.ingest import (
+    drop_wildcards,
+    explode_domains,
+    first_seen,
+    highest_id,
+    record_key,
+    regroup,
+    save_mark,
+    write_counters,
+)
+from urlsight.operators.scoring import Model, TableModel, score_urls, table_model
+from urlsight.sinks.batches import batch_path, keyed_writer, read_batches
 from urlsight.sinks.messages import alert_messages, url_messages
-from urlsight.sinks.table import lay_out, with_day
+from urlsight.sinks.table import lay_out, with_day, write_batch
 from urlsight.sources.messages import (
     dead_letters,
     decode_envelopes,
@@ -32,9 +39,8 @@ from urlsight.sources.messages import (
     search_records,
 )
 
-# Messages per second of the two producers.
+# Fixed value: messages per second of the certificate stream.
 STREAM_RATE = 50
-SEARCH_RATE = 10
 
 
 def file_stream(
@@ -43,9 +49,15 @@ def file_stream(
     schema: StructType,
     file_format: str = "parquet",
     files_per_trigger: int | None = None,
+    nested: bool = False,
 ) -> DataFrame:
-    """New files of a folder as a stream, at most ``files_per_trigger`` per batch."""
+    """New files of a folder as a stream, at most ``files_per_trigger`` per batch.
+
+    With ``nested`` files in folders below count as well, and their names mean nothing.
+    """
     reader = spark.readStream.schema(schema).format(file_format)
+    if nested:
+        reader = reader.option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.load(path)
@@ -80,100 +92,113 @@ def drain(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def _batch_path(path: str, batch_id: int) -> str:
-    return f"{path}/batch={batch_id}"
-
-
 def score_stream(envelopes: DataFrame, model: Model, path: str, checkpoint: str) -> DataStreamWriter:
     """Envelopes to classified rows: decode, drop wildcards, score, append.
 
-    With a pipeline or a scoring function each row is scored by itself, and the rows go
-    straight to the file sink, one job per batch and no shuffle. A log-odds table needs a
-    join and a sum per URL, so its batches are scored one by one. Envelopes that cannot be
-    read are left to ``dead_letter_stream``.
+    With a pipeline, a scoring function or a log-odds table that fits in memory each row is
+    scored by itself, one job per batch and no shuffle. A larger table is joined, and its size
+    is read once, here. Envelopes that cannot be read are left to ``dead_letter_stream``.
     """
     names = unnest(good_rows(decode_envelopes(envelopes)).select("urls"), "urls", "url")
-    names = drop_wildcards(names)
-    if not isinstance(model, DataFrame):
-        return (
-            with_day(score_urls(names, model))
-            .writeStream.format("parquet")
-            .partitionBy("dt")
-            .option("path", path)
-            .option("checkpointLocation", checkpoint)
-        )
+    if isinstance(model, DataFrame):
+        model = table_model(model)
+    joined = isinstance(model, TableModel) and model.score is None
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        lay_out(score_urls(batch, model)).write.mode("overwrite").partitionBy("dt").parquet(
-            _batch_path(path, batch_id)
-        )
+    def write(batch: DataFrame, folder: str) -> None:
+        scored = score_urls(batch, model)
+        write_batch(lay_out(scored) if joined else with_day(scored), folder)
 
-    return names.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    return keyed_writer(drop_wildcards(names), path, checkpoint, write)
 
 
 def dead_letter_stream(parsed: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """The rows a parser marked with an error, kept for inspection."""
-    return (
-        dead_letters(parsed)
-        .writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-    )
-
-
-def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day") -> DataFrame:
-    """Rows whose domain did not come up within the horizon of event time before.
-
-    A domain is free again once the watermark has passed its last emission by the horizon;
-    the watermark moves with the other rows, so on a quiet stream that may be later.
-
-    The state operator has no map-side step, so a domain that fills a third of the stream
-    would go to one task row by row. Repeats are therefore thinned out within each Arrow
-    batch first. The earliest row stays, which starts the horizon, and the latest, which
-    still counts if the earliest comes too late.
-    """
 
-    # Defined here, the function travels to the workers by value, without this package.
-    def thin_out(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            rows = rows.sort_values(time, kind="stable")
-            ends = ~rows.duplicated("domain") | ~rows.duplicated("domain", keep="last")
-            yield rows[ends]
+    def write(batch: DataFrame, folder: str) -> None:
+        batch.write.mode("overwrite").parquet(folder)
 
-    thinned = domains.mapInPandas(thin_out, domains.schema)
-    return thinned.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["domain"])
+    return keyed_writer(dead_letters(parsed), path, checkpoint, write)
 
 
-def names_of_messages(messages: DataFrame, body: str = "value", time: str = "ts") -> DataFrame:
-    """``(time, record, names)`` of certificate stream messages."""
+def names_of_messages(messages: DataFrame, body: str = "value") -> DataFrame:
+    """``(urls)``: all names of each certificate stream message, as they came."""
     updates = good_rows(parse_ct_messages(messages, body))
-    return updates.select(time, record_key(body).alias("record"), F.col("all_domains").alias("names"))
+    return updates.select(F.col("all_domains").alias("urls"))
 
 
 def names_of_searches(bodies: DataFrame, body: str = "value", time: str = "ts") -> DataFrame:
-    """``(time, record, names)`` of certificate search responses."""
+    """``(time, id, record, names)`` of certificate search responses."""
     records = search_records(parse_ct_search(bodies, body), time)
     names = certificate_names(F.col("name_value"), F.col("common_name"))
     key = record_key("id", "name_value", "common_name")
-    return records.select(time, key.alias("record"), names.alias("names"))
+    return records.select(time, "id", key.alias("record"), names.alias("names"))
+
+
+def _publish(messages: DataFrame, folder: str, counters: str) -> None:
+    """Write a batch of messages, then count what was written."""
+    messages.write.mode("overwrite").text(folder)
+    written = messages.sparkSession.read.schema("value string").text(folder)
+    run, batch = folder.split("/")[-2:]
+    write_counters(written, f"{counters}/{run}/{batch}")
+
+
+def counters_of(path: str) -> str:
+    """Where the counters of the messages in ``path`` are kept."""
+    return f"{path.rstrip('/')}-counters"
+
+
+def certificate_stream(lists: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The certificate stream's path: one message for each certificate, with all its names."""
+
+    def write(batch: DataFrame, folder: str) -> None:
+        _publish(url_messages(batch), folder, counters_of(path))
+
+    return keyed_writer(lists, path, checkpoint, write)
+
+
+def staged_domains(
+    names: DataFrame, staging: str, checkpoint: str, mark: str | None = None, time: str = "ts"
+) -> DataStreamWriter:
+    """The search path's first step: valid domains, each once a batch, with its earliest record.
+
+    The minimum is combined before the shuffle, so a domain that fills a third of the stream
+    costs one row a task, and one row a batch in the state of ``ingest_stream``. With ``mark``
+    the highest record id of each batch is saved there for the next job to resume from.
+    """
+
+    def write(batch: DataFrame, folder: str) -> None:
+        domains = explode_domains(batch.select(time, "record", "names"), "names")
+        valid = domains.filter(is_valid_domain(F.col("domain")))
+        first_seen(valid, "domain", [time, "record", "pos"]).write.mode("overwrite").parquet(folder)
+        if mark:
+            save_mark(highest_id(batch).filter("max_cert_id is not null"), mark)
+
+    return keyed_writer(names, staging, checkpoint, write)
+
+
+def unseen_domains(domains: DataFrame, time: str = "ts", horizon: str = "1 day") -> DataFrame:
+    """Rows whose domain did not come up within the horizon of event time before.
+
+    A domain is free again once the watermark has passed its last emission by the horizon;
+    the watermark moves with the other rows, so on a quiet stream that may be later.
+    """
+    return domains.withWatermark(time, horizon).dropDuplicatesWithinWatermark(["domain"])
 
 
 def ingest_stream(
-    names: DataFrame, path: str, checkpoint: str, time: str = "ts", horizon: str = "1 day"
+    spark: SparkSession, staging: str, path: str, checkpoint: str,
+    time: str = "ts", horizon: str = "1 day", files_per_trigger: int | None = None,
 ) -> DataStreamWriter:
-    """Certificates to URL batches: valid domains not seen lately, one list per record."""
-    domains = explode_domains(names, "names").filter(is_valid_domain(F.col("domain")))
+    """The second step: domains not seen lately, packed into one message for each record."""
+    schema = StructType.fromDDL(f"{time} timestamp, record string, pos int, domain string")
+    # The folder must be there, even before the first step has written to it.
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(batch_path(staging, "0", 0))
+    staged = file_stream(spark, staging, schema, files_per_trigger=files_per_trigger, nested=True)
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        url_messages(regroup(batch, ["record"])).write.mode("overwrite").text(
-            _batch_path(path, batch_id)
-        )
+    def write(batch: DataFrame, folder: str) -> None:
+        _publish(url_messages(regroup(batch, ["record"])), folder, counters_of(path))
 
-    return (
-        unseen_domains(domains, time, horizon)
-        .writeStream.option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
+    return keyed_writer(unseen_domains(staged, time, horizon), path, checkpoint, write)
 
 
 def minute_counts(classified: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -189,34 +214,33 @@ def minute_counts(classified: DataFrame, delay: str = "10 minutes") -> DataFrame
 def minute_counts_stream(
     classified: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes"
 ) -> DataStreamWriter:
-    """Keeps the live counts per minute; each batch writes the minutes it changed."""
+    """Keeps the live counts per minute; each batch writes the minutes it changed, by day."""
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(_batch_path(path, batch_id))
+    def write(batch: DataFrame, folder: str) -> None:
+        days = batch.withColumn("dt", F.to_date("time_bucket"))
+        days.write.mode("overwrite").partitionBy("dt").parquet(folder)
 
-    return (
-        minute_counts(classified, delay)
-        .writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(write)
-    )
+    return keyed_writer(minute_counts(classified, delay), path, checkpoint, write, mode="update")
 
 
-def current_minute_counts(spark: SparkSession, path: str) -> DataFrame:
-    """The latest state of every minute written so far."""
-    schema = "time_bucket timestamp, classification string, count bigint, batch bigint"
-    return (
-        spark.read.schema(schema).parquet(path)
-        .groupBy("time_bucket", "classification")
-        .agg(F.max_by("count", "batch").alias("count"))
+def current_minute_counts(spark: SparkSession, path: str, since: str | None = None) -> DataFrame:
+    """The latest state of every minute: that of the run begun last, and its last batch.
+
+    ``since`` is the first day to read; older folders are left out of the scan.
+    """
+    schema = "time_bucket timestamp, classification string, count bigint, dt date"
+    rows = read_batches(spark, path, schema)
+    if since:
+        rows = rows.filter(F.col("dt") >= F.lit(since).cast("date"))
+    return rows.groupBy("time_bucket", "classification").agg(
+        F.max_by("count", F.struct("run", "batch")).alias("count")
     )
 
 
 def alert_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """New rows as JSON lines in a feed folder, for whoever subscribes to it."""
-    return (
-        alert_messages(rows)
-        .writeStream.format("text")
-        .option("checkpointLocation", checkpoint)
-        .option("path", path)
-    )
+
+    def write(batch: DataFrame, folder: str) -> None:
+        alert_messages(batch).write.mode("overwrite").text(folder)
+
+    return keyed_writer(rows, path, checkpoint, write)
