@@ -33,6 +33,8 @@ BITS = 64
 #: Fingerprints in a block of the trie, and bits that a node is cut by in one round.
 BLOCK = 2048
 STEP = 4
+#: Pairs of nodes that go down together in a task.
+FRONTIER = 1 << 15
 
 
 def simhash(text: bytes, words: int = WORDS) -> int:
@@ -128,7 +130,6 @@ def links(nodes: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Dat
                 a, b = np.sort(a), np.sort(b)
                 depth = min(da.as_py(), db.as_py())
                 x, y = descend(a, b, depth, differing.as_py(), distance)
-                x, y = forest(a[x], b[y])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.view(np.int64)), pa.array(y.view(np.int64))], names=["a", "b"]
                 )
@@ -210,30 +211,63 @@ def _differing() -> Column:
     return F.expr("if(least(da, db) = 0, 0, bit_count(shiftrightunsigned(pa ^ pb, 64 - least(da, db))))")
 
 
+class Classes:
+    """Which of some numbered things are connected so far; a label is the least of its class."""
+
+    def __init__(self, count: int):
+        self.label = np.arange(count)
+        self.breaks = np.arange(count + 1)
+
+    def connect(self, left: np.ndarray, right: np.ndarray) -> None:
+        label = self.label
+        while (label[left] != label[right]).any():
+            low = np.minimum(label[left], label[right])
+            np.minimum.at(label, label[left], low)
+            np.minimum.at(label, label[right], low)
+            while (label[label] != label).any():
+                label = label[label]
+        self.label = label
+        self.breaks = np.concatenate([[0], np.cumsum(np.concatenate([[True], label[1:] != label[:-1]]))])
+
+    def one(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Whether all from ``low`` to before ``high`` are in one class."""
+        return self.breaks[high] == self.breaks[low + 1]
+
+
 def descend(a: np.ndarray, b: np.ndarray, depth: int, differing: int, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of two sorted subtries within ``distance``, going down both together.
+    """Links that connect all fingerprints of two sorted subtries that are within ``distance``.
 
-    A node is a range of the sorted array. A pair of nodes whose prefixes differ in more bits
-    than allowed is dropped; nodes with one fingerprint each are compared at once. A block
-    joined with itself keeps one order of each pair.
+    A node is a range of the sorted array. Pairs of nodes go down both subtries together, some
+    ``FRONTIER`` at a time, the deepest first. A pair whose prefixes differ in more bits than
+    allowed is dropped, and so is one whose fingerprints are all connected already, so a crowd
+    of close fingerprints costs little more than its size. Nodes with one fingerprint each are
+    compared at once. The links join every fingerprint to the least of its class.
     """
     own = len(a) == len(b) and bool((a == b).all())
-    found_a, found_b = [], []
-    lo_a, hi_a = np.array([0]), np.array([len(a)])
-    lo_b, hi_b = np.array([0]), np.array([len(b)])
-    cost = np.array([differing])
-    while len(cost):
+    values = a if own else np.concatenate([a, b])
+    shift = 0 if own else len(a)
+    classes = Classes(len(values))
+    stack = [(depth, *(np.array([v]) for v in (0, len(a), 0, len(b), differing)))]
+    while stack:
+        depth, *pairs = stack.pop()
+        if len(pairs[0]) > FRONTIER:
+            half = len(pairs[0]) // 2
+            stack += [(depth, *(v[half:] for v in pairs)), (depth, *(v[:half] for v in pairs))]
+            continue
+        lo_a, hi_a, lo_b, hi_b, cost = pairs
+        apart = ~(
+            classes.one(lo_a, hi_a) & classes.one(lo_b + shift, hi_b + shift)
+            & (classes.label[lo_a] == classes.label[lo_b + shift])
+        )
+        lo_a, hi_a, lo_b, hi_b, cost = (v[apart] for v in pairs)
         single = ((hi_a - lo_a == 1) & (hi_b - lo_b == 1)) | (depth >= BITS)
         if single.any():
             x, y = lo_a[single], lo_b[single]
             near = np.bitwise_count(a[x] ^ b[y]) <= distance
-            if own:
-                near &= x < y
-            found_a.append(x[near])
-            found_b.append(y[near])
+            classes.connect(x[near], y[near] + shift)
             lo_a, hi_a, lo_b, hi_b, cost = (v[~single] for v in (lo_a, hi_a, lo_b, hi_b, cost))
         if not len(cost):
-            break
+            continue
         bit = np.uint64(1 << (BITS - 1 - depth))
         mid_a, mid_b = _middle(a, lo_a, hi_a, bit), _middle(b, lo_b, hi_b, bit)
         sides = []
@@ -244,11 +278,9 @@ def descend(a: np.ndarray, b: np.ndarray, depth: int, differing: int, distance:
                 if own:
                     fits &= low_a <= low_b
                 sides.append([v[fits] for v in (low_a, high_a, low_b, high_b, total)])
-        lo_a, hi_a, lo_b, hi_b, cost = (np.concatenate(v) for v in zip(*sides))
-        depth += 1
-    if not found_a:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(found_a), np.concatenate(found_b)
+        stack.append((depth + 1, *(np.concatenate(v) for v in zip(*sides))))
+    moved = np.flatnonzero(classes.label != np.arange(len(values)))
+    return values[moved], values[classes.label[moved]]
 
 
 def _middle(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64) -> np.ndarray:
@@ -257,25 +289,6 @@ def _middle(values: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint6
     return high - (ones[high] - ones[low])
 
 
-def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links of every node to the least of its component: at most as many as nodes."""
-    if not len(a):
-        return a, b
-    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = ends[: len(a)], ends[len(a):]
-    root = np.arange(len(nodes))
-    while True:
-        low = np.minimum(root[x], root[y])
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        while (root[root] != root).any():
-            root = root[root]
-        if (root[x] == root[y]).all():
-            break
-    moved = np.flatnonzero(root != np.arange(len(nodes)))
-    return nodes[moved], nodes[root[moved]]
-
-
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One row of each class of near-duplicates: the one with the least id (null ids last).
 
