@@ -18,8 +18,9 @@ from urlsight.llm.stored import plain, small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
-#: Rows that one task sorts to add up sizes.
-GROUP_ROWS = 100_000
+#: Rows that one task sorts to add up sizes, about, and groups of a source at least.
+GROUP_ROWS = 50_000
+LEAST_GROUPS = 64
 
 
 def word_count(text: Column) -> Column:
@@ -60,22 +61,23 @@ def queue(rows: DataFrame, seed: int = 0) -> DataFrame:
     """``rows(row, id, source, size)`` plus place, source_size, target and ``upto``.
 
     ``upto`` is the number of the source's tokens up to the row's end in shuffled order. It is
-    added up in groups of rows with the same first digits of the shuffle key, so that a source
-    with a third of all rows is spread over many tasks; the totals of the groups follow.
+    added up in groups, ranges of the shuffle key, so that a source with a third of all rows is
+    spread over many tasks; the totals of the groups follow.
     """
     drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("id").cast("string"), F.lit(""))))
-    total = rows.count()
-    digits = max(1, math.ceil(math.log(max(total / GROUP_ROWS, 1), 16)) + 1)
-    drawn_rows = rows.withColumn("draw", drawn).withColumn("group", F.substring("draw", 1, digits))
+    groups = max(LEAST_GROUPS, math.ceil(rows.count() / GROUP_ROWS))
+    first = F.conv(F.substring("draw", 1, 8), 16, 10).cast("long")
+    group = F.shiftright(first * F.lit(groups), 32)
+    drawn_rows = rows.withColumn("draw", drawn).withColumn("group", group)
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = small(stored(targets(sizes)))
     placed = drawn_rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select(
         "r.*", "place", "source_size", "target"
     )
     placed = stored(placed)
-    groups = stored(placed.groupBy("place", "group").agg(F.sum("size").alias("total")))
+    totals = stored(placed.groupBy("place", "group").agg(F.sum("size").alias("total")))
     ahead = Window.partitionBy("place").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = groups.select("place", "group", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("before"))
+    offsets = totals.select("place", "group", F.coalesce(F.sum("total").over(ahead), F.lit(0)).alias("before"))
     inside = Window.partitionBy("place", "group").orderBy("draw", "id", "size", "row").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -100,7 +102,7 @@ def schedule(queued: DataFrame, passes: int = MOST_PASSES) -> DataFrame:
         queued.select("*", again).filter((F.col("target") > 0) & (starts < F.col("target")))
         .withColumn("finish", (F.col("pass") * F.col("source_size") + F.col("upto")) / F.col("target"))
     )
-    ranges = max(1, math.ceil(queued.count() / GROUP_ROWS) * 4)
+    ranges = max(LEAST_GROUPS, 4 * math.ceil(queued.count() / GROUP_ROWS))
     timed = stored(timed.withColumn("range", F.least(F.floor(F.col("finish") * ranges), F.lit(ranges))))
     totals = stored(timed.groupBy("range").agg(F.sum("size").alias("total")))
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
