@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsight.llm.stored import extended, plain
+from urlsight.llm.stored import by_place, extended, plain
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -236,9 +236,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     fresh = ("n_words", "base_places", "hits", "score")
     carried = [c for c in docs.columns if c != text and c not in fresh]
-    source = docs.select(
-        *[F.col(plain(c)) for c in carried], F.coalesce(F.col(plain(text)), F.lit("")).cast("binary").alias("__text")
-    )
+    source = by_place(docs, carried, __text=F.coalesce(F.col(plain(text)), F.lit("")).cast("binary"))
     out = extended(source, SCHEMA, without=("__text",))
     names = out.names
     place = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
@@ -259,4 +257,4 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
                 pa.array(scores, pa.float64()),
             ], names=names)
 
-    return source.mapInArrow(scanned, out)
+    return source.mapInArrow(scanned, out).toDF(*carried, *fresh)

@@ -18,7 +18,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from urlsight.llm.stored import extended, plain, stored
+from urlsight.llm.stored import by_place, extended, plain, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -99,9 +99,7 @@ def pieces(
     ids is cut into pieces of that size, counted from its end, so only the first can be shorter.
     """
     carried = [id, *keep]
-    source = docs.select(
-        *[F.col(plain(c)) for c in carried], F.coalesce(F.col(plain(text)), F.lit("")).cast("binary").alias("__text")
-    )
+    source = by_place(docs, carried, __text=F.coalesce(F.col(plain(text)), F.lit("")).cast("binary"))
     made = "piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     out = extended(source, made, without=("__text",))
     names = out.names
@@ -134,7 +132,7 @@ def pieces(
                 columns += [pa.array(ids, pa.list_(pa.int32()))] if with_ids else []
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return source.mapInArrow(cut_up, out)
+    return source.mapInArrow(cut_up, out).toDF(*carried, *names[len(carried):])
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -171,11 +169,12 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, group
     """
     room = max(1, int(capacity * NEARLY_FULL))
     carried = [c for c in items.columns if c not in ("sequence_id", "offset")]
-    source = items.select(*[plain(c) for c in carried]).withColumn("__task", F.spark_partition_id())
+    source = by_place(items, carried, __task=F.spark_partition_id())
+    size = f"__{carried.index(size)}"
     placed = stored(source.mapInArrow(
         _leaves(size, capacity), extended(source, "__bin long, __at long", without=("__task",))
     ))
-    bins = stored(placed.groupBy(F.col("__bin").alias("bin")).agg(F.sum(plain(size)).alias("fill")))
+    bins = stored(placed.groupBy(F.col("__bin").alias("bin")).agg(F.sum(size).alias("fill")))
     leaf = F.array(F.struct(F.col("bin").alias("leaf"), F.lit(0).cast("long").alias("shift")))
     full = F.col("fill") > capacity - room
     done = [bins.filter(full).withColumn("leaves", leaf)]
@@ -198,8 +197,9 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, group
     where = sequences.select(F.col("bin").alias("sequence_id"), F.explode("leaves").alias("l")).select(
         F.col("l.leaf").alias("__bin"), "sequence_id", F.col("l.shift").alias("__shift")
     )
-    return placed.join(where, "__bin").withColumn("offset", F.col("__at") + F.col("__shift")).select(
-        *[plain(c) for c in carried], "sequence_id", "offset"
+    return placed.join(where, "__bin").select(
+        *[F.col(f"__{k}").alias(c) for k, c in enumerate(carried)],
+        "sequence_id", (F.col("__at") + F.col("__shift")).alias("offset"),
     )
 
 

@@ -17,7 +17,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from urlsight.llm.stored import extended, plain
+from urlsight.llm.stored import by_place, extended, plain
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -145,9 +145,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
     stays empty. Bytes that are not UTF-8 count as one replacement character each.
     """
     carried = [c for c in docs.columns if c not in (text, "findings")]
-    source = docs.select(
-        *[F.col(plain(c)) for c in carried], F.coalesce(F.col(plain(text)), F.lit("")).cast("binary").alias("__text")
-    )
+    source = by_place(docs, carried, __text=F.coalesce(F.col(plain(text)), F.lit("")).cast("binary"))
     out = extended(source, SCHEMA, without=("__text",))
     names = out.names
     kind = pa.list_(pa.struct([
@@ -161,7 +159,7 @@ def scan(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [batch.column(i) for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(found, kind)], names=names)
 
-    return source.mapInArrow(scanned, out)
+    return source.mapInArrow(scanned, out).toDF(*carried, "findings")
 
 
 def listed(findings: Column) -> Column:

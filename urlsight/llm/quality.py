@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.llm import arrays
-from urlsight.llm.stored import extended
+from urlsight.llm.stored import by_place, extended, plain
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -55,7 +55,7 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), rejecte
     ``rejected=False`` leaves out the rows with ``kept`` false before they leave the task.
     """
     carried = [c for c in docs.columns if c not in {*MEASURES, "base_failed", "kept"}]
-    source = docs.select(*[F.col(f"`{c}`") for c in carried], F.col(f"`{text}`").cast("binary").alias("__text"))
+    source = by_place(docs, carried, __text=F.col(plain(text)).cast("binary"))
     out = extended(source, SCHEMA, without=("__text",))
     settings = asdict(rules)
 
@@ -73,7 +73,7 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), rejecte
                 )
                 yield made if rejected else made.filter(pa.array(found["kept"]))
 
-    return source.mapInArrow(judged, out)
+    return source.mapInArrow(judged, out).toDF(*carried, *MEASURES, "base_failed", "kept")
 
 
 def measures(texts: arrays.Texts, rules: Rules) -> dict[str, np.ndarray]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from urlsight.llm import arrays
 from urlsight.llm.components import components
-from urlsight.llm.stored import extended, plain, stored
+from urlsight.llm.stored import by_place, extended, plain, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -69,8 +69,8 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
     A null, empty or blank text has fingerprint 0. ``name`` replaces a column of that name.
     """
     carried = [c for c in docs.columns if c not in {name, text}]
-    source = docs.select(*[F.col(plain(c)) for c in carried], F.col(plain(text)).cast("binary").alias("__text"))
-    out = extended(source, f"{plain(name)} long", without=("__text",))
+    source = by_place(docs, carried, __text=F.col(plain(text)).cast("binary"))
+    out = extended(source, "__print long", without=("__text",))
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -79,10 +79,10 @@ def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint",
             kept = [i for i in range(batch.num_columns) if i != at]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in kept], pa.array(marks.view(np.int64))],
-                names=[*[batch.schema.names[i] for i in kept], name],
+                names=[*[batch.schema.names[i] for i in kept], "__print"],
             )
 
-    return source.mapInArrow(printed, out)
+    return source.mapInArrow(printed, out).toDF(*carried, name)
 
 
 def hexadecimal(column: str) -> Column:

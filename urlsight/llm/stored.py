@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -24,7 +24,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plain(name: str) -> str:
     """A column name quoted, so that dots and spaces in it mean nothing."""
-    return f"`{name}`"
+    return "`" + name.replace("`", "``") + "`"
+
+
+def by_place(df: DataFrame, names: list[str], **more: Column) -> DataFrame:
+    """The columns ``names`` as ``__0``, ``__1`` and so on, and some more.
+
+    Functions over batches can't take columns with dots in their names.
+    """
+    return df.select(
+        *[F.col(plain(name)).alias(f"__{k}") for k, name in enumerate(names)],
+        *[value.alias(name) for name, value in more.items()],
+    )
 
 
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:
