@@ -143,10 +143,9 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """
     cut = blocks.stored_blocks(docs, id, text)
     buckets = blocks.bucket_count(cut)
-    found = blocks.exchange(cut, _probe_keys, hits, buckets, key_kind="<u4", value_kind="u1")
-    hit = stored(blocks.with_answers(cut, found, "answers_hit"))
-    least = blocks.exchange(hit, _window_keys, smaller_elsewhere, buckets)
-    told = blocks.with_answers(hit, least, "answers_smaller")
+    hit = stored(blocks.exchange(cut, _probe_keys, hits, buckets, key_kind="<u4", value_kind="u1"))
+    smaller = blocks.exchange(blocks.with_answers(cut, hit=hit), _window_keys, smaller_elsewhere, buckets)
+    told = blocks.with_answers(cut, hit=hit, smaller=smaller)
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()),
         ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary()),

@@ -45,7 +45,7 @@ def stored_blocks(docs: DataFrame, id: str = "doc_id", text: str = "text", most:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 32
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=9)
         for batch in batches:
             for low, high, texts in arrays.runs(batch.column(1), most):
                 yield pa.RecordBatch.from_arrays([
@@ -149,10 +149,16 @@ def shortened(keys: np.ndarray, buckets: int) -> np.ndarray:
     return ((keys << told) >> np.uint64(32)).astype(np.uint32)
 
 
-def with_answers(blocks: DataFrame, answers: DataFrame, name: str) -> DataFrame:
-    """Blocks with the answers to their keys as one binary column."""
-    together = answers.select("block", F.col("answers.answer").alias(name))
-    return blocks.join(together, "block", "left")
+def with_answers(blocks: DataFrame, **answers: DataFrame) -> DataFrame:
+    """Blocks with the answers to their keys, each as one binary column ``answers_<name>``.
+
+    Answers are stored, blocks are joined with them anew wherever they are needed: a shuffle of
+    the compressed blocks takes no more room than a copy of them would.
+    """
+    for name, found in answers.items():
+        column = F.col("answers.answer").alias(f"answers_{name}")
+        blocks = blocks.join(found.select("block", column), "block", "left")
+    return blocks
 
 
 def answers_in(batch: pa.RecordBatch, row: int) -> dict[str, np.ndarray]:
