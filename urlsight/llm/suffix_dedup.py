@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from urlsight.llm import arrays, blocks
 from urlsight.llm.blocks import Block
-from urlsight.llm.stored import stored
+from urlsight.llm.stored import small, stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -180,78 +180,87 @@ def _windows_of(batch: pa.Table) -> tuple[arrays.Texts, np.ndarray, np.ndarray]:
 
 
 def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """First and last repeated window of each segment of a range, and the range it was in."""
+    """First and last repeated window of each target segment of a range, as rows with ``first``.
+
+    The suffixes at both ends of the range may go on in the next one. Their distinct windows
+    follow as rows with two hashes; ``lone`` says that the range has the window once.
+    """
     parts = [b for b in batches if b.num_rows]
     if not parts:
         return
-    table = pa.Table.from_batches(parts)
+    table = pa.Table.from_batches(parts).combine_chunks()
+    place = TaskContext.get().partitionId()
     texts, starts, segment = _windows_of(table)
-    repeated = np.flatnonzero(repeated_windows(texts.eights(), starts))
-    yield _ends(table, segment, repeated).append_column(
-        "range", pa.array([TaskContext.get().partitionId()] * table.num_rows, pa.int64())
+    view = texts.eights()
+    repeated = repeated_windows(view, starts)
+    token, block, number, target = (
+        table[name].to_numpy(zero_copy_only=False) for name in ("token", "block", "number", "target")
     )
-
-
-def _ends(table: pa.Table, segment: np.ndarray, repeated: np.ndarray) -> pa.RecordBatch:
-    first = np.full(table.num_rows, WINDOW, dtype=np.int64)
-    last = np.full(table.num_rows, -1, dtype=np.int64)
     within = np.arange(len(segment)) - np.searchsorted(segment, segment)
+    first = np.full(len(token), WINDOW, dtype=np.int64)
+    last = np.full(len(token), -1, dtype=np.int64)
     np.minimum.at(first, segment[repeated], within[repeated])
     np.maximum.at(last, segment[repeated], within[repeated])
-    kept = table.select(["token", "block", "number", "target"]).combine_chunks().to_batches()[0]
-    return pa.RecordBatch.from_arrays([*kept.columns, pa.array(first), pa.array(last)], names=[*kept.schema.names, "first", "last"])
+    found = np.flatnonzero(target & (last >= 0))
+    yield _rows(place, block[found], number[found], first=first[found], last=last[found])
+
+    at_end = (token == token.min()) | (token == token.max())
+    windows = np.flatnonzero(at_end[segment])
+    one = two = np.zeros(len(windows), dtype=np.uint64)
+    for depth in range(0, WINDOW, 8):
+        letter = view[starts[windows] + depth]
+        one, two = arrays.joined(one, letter), arrays.joined(two, ~letter)
+    order = np.lexsort((two, one))
+    opens = np.concatenate([[True], (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])])
+    chosen = order[opens[: len(order)]]
+    at = windows[chosen]
+    yield _rows(
+        place, block[segment[at]], number[segment[at]], token=token[segment[at]], within=within[at],
+        lone=~repeated[at] & target[segment[at]], one=one[chosen].view(np.int64), two=two[chosen].view(np.int64),
+    )
 
 
-def _hashed_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of segments as two hashes, for comparison across the boundaries of ranges."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        texts, starts, segment = _windows_of(table)
-        view = texts.eights()
-        one = two = np.zeros(len(starts), dtype=np.uint64)
-        for depth in range(0, WINDOW, 8):
-            part = view[starts + depth]
-            one, two = arrays.joined(one, part), arrays.joined(two, ~part)
-        within = np.arange(len(segment)) - np.searchsorted(segment, segment)
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.array(table["block"])[segment]), pa.array(np.array(table["number"])[segment]),
-            pa.array(np.array(table["target"])[segment]), pa.array(within),
-            pa.array(one.view(np.int64)), pa.array(two.view(np.int64)),
-        ], names=["block", "number", "target", "within", "one", "two"])
+RANGE = (
+    "range long, block long, number int, first long, last long, token long, within long, lone boolean, "
+    "one long, two long"
+)
+
+
+def _rows(place: int, block: np.ndarray, number: np.ndarray, **known: np.ndarray) -> pa.RecordBatch:
+    """Rows of ``RANGE``; columns that are not known are null."""
+    kinds = {"lone": pa.bool_()}
+    names = [c.split()[0] for c in RANGE.split(", ")]
+    given = {"range": np.full(len(block), place), "block": block, "number": number.astype(np.int32), **known}
+    return pa.RecordBatch.from_arrays([
+        pa.array(given[n]) if n in given else pa.nulls(len(block), kinds.get(n, pa.int64())) for n in names
+    ], names=names)
 
 
 def compared(left_over: DataFrame) -> DataFrame:
     """``(block, spans)``: for each target segment with repeated windows the first and the last.
 
     The suffixes are dealt out by ``repartitionByRange``, which samples its splitters; the
-    block's number splits leading bytes that a range could not hold. Such leading bytes are
-    found at the ends of ranges, and their windows are counted once more over all ranges.
+    block's number splits leading bytes that a range could not hold. Leading bytes that two
+    ranges share are at their ends. Windows that a range has once are looked up in the other
+    ranges by the distinct windows of each, so a crowd of equal windows is one row a range.
     """
-    left_over = stored(left_over)
+    left_over = written(left_over, "segments")
     ranges = max(1, math.ceil(left_over.count() / RANGE_SEGMENTS))
     dealt = left_over.repartitionByRange(ranges, "token", "block")
-    local = stored(dealt.mapInArrow(
-        _sorted_ranges,
-        "token long, block long, number int, target boolean, first long, last long, range long",
-    ))
-    ends = local.groupBy("range").agg(F.min("token").alias("low"), F.max("token").alias("high"))
-    cut = stored(
-        ends.select("range", F.explode(F.array("low", "high")).alias("token")).distinct()
-        .groupBy("token").count().filter("count > 1").select("token")
-    )
-    across = left_over.join(cut, "token").mapInArrow(
-        _hashed_windows, "block long, number int, target boolean, within long, one long, two long"
+    local = stored(dealt.mapInArrow(_sorted_ranges, RANGE))
+    ends = local.filter("token is not null")
+    cut = ends.select("token", "range").distinct().groupBy("token").count().filter("count > 1").select("token")
+    lone = F.when(F.col("lone"), F.struct("block", "number", "within"))
+    across = (
+        ends.join(small(stored(cut)), "token").groupBy("one", "two")
+        .agg(F.count("*").alias("n"), F.collect_list(lone).alias("lone")).filter("n > 1")
+        .select(F.explode("lone").alias("w")).select("w.*")
     )
-    counts = across.groupBy("one", "two").agg(F.count("*").alias("n")).filter("n > 1").select("one", "two")
-    more = (
-        across.filter("target").join(counts, ["one", "two"], "left_semi").groupBy("block", "number")
-        .agg(F.min("within").alias("first"), F.max("within").alias("last"))
+    both = local.filter("token is null").select("block", "number", "first", "last").unionByName(
+        across.select("block", "number", F.col("within").alias("first"), F.col("within").alias("last"))
     )
-    both = local.filter("target and last >= 0").select("block", "number", "first", "last").unionByName(more)
     found = both.groupBy("block", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"))
-    return found.groupBy("block").agg(F.collect_list(F.struct("number", "first", "last")).alias("spans"))
+    return stored(found.groupBy("block").agg(F.collect_list(F.struct("number", "first", "last")).alias("spans")))
 
 
 def cleaned(block: Block, known: np.ndarray, spans: list) -> dict[str, list]:
@@ -293,7 +302,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text") -> D
     """
     cut = blocks.stored_blocks(docs, id, text)
     pairs = blocks.exchange(cut, _pair_keys, settle, blocks.bucket_count(cut))
-    known = stored(blocks.with_answers(cut, pairs, "answers_pairs"))
+    known = blocks.with_answers(cut, pairs=stored(pairs))
     told = known.join(compared(known.mapInArrow(_left_over, SEGMENT)), "block", "left")
     kinds = pa.schema([
         ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
