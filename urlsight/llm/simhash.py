@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from urlsight.llm import arrays
 from urlsight.llm.components import components
-from urlsight.llm.stored import by_place, extended, plain, stored
+from urlsight.llm.stored import by_place, extended, plain, stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -147,11 +147,13 @@ def cut_trie(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
     """``(depth, prefix, members)``: subtries of at most ``block`` fingerprints.
 
     Level by level the counts of all nodes tell which are small enough; a crowded part of the
-    trie is cut deeper than the rest, so close fingerprints do not pile up in one block.
+    trie is cut deeper than the rest, so close fingerprints do not pile up in one block. What a
+    level leaves is written as a table: a checkpoint would keep the filters of all levels before
+    it as constraints, which the optimizer multiplies from level to level.
     """
     rest, parts = nodes, []
     for depth in range(0, BITS + STEP, STEP):
-        sizes = stored(rest.groupBy(_top("print", depth).alias("prefix")).count())
+        sizes = written(rest.groupBy(_top("print", depth).alias("prefix")).count(), "trie-sizes")
         large = sizes.filter(F.col("count") > block).select("prefix")
         placed = rest.withColumn("prefix", _top("print", depth))
         small = placed.join(sizes.filter(F.col("count") <= block).select("prefix"), "prefix")
@@ -161,7 +163,7 @@ def cut_trie(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
         )
         if large.isEmpty():
             break
-        rest = stored(placed.join(large, "prefix").drop("prefix"))
+        rest = written(placed.join(large, "prefix").drop("prefix"), "trie-rest")
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
@@ -181,22 +183,24 @@ def block_pairs(blocks: DataFrame, distance: int = DISTANCE) -> DataFrame:
     pairs = spark.createDataFrame([(0, 0, 0, 0)], "da int, pa long, db int, pb long")
     for depth in range(STEP, deepest + STEP, STEP):
         above = _top("prefix", depth - STEP)
-        children = stored(
+        children = written(
             ends.filter(F.col("depth") >= depth)
             .select(above.alias("up"), F.lit(depth).alias("d"), _top("prefix", depth).alias("p"))
             .unionByName(
                 ends.filter(F.col("depth") < depth)
                 .select(F.col("prefix").alias("up"), F.col("depth").alias("d"), F.col("prefix").alias("p"))
             )
-            .select("up", "d", "p", F.least("d", F.lit(depth - STEP)).alias("ud")).distinct()
+            .select("up", "d", "p", F.least("d", F.lit(depth - STEP)).alias("ud")).distinct(),
+            "trie-children",
         )
         first = children.select(F.col("ud").alias("da"), F.col("up").alias("pa"), F.col("d").alias("ca"), F.col("p").alias("xa"))
         second = children.select(F.col("ud").alias("db"), F.col("up").alias("pb"), F.col("d").alias("cb"), F.col("p").alias("xb"))
-        pairs = stored(
+        pairs = written(
             pairs.join(first, ["da", "pa"]).join(second, ["db", "pb"])
             .select(F.col("ca").alias("da"), F.col("xa").alias("pa"), F.col("cb").alias("db"), F.col("xb").alias("pb"))
             .filter(_ordered()).filter(_differing() <= distance)
-            .distinct()
+            .distinct(),
+            "trie-pairs",
         )
     return pairs.withColumn("differing", _differing())
 
