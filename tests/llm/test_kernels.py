@@ -169,11 +169,21 @@ def test_best_fit(sizes):
         assert at <= 64
 
 
-@given(st.text(alphabet="ab 's\n\t.1 é<|", max_size=60))
-@settings(max_examples=300, deadline=None)
-def test_cut_texts_have_the_ids_of_whole_texts(text):
-    chunks = packing.Chunks(queries.tokenizer_path())
-    assert chunks.ids([text])[0][:-4] == chunks.whole(text)
+@pytest.fixture(scope="module")
+def encoder():
+    return packing.Encoder(queries.tokenizer_path())
+
+
+@given(st.text(alphabet="ab 's\n\t.1 é<|中²\x1c\x85", max_size=60))
+@settings(max_examples=500, deadline=None)
+def test_ids_are_those_of_the_tokenizers_library(encoder, text):
+    assert encoder.fast is not None
+    assert encoder.ids(text).tolist() == [*encoder.slow.encode(text, add_special_tokens=False).ids, packing.END]
+
+
+@pytest.mark.parametrize("text", ["a" * 200_000, " " * 9_000, "\n" * 9_000 + "x", "ab " * 20_000 + "é" * 5_000])
+def test_long_runs_have_ids_too(encoder, text):
+    assert encoder.ids(text).tolist() == [*encoder.slow.encode(text, add_special_tokens=False).ids, packing.END]
 
 
 def test_repeats_across_ranges(spark):
