@@ -230,6 +230,22 @@ def test_pieces_carry_ids_and_columns(spark, tables):
     check_sequences(got, 64)
 
 
+def test_sequences_are_assembled_from_their_pieces(spark, tables):
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet").filter("doc_id < 10")
+    made = stored(packing.pieces(docs, queries.tokenizer_path(), capacity=128))
+    packed = stored(packing.pack(made, capacity=128))
+    whole = {r["sequence_id"]: r["ids"] for r in packing.assemble(packed).collect()}
+    for r in packed.collect():
+        assert whole[r["sequence_id"]][r["offset"]: r["offset"] + r["length"]] == r["ids"]
+
+
+def test_shards_are_written(spark, tables, rows, tmp_path):
+    docs = spark.read.parquet(f"{tables['full']}/documents.parquet")
+    sharding.write_shards(docs, f"{tmp_path}/shards", shards=4)
+    back = spark.read.parquet(f"{tmp_path}/shards")
+    assert back.count() == len(rows) and {r["shard"] for r in back.select("shard").collect()} == {0, 1, 2, 3}
+
+
 def test_shards_with_a_hot_text(spark):
     """Half of the rows have one text; they are cut where the balance wants it."""
     docs = spark.range(4000).select(

@@ -210,6 +210,17 @@ def pack(items: DataFrame, size: str = "length", capacity: int = CAPACITY, group
     )
 
 
+def assemble(packed: DataFrame) -> DataFrame:
+    """``(sequence_id, ids)`` of packed pieces that carry their ids: one row for each sequence.
+
+    A sequence holds at most its capacity of ids, so a row is bounded.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    return packed.groupBy("sequence_id").agg(
+        F.flatten(F.transform(parts, lambda part: part["ids"])).alias("ids")
+    )
+
+
 def _leaves(size: str, capacity: int):
     """Best fit of the items of a task; a bin's number holds the task's and the batch's."""
 

@@ -29,12 +29,16 @@ def _hex(column: Column) -> Column:
     return F.lpad(F.hex(column), 16, "0")
 
 
+def sort_key(id: Column, text: Column) -> Column:
+    return F.concat(_hex(F.xxhash64(F.coalesce(text, F.lit("")))), _hex(F.xxhash64(id)))
+
+
 def keyed(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Narrow rows ``id, size, crc, key, draw``; the size is that of the text in bytes plus one."""
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     return docs.select(F.col(plain(id)).alias("id"), F.col(plain(text)).alias("text")).select(
         "id", (F.octet_length(data) + F.lit(1)).cast("long").alias("size"), F.crc32(data).alias("crc"),
-        F.concat(_hex(F.xxhash64(F.coalesce("text", F.lit("")))), _hex(F.xxhash64(F.col("id")))).alias("key"),
+        sort_key(F.col("id"), F.col("text")).alias("key"),
         (F.shiftrightunsigned(F.xxhash64("id", "text"), 11) / float(1 << 53)).alias("draw"),
     )
 
@@ -128,3 +132,14 @@ def shard(docs: DataFrame, id: str = "doc_id", text: str = "text", shards: int =
     """
     placed = assign(stored(keyed(docs, id, text)), shards)
     return placed.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def write_shards(docs: DataFrame, path: str, id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> None:
+    """Write all columns of ``docs`` below ``path``, a folder ``shard=<n>`` for each shard.
+
+    Rows with the same id and text go into one shard, the first of theirs.
+    """
+    places = assign(stored(keyed(docs, id, text)), shards).groupBy("key").agg(F.min("shard").alias("__shard"))
+    rows = docs.withColumn("__key", sort_key(F.col(plain(id)), F.col(plain(text))))
+    joined = rows.join(places.withColumnRenamed("key", "__key"), "__key").drop("__key", "shard")
+    joined.withColumnRenamed("__shard", "shard").hint("rebalance", "shard").write.partitionBy("shard").parquet(path)
