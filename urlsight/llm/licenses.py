@@ -13,6 +13,7 @@ import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -183,21 +184,24 @@ class Scanner:
         words = text.translate(self.letters).split()
         line = b" ".join(words)
         padded = b" " + line + b" "
-        places = []
+        found: list[tuple[int, str]] = []
         for phrase, label in self.base.items():
             sought, at = b" " + phrase + b" ", -1
             while (at := padded.find(sought, at + 1)) >= 0:
-                places.append({"label": label, "word": padded.count(b" ", 0, at)})
+                found.append((at, label))
         present = {k for k in self.words if k in line}
         spans: list[tuple[int, int, Rule]] = []
         if present:
             for rule in self.rules:
                 if present.intersection(rule.keywords):
                     spans += [(*m.span(), rule) for m in rule.pattern.finditer(line)]
+        # A word's number is the number of blanks before it.
+        blanks = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 0x20) if found or spans else None
+        places = [{"label": label, "word": int(np.searchsorted(blanks, at))} for at, label in found]
         hits = [
             {
-                "label": rule.label, "rule": rule.kind, "first_word": line.count(b" ", 0, a),
-                "last_word": line.count(b" ", 0, b), "score": rule.score,
+                "label": rule.label, "rule": rule.kind, "first_word": int(np.searchsorted(blanks, a)),
+                "last_word": int(np.searchsorted(blanks, b)), "score": rule.score,
             }
             for a, b, rule in uncovered(spans)
         ]
