@@ -17,13 +17,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext, cloudpickle
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.llm import arrays, blocks
 from urlsight.llm.blocks import Block
-from urlsight.llm.stored import small, stored, written
+from urlsight.llm.stored import stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -189,7 +189,6 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     if not parts:
         return
     table = pa.Table.from_batches(parts).combine_chunks()
-    place = TaskContext.get().partitionId()
     texts, starts, segment = _windows_of(table)
     view = texts.eights()
     repeated = repeated_windows(view, starts)
@@ -202,7 +201,7 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     np.minimum.at(first, segment[repeated], within[repeated])
     np.maximum.at(last, segment[repeated], within[repeated])
     found = np.flatnonzero(target & (last >= 0))
-    yield _rows(place, block[found], number[found], first=first[found], last=last[found])
+    yield _rows(block[found], number[found], first=first[found], last=last[found])
 
     at_end = (token == token.min()) | (token == token.max())
     windows = np.flatnonzero(at_end[segment])
@@ -215,22 +214,21 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     chosen = order[opens[: len(order)]]
     at = windows[chosen]
     yield _rows(
-        place, block[segment[at]], number[segment[at]], token=token[segment[at]], within=within[at],
+        block[segment[at]], number[segment[at]], within=within[at],
         lone=~repeated[at] & target[segment[at]], one=one[chosen].view(np.int64), two=two[chosen].view(np.int64),
     )
 
 
 RANGE = (
-    "range long, block long, number int, first long, last long, token long, within long, lone boolean, "
-    "one long, two long"
+    "block long, number int, first long, last long, within long, lone boolean, one long, two long"
 )
 
 
-def _rows(place: int, block: np.ndarray, number: np.ndarray, **known: np.ndarray) -> pa.RecordBatch:
+def _rows(block: np.ndarray, number: np.ndarray, **known: np.ndarray) -> pa.RecordBatch:
     """Rows of ``RANGE``; columns that are not known are null."""
     kinds = {"lone": pa.bool_()}
     names = [c.split()[0] for c in RANGE.split(", ")]
-    given = {"range": np.full(len(block), place), "block": block, "number": number.astype(np.int32), **known}
+    given = {"block": block, "number": number.astype(np.int32), **known}
     return pa.RecordBatch.from_arrays([
         pa.array(given[n]) if n in given else pa.nulls(len(block), kinds.get(n, pa.int64())) for n in names
     ], names=names)
@@ -241,22 +239,21 @@ def compared(left_over: DataFrame) -> DataFrame:
 
     The suffixes are dealt out by ``repartitionByRange``, which samples its splitters; the
     block's number splits leading bytes that a range could not hold. Leading bytes that two
-    ranges share are at their ends. Windows that a range has once are looked up in the other
-    ranges by the distinct windows of each, so a crowd of equal windows is one row a range.
+    ranges share are at their ends, so each range hands on the distinct windows of its first
+    and last suffixes; a window that two ranges hand on is repeated wherever it was alone. A
+    crowd of equal windows is one row a range.
     """
     left_over = written(left_over, "segments")
     ranges = max(1, math.ceil(left_over.count() / RANGE_SEGMENTS))
     dealt = left_over.repartitionByRange(ranges, "token", "block")
     local = stored(dealt.mapInArrow(_sorted_ranges, RANGE))
-    ends = local.filter("token is not null")
-    cut = ends.select("token", "range").distinct().groupBy("token").count().filter("count > 1").select("token")
     lone = F.when(F.col("lone"), F.struct("block", "number", "within"))
     across = (
-        ends.join(small(stored(cut)), "token").groupBy("one", "two")
+        local.filter("one is not null").groupBy("one", "two")
         .agg(F.count("*").alias("n"), F.collect_list(lone).alias("lone")).filter("n > 1")
         .select(F.explode("lone").alias("w")).select("w.*")
     )
-    both = local.filter("token is null").select("block", "number", "first", "last").unionByName(
+    both = local.filter("one is null").select("block", "number", "first", "last").unionByName(
         across.select("block", "number", F.col("within").alias("first"), F.col("within").alias("last"))
     )
     found = both.groupBy("block", "number").agg(F.min("first").alias("first"), F.max("last").alias("last"))
