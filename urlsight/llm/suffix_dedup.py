@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from urlsight.llm import arrays, blocks
 from urlsight.llm.blocks import Block
-from urlsight.llm.stored import stored, written
+from urlsight.llm.stored import small, stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -33,7 +33,7 @@ WINDOW = 200
 GRAM = 16
 SPAN = WINDOW - GRAM + 1
 #: Segments in a range.
-RANGE_SEGMENTS = 20_000
+RANGE_SEGMENTS = 10_000
 #: Bytes that one step of the multikey quicksort looks at.
 LETTER = 40
 
@@ -182,7 +182,7 @@ def _windows_of(batch: pa.Table) -> tuple[arrays.Texts, np.ndarray, np.ndarray]:
 def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """First and last repeated window of each target segment of a range, as rows with ``first``.
 
-    The suffixes at both ends of the range may go on in the next one. Their distinct windows
+    Suffixes whose leading bytes are ``split`` go on in other ranges. Their distinct windows
     follow as rows with two hashes; ``lone`` says that the range has the window once.
     """
     parts = [b for b in batches if b.num_rows]
@@ -192,19 +192,20 @@ def _sorted_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     texts, starts, segment = _windows_of(table)
     view = texts.eights()
     repeated = repeated_windows(view, starts)
-    token, block, number, target = (
-        table[name].to_numpy(zero_copy_only=False) for name in ("token", "block", "number", "target")
+    block, number, target, split = (
+        table[name].to_numpy(zero_copy_only=False) for name in ("block", "number", "target", "split")
     )
     within = np.arange(len(segment)) - np.searchsorted(segment, segment)
-    first = np.full(len(token), WINDOW, dtype=np.int64)
-    last = np.full(len(token), -1, dtype=np.int64)
+    first = np.full(len(block), WINDOW, dtype=np.int64)
+    last = np.full(len(block), -1, dtype=np.int64)
     np.minimum.at(first, segment[repeated], within[repeated])
     np.maximum.at(last, segment[repeated], within[repeated])
     found = np.flatnonzero(target & (last >= 0))
     yield _rows(block[found], number[found], first=first[found], last=last[found])
 
-    at_end = (token == token.min()) | (token == token.max())
-    windows = np.flatnonzero(at_end[segment])
+    windows = np.flatnonzero(split[segment])
+    if not len(windows):
+        return
     one = two = np.zeros(len(windows), dtype=np.uint64)
     for depth in range(0, WINDOW, 8):
         letter = view[starts[windows] + depth]
@@ -237,15 +238,21 @@ def _rows(block: np.ndarray, number: np.ndarray, **known: np.ndarray) -> pa.Reco
 def compared(left_over: DataFrame) -> DataFrame:
     """``(block, spans)``: for each target segment with repeated windows the first and the last.
 
-    The suffixes are dealt out by ``repartitionByRange``, which samples its splitters; the
-    block's number splits leading bytes that a range could not hold. Leading bytes that two
-    ranges share are at their ends, so each range hands on the distinct windows of its first
-    and last suffixes; a window that two ranges hand on is repeated wherever it was alone. A
-    crowd of equal windows is one row a range.
+    The suffixes are dealt out by ``repartitionByRange``, which samples its splitters. Suffixes
+    with the same leading bytes stay together unless there are more than a range should hold;
+    those are split by the block's number, and each range hands on their distinct windows. A
+    window that two ranges hand on is repeated wherever it was alone, so a crowd of equal
+    windows is one row a range.
     """
     left_over = written(left_over, "segments")
     ranges = max(1, math.ceil(left_over.count() / RANGE_SEGMENTS))
-    dealt = left_over.repartitionByRange(ranges, "token", "block")
+    crowded = stored(
+        left_over.groupBy("token").count().filter(F.col("count") > RANGE_SEGMENTS)
+        .select("token", F.lit(True).alias("split"))
+    )
+    marked = left_over.join(small(crowded), "token", "left").withColumn("split", F.coalesce("split", F.lit(False)))
+    place = F.when(F.col("split"), F.col("block")).otherwise(F.lit(0))
+    dealt = marked.withColumn("place", place).repartitionByRange(ranges, "token", "place")
     local = stored(dealt.mapInArrow(_sorted_ranges, RANGE))
     lone = F.when(F.col("lone"), F.struct("block", "number", "within"))
     across = (
