@@ -37,6 +37,18 @@ DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[\x20]?[A-Z0-9]{4}){2,7}(?:[\x20]?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+# Characters of an account number by country, from the public registry of the standard.
+ACCOUNT_LENGTHS = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "PT", 26: "IS TR", 27: "FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB PL SV", 29: "BR PS QA UA",
+        30: "JO KW MU", 31: "MT SC", 32: "LC",
+    }.items()
+    for country in countries.split()
+}
+LEAST_ACCOUNT = 15
 SOCIAL = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 WORD = re.compile(r"[a-z]+")
 
@@ -90,10 +102,32 @@ def mod97(account: str) -> bool:
     return int("".join(str(int(c, 36)) for c in account[4:] + account[:4])) % 97 == 1
 
 
+def account_end(text: str, start: int, end: int) -> int | None:
+    """Where the account number of a match ends: the country's length first, then the longest that passes.
+
+    A match can go on into groups of capitals or digits that follow the number, so shorter ends
+    at blanks are tried too; a country that is listed has them at its length only.
+    """
+    ends = [end, *(e for e in range(end - 1, start, -1) if text[e] == " ")]
+    length = ACCOUNT_LENGTHS.get(text[start: start + 2])
+    sizes = {e: e - start - text.count(" ", start, e) for e in ends}
+    ends.sort(key=lambda e: sizes[e] != length)
+    for e in ends:
+        right = e == end or (sizes[e] == length if length else sizes[e] >= LEAST_ACCOUNT)
+        if right and mod97(text[start:e].replace(" ", "")):
+            return e
+    return None
+
+
 def accounts(text: str) -> Iterator[Span]:
-    for match in ACCOUNT.finditer(text):
-        if mod97(match.group().replace(" ", "")):
-            yield match.span()
+    match = ACCOUNT.search(text)
+    while match:
+        start, end = match.span()
+        found = account_end(text, start, end)
+        if found:
+            yield start, found
+        # What a match went on into, or a false start, can hold the next number.
+        match = ACCOUNT.search(text, found or start + 1)
 
 
 def socials(text: str) -> Iterator[Span]:
