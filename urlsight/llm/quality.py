@@ -36,7 +36,9 @@ class Rules:
     """``min_words`` and ``max_window_share`` make the base verdict, the rest the suffix array's.
 
     A repeat counts from ``repeat_words`` words on. A document goes if such repeats cover more
-    than ``max_covered`` of its words, or if one repeat is longer than ``max_repeat`` of them.
+    than ``max_covered`` of its words, or if one repeat is longer than ``max_repeat`` of them. A
+    sentence said twice is no fault of a short text: a repeat of up to ``sentence`` words is never
+    too long, and repeats that cover no more than two such are never too many.
     """
 
     window: int = 3
@@ -45,6 +47,7 @@ class Rules:
     repeat_words: int = 8
     max_covered: float = 0.2
     max_repeat: float = 0.2
+    sentence: int = 20
 
 
 def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), rejected: bool = True) -> DataFrame:
@@ -93,7 +96,9 @@ def measures(texts: arrays.Texts, rules: Rules) -> dict[str, np.ndarray]:
     longest = np.zeros(len(texts), dtype=np.int64)
     np.maximum.at(longest, owner[suffixes.order[:-1]], suffixes.common)
     failed = (count < rules.min_words) | (repeated > rules.max_window_share * count)
-    bad = (covered > rules.max_covered * count) | (longest > rules.max_repeat * count)
+    bad = (covered > np.maximum(rules.max_covered * count, 2 * rules.sentence)) | (
+        longest > np.maximum(rules.max_repeat * count, rules.sentence)
+    )
     return {
         "n_words": count.astype(np.int64),
         "word_chars": arrays.counted(begins & ~arrays.SPACES[data], texts.bounds),
