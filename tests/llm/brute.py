@@ -53,7 +53,6 @@ def pieces(rows, path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out = []
     for doc, text, _ in rows:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]

@@ -43,8 +43,9 @@ class Encoder:
     """Token ids of texts by a tokenizer file of the ``tokenizers`` library.
 
     A plain byte-level file whose ids follow the order of its merges is run by ``tiktoken``, which
-    gives the same ids in a fraction of the time. Other files, and texts with a run of ``LONG``
-    characters without a blank or of blanks alone, go through ``tokenizers`` itself.
+    gives the same ids in a fraction of the time. Other files, texts with a run of ``LONG``
+    characters without a blank or of blanks alone, and texts that contain an added token go through
+    ``tokenizers`` itself; an added token in a text gets its own id.
     """
 
     def __init__(self, path: str):
@@ -53,7 +54,7 @@ class Encoder:
         with open(path, encoding="utf-8") as file:
             parts = json.load(file)
         self.slow = Tokenizer.from_file(path)
-        self.slow.encode_special_tokens = True
+        self.added = [token["content"] for token in parts["added_tokens"]]
         self.fast = None
         ranks = byte_ranks(parts)
         if ranks is not None:
@@ -63,7 +64,7 @@ class Encoder:
 
     def ids(self, text: str) -> np.ndarray:
         """The ids of a text, followed by ``END``."""
-        if self.fast is None or has_long_run(text):
+        if self.fast is None or has_long_run(text) or any(token in text for token in self.added):
             found = np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         else:
             found = self.fast.encode_to_numpy(text, disallowed_special=())
