@@ -110,9 +110,38 @@ select t.doc_id, len(t.hexed) // 2 as n_bytes, coalesce(k.n_removed, 0) as n_rem
 from texts t left join kept k on t.doc_id = k.doc_id
 """
 
+HARD_NEGATIVES = """
+with usable as (
+  select row_number() over () as row, vec_id,
+         case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as vector
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.row as anchor_row, a.vec_id as anchor_id, r.vec_id, r.label = a.label as alike,
+         coalesce(cast(list_sum(list_transform(list_zip(a.vector, r.vector), lambda z: z[1] * z[2])) as bigint), 0) as score
+  from usable a join usable r on a.row <> r.row
+  where a.vec_id % 100 = 0),
+positives as (
+  select * from (
+    select *, row_number() over (partition by anchor_row order by score desc, vec_id nulls last) as turn
+    from scored where alike)
+  where turn <= 5),
+ranked as (
+  select p.anchor_id, p.vec_id as positive_id, n.vec_id as negative_id, p.score as positive_score,
+         n.score as negative_score,
+         row_number() over (partition by p.anchor_row, p.turn order by n.score desc, n.vec_id nulls last) as rank
+  from positives p join scored n on p.anchor_row = n.anchor_row
+  where not n.alike and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score
+from ranked where rank <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_exact_dedup": EXACT_DEDUP,
     "op9_block_dedup": BLOCK_DEDUP,
     "op10_weighted_mix": WEIGHTED_MIX,
+    "op13_hard_negatives": HARD_NEGATIVES,
 }

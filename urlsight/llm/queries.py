@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight.llm import (
-    block_dedup, exact_dedup, licenses, mixing, packing, pii, quality, sharding, simhash, suffix_dedup,
+    block_dedup, exact_dedup, hard_negatives, licenses, mixing, packing, pii, quality, sharding, simhash, suffix_dedup,
 )
 from urlsight.llm.stored import documents, stored
 
@@ -97,6 +97,12 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def hard_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0, label=shifted)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": near_duplicates,
     "op2_best_fit_packing": packed,
@@ -108,4 +114,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules,
     "op9_block_dedup": repeated_words,
     "op10_weighted_mix": mixed,
+    "op13_hard_negatives": hard_negative_pairs,
 }
