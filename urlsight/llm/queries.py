@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from urlsight.llm import (
-    block_dedup, exact_dedup, hard_negatives, licenses, mixing, packing, pii, quality, sharding, simhash, spelling,
-    suffix_dedup,
+    block_dedup, exact_dedup, hard_negatives, licenses, mixing, packing, pii, quality, secrets, sharding, simhash,
+    spelling, suffix_dedup,
 )
 from urlsight.llm.stored import documents, stored
 
@@ -98,6 +98,20 @@ def mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.takes(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+
+    def of(*kinds: str):
+        return F.filter("findings", lambda f: f["kind"].isin(*kinds))
+
+    return found.select(
+        "doc_id",
+        *[F.size(of(kind)).cast("long").alias(f"n_{kind}") for kind in secrets.BASE_KINDS],
+        F.sha2(secrets.listed(of(*secrets.BASE_KINDS)).cast("binary"), 256).alias("base_sha256"),
+        secrets.listed(F.col("findings")).alias("spans"),
+    )
+
+
 def spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group(documents(spark, sf_dir))
 
@@ -119,6 +133,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": quality_rules,
     "op9_block_dedup": repeated_words,
     "op10_weighted_mix": mixed,
+    "op11_secrets": secret_scan,
     "op12_spelling_variants": spelling_variants,
     "op13_hard_negatives": hard_negative_pairs,
 }
