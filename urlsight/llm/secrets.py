@@ -393,12 +393,12 @@ def trained(surroundings: tuple[bytes, ...] = (), count: int = GENERATED, seed:
 def surroundings(docs: DataFrame, text: str = "text") -> tuple[bytes, ...]:
     """At most ``SAMPLE_TEXTS`` pieces of texts of ``SAMPLE_LENGTH`` code points, picked by a hash."""
     body = F.col(plain(text))
-    draw = F.xxhash64(body)
-    place = F.pmod(draw, F.greatest(F.length(body) - SAMPLE_LENGTH, F.lit(1))).cast("int") + 1
-    picked = (
-        docs.filter(F.length(body) > 0).select(draw.alias("draw"), F.substr(body, place, F.lit(SAMPLE_LENGTH)).alias("piece"))
-        .orderBy("draw", "piece").limit(SAMPLE_TEXTS).collect()
-    )
+    texts = docs.filter(F.length(body) > 0).select(F.xxhash64(body).alias("draw"), body.alias("body"))
+    # First the draws alone, so that no more than a number of each task's best reaches the driver.
+    draws = [r["draw"] for r in texts.select("draw").distinct().orderBy("draw").limit(SAMPLE_TEXTS).collect()]
+    place = F.pmod("draw", F.greatest(F.length("body") - SAMPLE_LENGTH, F.lit(1))).cast("int") + 1
+    piece = F.substr(F.col("body"), place, F.lit(SAMPLE_LENGTH))
+    picked = texts.filter(F.col("draw").isin(draws)).select("draw", piece.alias("piece")).distinct().orderBy("draw", "piece").collect()
     return tuple(r["piece"].encode("utf-8", "replace") for r in picked)
 
 
