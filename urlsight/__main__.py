@@ -95,6 +95,8 @@ def _ingest(spark: SparkSession, args: argparse.Namespace) -> list[DataStreamWri
     if not args.search:
         return [*writers, jobs.certificate_stream(jobs.names_of_messages(messages), args.out, args.checkpoint)]
     mark, staging = f"{args.checkpoint}-mark", f"{args.checkpoint}-staging"
+    if args.after:
+        jobs.drain(jobs.seeded_stream(spark, args.after, staging, args.out, args.checkpoint))
     names = newer_than(jobs.names_of_searches(messages), None if args.again else load_mark(spark, mark))
     return [
         *writers,
@@ -130,6 +132,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "ingest":
             stream.add_argument("--search", action="store_true", help="input is search responses, one a file")
             stream.add_argument("--again", action="store_true", help="search: do not resume from the saved mark")
+            stream.add_argument("--after", help="search: checkpoint of an earlier run whose domains are not published again")
             stream.add_argument("--time", help="JSON path of the message's time in epoch seconds")
         else:
             stream.add_argument("--model", required=True)

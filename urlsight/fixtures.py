@@ -86,9 +86,9 @@ def scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hot_scored_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As ``scored_rows``, but 95 of 100 scores are alike and 2 are missing."""
+    """As ``scored_rows``, but 95 of 100 scores are alike, one is NULL and one is NaN."""
     turn = F.col("event_id") % 100
-    score = F.when(turn >= 5, F.lit(0.25)).when(turn >= 2, F.col("raw"))
+    score = F.when(turn >= 5, F.lit(0.25)).when(turn >= 2, F.col("raw")).when(turn == 1, F.lit(float("nan")))
     return classified_urls(spark, sf_dir).select("url", "truth", score.alias("score"))
 
 

@@ -75,6 +75,9 @@ def load_mark(spark: SparkSession, path: str) -> int | None:
     return log.agg(F.max_by("max_cert_id", "saved_at").alias("mark")).first()["mark"]
 
 
+COUNTERS = "batches bigint, domains bigint"
+
+
 def published_counters() -> list[Column]:
     """Number of messages and of the domains in them, over a column ``urls``."""
     return [
@@ -83,15 +86,15 @@ def published_counters() -> list[Column]:
     ]
 
 
-def write_counters(messages: DataFrame, path: str) -> None:
+def write_counters(spark: SparkSession, figures: dict[str, int], path: str) -> None:
     """The counters of one batch of messages, next to those of all other batches and runs."""
-    urls = F.from_json("value", "urls array<string>")["urls"].alias("urls")
-    messages.select(urls).agg(*published_counters()).write.mode("overwrite").parquet(path)
+    row = tuple(figures.get(name) or 0 for name in ("batches", "domains"))
+    spark.createDataFrame([row], COUNTERS).coalesce(1).write.mode("overwrite").parquet(path)
 
 
 def published_so_far(spark: SparkSession, path: str) -> DataFrame:
     """Lifetime totals over every batch of every run."""
-    counters = read_batches(spark, path, "batches bigint, domains bigint")
+    counters = read_batches(spark, path, COUNTERS)
     return counters.agg(
         *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("batches", "domains")]
     )

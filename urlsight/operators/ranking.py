@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from urlsight.functions.rows import computed_once
+from urlsight.session import stored
 
 BUCKET_VALUES = 50_000
 PREFIX_STEP = 3
@@ -52,7 +53,7 @@ def running_totals(
 ) -> DataFrame:
     """Add ``cum_<s>``, the total of ``s`` up to and including the row's value.
 
-    ``counts`` holds one row per (``by``, ``value``), no value NULL. Also adds ``next_<s>``, the
+    ``counts`` holds one row per (``by``, ``value``), no value NULL or NaN. Also adds ``next_<s>``, the
     value of ``s`` in the following row. Each bucket is sorted on its own and gets the totals of
     the buckets before it, a table of one row per bucket and group, broadcast while it is small.
     """
@@ -91,6 +92,26 @@ def running_totals(
     return rows.drop("_bucket", "next_head", *[f"before_{s}" for s in sums])
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "number", start: int = 0) -> DataFrame:
+    """``df``, stored, with consecutive numbers from ``start`` on in the given order.
+
+    Rows are range-partitioned and sorted, so every task numbers its own; the offsets of the
+    partitions, a row for each, are summed in one window. The order should be total:
+    rows that are alike in it come in any order, and a value that fills much of the table is one task's.
+    """
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = stored(placed.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy(part.alias("_part")).count().select(
+        "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    )
+    return (
+        rows.withColumn("_part", part).join(F.broadcast(offsets), "_part")
+        .withColumn(name, F.lit(start) + F.col("_before") + place).drop("_part", "_at", "_before")
+    )
+
+
 def hash_key(seed: int, column: str = "url") -> Column:
     """A key that orders rows at random but always alike: digest first, then the value."""
     return F.concat(F.md5(F.concat_ws(":", F.col(column), F.lit(str(seed)))), F.col(column))

@@ -9,6 +9,11 @@ from __future__ import annotations
 from urlsight.functions.predicates import METADATA_PHRASES, MONITORED_TLDS
 from urlsight.plans.evaluation import CLASS_NAMES, SUMMARY_ROWS, thresholds
 
+#: Names that the queries with a memory by count remember.
+RECENT = 700
+#: Bytes of a publisher's batch in the query of that name.
+MESSAGE_BYTES = 1450
+
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {}
 ORACLES: dict[str, tuple[tuple[str, ...], str]] = {}
 
@@ -275,10 +280,33 @@ def _by_length(rows: str) -> str:
 
 
 ORACLES["sink_all_writers"] = (("envelopes", "classified_urls", "submitted"), f"""
-{_by_length("envelopes where kind = 'good' and event_id % 2 = 0")}
+{_by_length("envelopes where kind = 'good'")}
 union all select url, score, classification from classified_urls
 union all select url, score, classification from submitted""")
 
+_certificate = (
+    "case when kind = 'test message' then kind else '{\"message_type\":\"' || kind || "
+    "'\",\"data\":{\"leaf_cert\":{\"all_domains\":[' || "
+    "array_to_string(list_transform(domains, lambda d: '\"' || d || '\"'), ',') || ']}}}' end"
+)
+VIEWS["sent"] = (("ct_messages",), f"""
+select *, octet_length(encode(value)) as size, sum(octet_length(encode(value))) over (order by number) as upto
+from (select row_number() over (order by event_id) - 1 as number, {_certificate} as value from ct_messages)""")
+ORACLES["sink_message_batches"] = (("sent",), f"""
+, jumps as (
+  select a.number, greatest(max(b.number), a.number) + 1 as after
+  from sent a left join sent b on b.number between a.number and a.number + 9
+                              and b.upto - a.upto + a.size <= {MESSAGE_BYTES}
+  group by a.number),
+starts as (
+  with recursive chain as (
+    select number, after from jumps where number = 0
+    union all select j.number, j.after from chain c join jumps j on j.number = c.after)
+  select * from chain)
+select s.number as batch, count(*) as n_messages, sum(m.size)::bigint as n_bytes,
+       md5(string_agg(m.value, chr(10) order by m.number)) as messages
+from starts s join sent m on m.number >= s.number and m.number < s.after group by s.number""")
+
 # ------------------------------------------------------------------ expressions and ingest
 
 ORACLES["fn_normalize_url"] = (("messy_urls",), f"select event_id, {_normal} as normalized from messy_urls")
@@ -543,16 +571,41 @@ ORACLES["stream_ingest"] = (("ct_messages",), """
 select cast(to_json({'urls': domains}) as varchar) as value
 from ct_messages where kind = 'certificate_update'""")
 VIEWS["searched"] = (("certificates",), f"""
-select * from (select ts, record, unnest(range(len(names))) as pos, unnest(names) as domain
+select * from (select ts, id, record, unnest(range(len(names))) as pos, unnest(names) as domain
                from certificates where id % 50 <> 0) where {_valid}""")
 ORACLES["stream_ingest_search"] = (("searched", "ct_records"), """
 select cast(to_json({'urls': list(domain order by pos)}) as varchar) as value,
        (select max(id) from ct_records where id % 50 <> 0) as mark
 from (select *, row_number() over (partition by domain order by ts, record, pos) as rn from searched)
 where rn = 1 group by record""")
+
+
+def _recent(rows: str, order: str) -> str:
+    """The names that are published with a memory of the last ``RECENT`` names."""
+    return f"""
+, offered as (select *, row_number() over (order by {order}) - 1 as number from {rows}),
+again as (
+  select *, min(number) over (partition by domain order by number
+            range between {RECENT} following and unbounded following) as after,
+         row_number() over (partition by domain order by number) as rn from offered),
+published as (
+  with recursive chain as (
+    select * exclude (rn) from again where rn = 1
+    union all select a.* exclude (rn) from chain c join again a on a.number = c.after)
+  select * from chain)"""
+
+
+ORACLES["dedup_recent_count"] = (("valid_names",), f"""{_recent("valid_names", "id, record, pos")}
+select domain, number from published""")
+ORACLES["stream_ingest_recent"] = (("searched",), f"""{_recent("searched", "ts, id, record, pos")}
+select cast(to_json({{'urls': list(domain order by pos)}}) as varchar) as value from published group by ts, id, record""")
+ORACLES["stream_replay_absorbed"] = (("searched",), """
+select cast(to_json({'urls': list(domain order by pos)}) as varchar) as value
+from (select *, row_number() over (partition by domain order by ts, record, pos) as rn from searched)
+where rn = 1 group by record""")
 ORACLES["stream_replay"] = (("envelopes",), f"""
 {_by_length("envelopes where kind = 'good' and event_id % 2 = 0")} union all
-{_by_length("envelopes where kind = 'good' and event_id % 3 = 0")}""")
+{_by_length("envelopes where kind = 'good'")}""")
 ORACLES["stream_counts_replay"] = ORACLES["stream_minute_counts"]
 ORACLES["stream_rate_limit"] = ((), "select 4::bigint as batches, count(*) as n, true as paced from events")
 ORACLES["stream_resume"] = (("classified_urls",), """

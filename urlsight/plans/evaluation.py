@@ -4,7 +4,7 @@ Predictions are ``score > threshold``; only the threshold sweep compares with ``
 Rows are first counted per distinct score, so one score that fills a third of the table
 is one row afterwards, and all ranks come from ``running_totals``.
 
-A row without a score is not flagged. Where scores are ranked it comes below all others, as
+A row without a score (NULL or NaN) is not flagged. Where scores are ranked it comes below all others, as
 minus infinity (its threshold is shown as NULL), and its loss is that of the score 0. Figures
 of the scores themselves (histogram, boxes, mean scores) leave it out.
 """
@@ -52,8 +52,14 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
     return _ratio(2 * tp, 2 * tp + fp + fn)
 
 
+def with_missing_scores(df: DataFrame) -> DataFrame:
+    """The rows with NaN scores turned into NULL, so that both are a missing score everywhere."""
+    return df.withColumn("score", F.nanvl(F.col("score").cast("double"), F.lit(None).cast("double")))
+
+
 def confusion(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row ``tn, fp, fn, tp``."""
+    df = with_missing_scores(df)
     flagged = F.coalesce(F.col("score") > F.lit(threshold), F.lit(False))
     positive = F.col("truth") == 1
     return df.agg(
@@ -81,7 +87,7 @@ NO_SCORE = float("-inf")
 
 def score_counts(df: DataFrame) -> DataFrame:
     """Positives and negatives per distinct score; rows without one are counted at ``NO_SCORE``."""
-    return df.groupBy(F.coalesce(F.col("score"), F.lit(NO_SCORE)).alias("score")).agg(
+    return with_missing_scores(df).groupBy(F.coalesce(F.col("score"), F.lit(NO_SCORE)).alias("score")).agg(
         F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
     )
 
@@ -276,7 +282,7 @@ def threshold_sweep(
         + (score >= F.get(padded, guess + 1)).cast("int")
     )
     reached = F.coalesce(exact, F.lit(0))
-    counted = df.groupBy(reached.alias("reached")).agg(
+    counted = with_missing_scores(df).groupBy(reached.alias("reached")).agg(
         F.count_if(F.col("truth") == 1).alias("pos"), F.count_if(F.col("truth") == 0).alias("neg")
     )
     grid = F.posexplode(F.array(*[F.lit(t) for t in [0.0, *limits]])).alias("reached", "threshold")
@@ -322,7 +328,7 @@ def _outcome(threshold: float) -> Column:
 def error_stats(df: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Count and mean score of the false positives and of the false negatives."""
     return (
-        df.select(_outcome(threshold).alias("kind"), "score")
+        with_missing_scores(df).select(_outcome(threshold).alias("kind"), "score")
         .filter(F.col("kind").isin("FP", "FN"))
         .groupBy("kind")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("score").alias("mean_score"))
@@ -335,7 +341,7 @@ def error_examples(df: DataFrame, threshold: float = THRESHOLD, k: int = EXAMPLE
     Two top-k selections; ranking all errors of a kind in a window would sort them in one
     task.
     """
-    kinds = df.select(_outcome(threshold).alias("kind"), "score", "url")
+    kinds = with_missing_scores(df).select(_outcome(threshold).alias("kind"), "score", "url")
     first = [
         kinds.filter(F.col("kind") == kind).orderBy("score", "url").limit(k) for kind in ("FP", "FN")
     ]
@@ -349,7 +355,7 @@ def score_histogram(df: DataFrame, bins: int = BINS) -> DataFrame:
     plan as numbers. The bin is found by division and put right by comparing with its
     edges.
     """
-    scored = df.select("truth", "score").filter(
+    scored = with_missing_scores(df).select("truth", "score").filter(
         F.col("score").isNotNull() & F.col("truth").isin(0, 1)
     )
     ends = []
@@ -404,7 +410,7 @@ def box_stats(
     Quartiles are exact, with linear interpolation. They are read off running counts over
     the distinct scores, which are stored, so no outcome's scores are gathered in one task.
     """
-    scored = df.filter(F.col("score").isNotNull())
+    scored = with_missing_scores(df).filter(F.col("score").isNotNull())
     counts = stored(
         scored.groupBy(_outcome(threshold).alias("outcome"), "score").agg(F.count(F.lit(1)).alias("n")),
         "outcome-counts",

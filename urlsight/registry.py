@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +11,8 @@ from pyspark.sql.types import StructType
 
 from urlsight import fixtures as fx
 from urlsight.functions import predicates, score, text
-from urlsight.operators import corpus, features, ingest, model, scoring
+from urlsight.operators import batching, corpus, features, ingest, model, recent, scoring
+from urlsight.operators.ranking import numbered
 from urlsight.plans import dashboard, evaluation
 from urlsight.session import shared_dir, stored
 from urlsight.sinks import messages as out
@@ -21,6 +22,9 @@ from urlsight.sinks.batches import keyed_writer, read_batches
 from urlsight.sources import lines, messages, table
 from urlsight.streaming import jobs
 
+#: Bytes of a publisher's batch, few enough for the given messages to meet both bounds.
+MESSAGE_BYTES = 1450
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -169,13 +173,23 @@ def sink_all_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
         return (F.length(url) % 100) / 100
 
     stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir))
-    writer = jobs.score_stream(stream.filter("event_id % 2 = 0"), by_length, path, shared_dir(spark, "checkpoint"))
+    writer = jobs.score_stream(stream, by_length, path, shared_dir(spark, "checkpoint"))
     jobs.drain(writer)
     sink.write_classified(fx.classified_urls(spark, sf_dir), path)
     submissions.submit(fx.submissions(spark, sf_dir), path)
     return table.read_classified(spark, path).select("url", "score", "classification")
 
 
+
+
+@query
+def sink_message_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Publisher batches of all certificate messages, in the order of their events."""
+    sent = numbered(fx.ct_messages(spark, sf_dir).select("event_id", "value"), ["event_id"])
+    packed = batching.message_batches(sent, most_bytes=MESSAGE_BYTES)
+    return packed.withColumn("messages", F.md5(_joined("messages", "\n")))
+
+
 # ------------------------------------------------------------------ expressions
 
 
@@ -282,6 +296,18 @@ def dedup_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _fresh(spark, sf_dir).select("domain", "id", "pos")
 
 
+#: Names that are remembered, few enough for names to be forgotten in the given tables.
+RECENT = 700
+
+
+@query
+def dedup_recent_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names that were not published within the last ``RECENT`` names."""
+    named = _valid(spark, sf_dir).select("id", "record", "pos", "domain")
+    rows = numbered(named, ["id", "record", "pos"])
+    return recent.published(rows, RECENT)
+
+
 @query
 def explode_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
     parsed = messages.good_rows(messages.parse_ct_messages(fx.ct_messages(spark, sf_dir)))
@@ -299,40 +325,39 @@ def max_id_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.highest_id(fx.ct_records(spark, sf_dir))
 
 
-def _message_files(spark: SparkSession, sf_dir: str, label: str, rows: DataFrame, files: int = FILES) -> str:
-    """``rows(ts, value)`` as files in the order of time, each written after the one before."""
-    path = shared_dir(spark, label)
-    ends = rows.agg(F.percentile_approx("ts", [i / files for i in range(1, files)], 1000)).first()[0]
-    for low, high in zip([None, *ends], [*ends, None]):
-        part = rows
-        if low is not None:
-            part = part.filter(F.col("ts") > F.lit(low))
-        if high is not None:
-            part = part.filter(F.col("ts") <= F.lit(high))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+def _parts_in_time(spark: SparkSession, label: str, rows: DataFrame, parts: int = FILES) -> Iterator[str]:
+    """``rows(ts, value)`` added to a folder part by part in the order of time; the folder, after each part.
 
+    Rows without a time come first. Each part is written by as many tasks as it needs, and a job
+    that drains the folder after each of them has the part as one batch.
+    """
+    path, staged = shared_dir(spark, label), shared_dir(spark, f"{label}-parts")
+    ends = rows.agg(F.percentile_approx("ts", [i / parts for i in range(1, parts)], 1000)).first()[0] or []
+    part = F.lit(0)
+    for end in ends:
+        part = part + F.coalesce((F.col("ts") > F.lit(end)).cast("int"), F.lit(0))
+    rows.withColumn("part", part).write.partitionBy("part").parquet(staged)
+    cut = spark.read.schema("ts timestamp, value string, part int").parquet(staged)
+    for k in range(parts):
+        cut.filter(F.col("part") == k).select("ts", "value").write.mode("append").parquet(path)
+        yield path
 
-def _one_file_a_batch(spark: SparkSession, path: str) -> DataFrame:
-    schema = StructType.fromDDL("ts timestamp, value string")
-    return jobs.file_stream(spark, path, schema, files_per_trigger=1)
+
+def _timed_stream(spark: SparkSession, path: str) -> DataFrame:
+    return jobs.file_stream(spark, path, StructType.fromDDL("ts timestamp, value string"))
 
 
 @query
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """More batches than a query keeps progress of, from two checkpoints."""
-    path, kept = shared_dir(spark, "batches"), "spark.sql.streaming.numRecentProgressUpdates"
+    """Lifetime counters over many batches, restarts and two checkpoints."""
+    path = shared_dir(spark, "batches")
     sent = fx.ct_messages(spark, sf_dir)
-    before = spark.conf.get(kept)
-    spark.conf.set(kept, "2")
-    try:
-        for turn in (0, 1):
-            half = sent.filter(F.col("event_id") % 2 == turn).select("ts", "value")
-            source = _message_files(spark, sf_dir, "messages", half)
-            lists = jobs.names_of_messages(_one_file_a_batch(spark, source))
-            jobs.drain(jobs.certificate_stream(lists, path, shared_dir(spark, "checkpoint")))
-    finally:
-        spark.conf.set(kept, before)
+    for turn in (0, 1):
+        half = sent.filter(F.col("event_id") % 2 == turn).select("ts", "value")
+        checkpoint = shared_dir(spark, "checkpoint")
+        for source in _parts_in_time(spark, "messages", half):
+            lists = jobs.names_of_messages(_timed_stream(spark, source))
+            jobs.drain(jobs.certificate_stream(lists, path, checkpoint))
     return ingest.published_so_far(spark, jobs.counters_of(path))
 
 
@@ -737,36 +762,65 @@ def _published(spark: SparkSession, path: str) -> DataFrame:
 @query
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the certificate path over several micro-batches."""
-    path = shared_dir(spark, "ingested")
-    source = _message_files(spark, sf_dir, "messages", fx.ct_messages(spark, sf_dir).select("ts", "value"))
-    lists = jobs.names_of_messages(_one_file_a_batch(spark, source))
-    jobs.drain(jobs.certificate_stream(lists, path, shared_dir(spark, "checkpoint")))
+    path, checkpoint = shared_dir(spark, "ingested"), shared_dir(spark, "checkpoint")
+    for source in _parts_in_time(spark, "messages", fx.ct_messages(spark, sf_dir).select("ts", "value")):
+        lists = jobs.names_of_messages(_timed_stream(spark, source))
+        jobs.drain(jobs.certificate_stream(lists, path, checkpoint))
     return _published(spark, path)
 
 
+def _search_run(
+    spark: SparkSession, sf_dir: str, path: str, mark: str | None = None, after: str | None = None
+) -> str:
+    """Both steps of the search path over all responses with new checkpoints; that of the second step."""
+    staging, first, second = (shared_dir(spark, n) for n in ("staging", "checkpoint", "checkpoint"))
+    if after:
+        jobs.drain(jobs.seeded_stream(spark, after, staging, path, second, horizon=REPLAY_DELAY))
+    for source in _parts_in_time(spark, "bodies", fx.ct_search_bodies(spark, sf_dir)):
+        names = jobs.names_of_searches(_timed_stream(spark, source))
+        jobs.drain(jobs.staged_domains(names, staging, first, mark))
+        jobs.drain(jobs.ingest_stream(spark, staging, path, second, horizon=REPLAY_DELAY))
+    return second
+
+
 @query
 def stream_ingest_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages of the search path, and that its mark is the highest id, over several micro-batches."""
-    path, staging, mark = (shared_dir(spark, n) for n in ("ingested", "staging", "mark"))
-    source = _message_files(spark, sf_dir, "bodies", fx.ct_search_bodies(spark, sf_dir))
-    names = jobs.names_of_searches(_one_file_a_batch(spark, source))
-    jobs.drain(jobs.staged_domains(names, staging, shared_dir(spark, "checkpoint"), mark))
-    jobs.drain(jobs.ingest_stream(
-        spark, staging, path, shared_dir(spark, "checkpoint"), horizon=REPLAY_DELAY, files_per_trigger=1
-    ))
+    path, mark = shared_dir(spark, "ingested"), shared_dir(spark, "mark")
+    _search_run(spark, sf_dir, path, mark)
     return _published(spark, path).withColumn("mark", F.lit(ingest.load_mark(spark, mark)))
 
 
+@query
+def stream_ingest_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search path with a memory by count, over several micro-batches and restarts."""
+    path, checkpoint = shared_dir(spark, "ingested"), shared_dir(spark, "checkpoint")
+    for source in _parts_in_time(spark, "bodies", fx.ct_search_bodies(spark, sf_dir)):
+        names = jobs.names_of_searches(_timed_stream(spark, source))
+        jobs.drain(jobs.recent_stream(names, path, checkpoint, bound=RECENT))
+    return _published(spark, path)
+
+
+@query
+def stream_replay_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search path read twice in whole, the second time with new checkpoints that take over the
+    names of the first run: nothing is published again."""
+    path = shared_dir(spark, "ingested")
+    first = _search_run(spark, sf_dir, path)
+    _search_run(spark, sf_dir, path, after=first)
+    return _published(spark, path)
+
+
 @query
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two checkpoints into one folder: the second run adds to the first."""
+    """Two checkpoints into one folder, a part of the rows and all of them: the second run adds to the first."""
     path = shared_dir(spark, "scored")
 
     def by_length(url: Column) -> Column:
         return (F.length(url) % 100) / 100
 
-    for half in ("event_id % 2 = 0", "event_id % 3 = 0"):
-        stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir)).filter(half)
+    for part in ("event_id % 2 = 0", "true"):
+        stream = fx.envelopes(spark, sf_dir, fx.read_events_stream(spark, sf_dir)).filter(part)
         jobs.drain(jobs.score_stream(stream, by_length, path, shared_dir(spark, "checkpoint")))
     return table.read_classified(spark, path).select("url", "score", "classification")
 

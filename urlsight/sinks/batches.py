@@ -22,17 +22,22 @@ def new_run() -> str:
     return f"{time.time_ns() // 1_000_000:015d}-{uuid.uuid4().hex[:8]}"
 
 
-def run_of(spark: SparkSession, checkpoint: str) -> str:
-    """The run that belongs to a checkpoint; it is noted there when the checkpoint is new."""
-    path = f"{checkpoint}/run"
+def noted_run(spark: SparkSession, checkpoint: str) -> str | None:
+    """The run that belongs to a checkpoint; none where no writer was ever made with it."""
     try:
-        noted = spark.read.text(path).first()
+        noted = spark.read.text(f"{checkpoint}/run").first()
     except AnalysisException:
-        noted = None
-    if noted:
-        return noted["value"]
-    run = new_run()
-    spark.createDataFrame([(run,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return None
+    return noted["value"] if noted else None
+
+
+def run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The run that belongs to a checkpoint; it is noted there when the checkpoint is new."""
+    run = noted_run(spark, checkpoint)
+    if not run:
+        run = new_run()
+        noted = spark.createDataFrame([(run,)], "value string").coalesce(1)
+        noted.write.mode("overwrite").text(f"{checkpoint}/run")
     return run
 
 

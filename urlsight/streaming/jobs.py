@@ -8,7 +8,7 @@ again, and a new checkpoint adds to what earlier runs have written.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
@@ -21,13 +21,16 @@ from urlsight.operators.ingest import (
     explode_domains,
     first_seen,
     highest_id,
+    published_counters,
     record_key,
     regroup,
     save_mark,
     write_counters,
 )
+from urlsight.operators.ranking import numbered
+from urlsight.operators.recent import RECENT, published, remembered_after
 from urlsight.operators.scoring import Model, TableModel, score_urls, table_model
-from urlsight.sinks.batches import batch_path, keyed_writer, read_batches
+from urlsight.sinks.batches import batch_path, keyed_writer, noted_run, read_batches, run_of
 from urlsight.sinks.messages import alert_messages, url_messages
 from urlsight.sinks.table import lay_out, with_day, write_batch
 from urlsight.sources.messages import (
@@ -134,12 +137,17 @@ def names_of_searches(bodies: DataFrame, body: str = "value", time: str = "ts")
     return records.select(time, "id", key.alias("record"), names.alias("names"))
 
 
-def _publish(messages: DataFrame, folder: str, counters: str) -> None:
-    """Write a batch of messages, then count what was written."""
-    messages.write.mode("overwrite").text(folder)
-    written = messages.sparkSession.read.schema("value string").text(folder)
+def _publish(lists: DataFrame, folder: str, counters: str) -> None:
+    """Write a batch as messages; its counters are observed while it is written, in one pass.
+
+    They are stored under the batch's own number, so a batch that runs again replaces its figures.
+    A listener would hear of them later and only once, and lose them with the driver.
+    """
+    seen = Observation()
+    listed = lists.filter(F.size("urls") > 0).observe(seen, *published_counters())
+    url_messages(listed).write.mode("overwrite").text(folder)
     run, batch = folder.split("/")[-2:]
-    write_counters(written, f"{counters}/{run}/{batch}")
+    write_counters(lists.sparkSession, seen.get, f"{counters}/{run}/{batch}")
 
 
 def counters_of(path: str) -> str:
@@ -151,7 +159,7 @@ def certificate_stream(lists: DataFrame, path: str, checkpoint: str) -> DataStre
     """The certificate stream's path: one message for each certificate, with all its names."""
 
     def write(batch: DataFrame, folder: str) -> None:
-        _publish(url_messages(batch), folder, counters_of(path))
+        _publish(batch, folder, counters_of(path))
 
     return keyed_writer(lists, path, checkpoint, write)
 
@@ -189,18 +197,100 @@ def ingest_stream(
     spark: SparkSession, staging: str, path: str, checkpoint: str,
     time: str = "ts", horizon: str = "1 day", files_per_trigger: int | None = None,
 ) -> DataStreamWriter:
-    """The second step: domains not seen lately, packed into one message for each record."""
+    """The second step: domains not seen lately, packed into one message for each record.
+
+    Rows without a record only mark their domain as seen. A row without a time is
+    published once a batch and not remembered.
+    """
     schema = StructType.fromDDL(f"{time} timestamp, record string, pos int, domain string")
     # The folder must be there, even before the first step has written to it.
     spark.createDataFrame([], schema).write.mode("ignore").parquet(batch_path(staging, "0", 0))
     staged = file_stream(spark, staging, schema, files_per_trigger=files_per_trigger, nested=True)
 
     def write(batch: DataFrame, folder: str) -> None:
-        _publish(url_messages(regroup(batch, ["record"])), folder, counters_of(path))
+        new = batch.filter(F.col("record").isNotNull())
+        _publish(regroup(new, ["record"]), folder, counters_of(path))
 
     return keyed_writer(unseen_domains(staged, time, horizon), path, checkpoint, write)
 
 
+def remembered_domains(spark: SparkSession, checkpoint: str, time: str = "ts", horizon: str = "1 day") -> DataFrame:
+    """``(time, domain)`` that ``ingest_stream`` with this checkpoint still remembers, read from its state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    expires = F.timestamp_micros(F.col("value.expiresAtMicros"))
+    return state.select((expires - F.expr(f"interval {horizon}")).alias(time), F.col("key.domain").alias("domain"))
+
+
+def seeded_stream(
+    spark: SparkSession, after: str, staging: str, path: str, checkpoint: str,
+    time: str = "ts", horizon: str = "1 day",
+) -> DataStreamWriter:
+    """``ingest_stream`` with a new checkpoint that takes over what the one ``after`` remembers.
+
+    Drain it before anything is staged: the domains of the earlier run are then the first batch,
+    which publishes nothing, and a replay of what that run has published is absorbed. The
+    staging folder must be new. What follows costs no more than in any other run, because the
+    domains are in the state of the new run, not looked up in the old one. With a checkpoint that
+    is in use already it goes on where that is.
+    """
+    if not noted_run(spark, checkpoint):
+        seeds = remembered_domains(spark, after, time, horizon).select(
+            time, F.lit(None).cast("string").alias("record"), F.lit(0).alias("pos"), "domain"
+        )
+        seeds.write.mode("overwrite").parquet(batch_path(staging, "0", 0))
+    return ingest_stream(spark, staging, path, checkpoint, time, horizon)
+
+
+def _recent_state(spark: SparkSession, path: str, run: str, before: int | None) -> tuple[DataFrame | None, int]:
+    """What a run remembered before a batch, or at its end, and the next number."""
+    rows = read_batches(spark, path, "domain string, last bigint").filter(F.col("run") == run)
+    if before is not None:
+        rows = rows.filter(F.col("batch") < before)
+    # Batches follow one another, but one without rows may have been left out.
+    latest = rows.agg(F.max("batch")).first()[0]
+    if latest is None:
+        return None, 0
+    rows = rows.filter(F.col("batch") == latest)
+    end = rows.filter("domain is null").first()["last"]
+    return rows.filter("domain is not null").select("domain", "last"), end
+
+
+def recent_stream(
+    names: DataFrame, path: str, checkpoint: str, time: str = "ts", bound: int = RECENT, after: str | None = None
+) -> DataStreamWriter:
+    """The search path with a memory of ``bound`` names instead of a time.
+
+    Valid names are numbered in the order of time, id and place, on from the batch before; a name is
+    published unless it was published within the last ``bound`` numbers. The memory, at most ``bound``
+    rows, is stored with each batch, so a batch that runs again finds what it found before. A new
+    checkpoint starts without memory, or with that of the run of the checkpoint ``after``: a replay
+    is absorbed as far back as the bound reaches.
+    """
+    spark, memory = names.sparkSession, f"{path.rstrip('/')}-recent"
+    run, earlier = run_of(spark, checkpoint), noted_run(spark, after) if after else None
+
+    def write(batch: DataFrame, folder: str) -> None:
+        number = int(folder.rsplit("=", 1)[1])
+        # The folder must be there, even before the first batch.
+        nothing = spark.createDataFrame([], "domain string, last bigint")
+        nothing.write.mode("ignore").parquet(batch_path(memory, "0", 0))
+        remembered, start = _recent_state(spark, memory, run, number)
+        if remembered is None and earlier:
+            remembered, start = _recent_state(spark, memory, earlier, None)
+        listed = explode_domains(batch.select(time, "id", "record", "names"), "names")
+        valid = listed.filter(is_valid_domain(F.col("domain")))
+        rows = numbered(valid, [time, "id", "record", "pos"], start=start)
+        chosen = published(rows, bound, remembered)
+        new = rows.join(chosen, ["domain", "number"])
+        _publish(regroup(new, [time, "id", "record"]), folder, counters_of(path))
+        end = start + rows.count()
+        kept = remembered_after(chosen, end, bound, remembered)
+        mark = spark.createDataFrame([(None, end)], "domain string, last bigint")
+        kept.unionByName(mark).coalesce(1).write.mode("overwrite").parquet(batch_path(memory, run, number))
+
+    return keyed_writer(names, path, checkpoint, write)
+
+
 def minute_counts(classified: DataFrame, delay: str = "10 minutes") -> DataFrame:
     """Rows per minute and class; a minute is kept open for ``delay`` of event time."""
     return (
