@@ -187,26 +187,7 @@ def quality(text: str | None):
     )
 
 
-def shingles(text: str | None):
-    words = WORD.findall(small_letters(text or ""))
-    return {tuple(words[i: i + 5]) for i in range(len(words) - 4)} or {tuple(words)}
-
-
-def jaccard(a: str | None, b: str | None) -> float:
-    a, b = shingles(a), shingles(b)
-    return len(a & b) / len(a | b)
-
-
-def without_near_copies(rows):
-    """The least id of each class of rows linked by similarities of 0.8 or more; ids without nulls."""
-    sets = [shingles(t) for _, t, _ in rows]
-    label = list(range(len(rows)))
-    for i, x in enumerate(sets):
-        for j, y in enumerate(sets[:i]):
-            if label[i] != label[j] and len(x & y) >= 0.8 * len(x | y):
-                old, new = label[i], label[j]
-                label = [new if c == old else c for c in label]
-    least = {}
-    for (doc, _, _), c in zip(rows, label):
-        least[c] = min(least.get(c, doc), doc)
-    return list(least.values())
+def good(text: str | None) -> bool:
+    """The verdict of the quality rules with their production settings."""
+    words, *_, covered, longest, failed = quality(text)
+    return not failed and covered <= max(0.2 * words, 40) and longest <= max(0.2 * words, 20)

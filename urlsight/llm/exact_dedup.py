@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.llm import arrays, fuse
-from urlsight.llm.stored import plain, stored
+from urlsight.llm.stored import found_again, plain, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -166,13 +166,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", batches: i
 
     Rows are found again by id and a hash of the text, so ids need not be unique.
     """
-    stays = duplicates(docs, id, text, batches).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("key").alias("__key")
-    )
-    keyed = docs.withColumn("__id", F.col(plain(id))).withColumn("__key", F.xxhash64(F.col(plain(text))))
-    joined = keyed.alias("d").join(
-        stays.alias("s"),
-        F.col("d.__key").eqNullSafe(F.col("s.__key")) & F.col("d.__id").eqNullSafe(F.col("s.__id")),
-        "left_semi",
-    )
-    return joined.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    stays = duplicates(docs, id, text, batches).filter("kept").select(F.col("doc_id").alias("id"), "key")
+    return found_again(docs, stays, id, text)

@@ -93,7 +93,7 @@ FAMILIES = [
     ("qpl", "public", "q public license", []),
     ("json", "json", "json license", []),
     ("public-domain", "domain", "(?:placed|released) (?:in|into) the public domain", []),
-    ("proprietary", "rights", "all rights reserved", []),
+    ("proprietary", "proprietary", "(?:proprietary and confidential|confidential and proprietary)", []),
 ]
 
 # Phrases from license texts, and addresses, as normalised words.

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from urlsight.llm.stored import plain, small, stored
+from urlsight.llm.stored import identified, plain, small, stored
 
 WEIGHTS = (5, 2, 1)
 MOST_PASSES = 3
@@ -148,16 +148,11 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     Rows are found again by id and a hash of the text, so ids need not be unique.
     """
     counts = (
-        takes(docs, id, source, text, seed).groupBy(F.col("doc_id").alias("__id"), F.col("key").alias("__key"))
-        .agg(F.sum("times").alias("__times")).filter("__times > 0")
-    )
-    keyed = docs.withColumn("__id", F.col(plain(id))).withColumn("__key", F.xxhash64(F.col(plain(text))))
-    joined = keyed.alias("d").join(
-        counts.alias("c"),
-        F.col("d.__key").eqNullSafe(F.col("c.__key")) & F.col("d.__id").eqNullSafe(F.col("c.__id")),
-    ).select(*[F.col(f"d.{plain(c)}") for c in keyed.columns], "c.__times")
-    return (
-        joined.dropDuplicates(["__id", "__key"])
-        .withColumn("__pass", F.explode(F.sequence(F.lit(1), "__times")))
-        .select(*[plain(c) for c in docs.columns])
+        takes(docs, id, source, text, seed).groupBy(F.col("doc_id").alias("id"), "key")
+        .agg(F.sum("times").alias("times")).filter("times > 0")
     )
+    rows = identified(docs, id, text).alias("d").join(
+        counts.alias("c"), F.col("d.id").eqNullSafe(F.col("c.id")) & F.col("d.key").eqNullSafe(F.col("c.key"))
+    ).select("d.row", "d.id", "d.key", "c.times")
+    again = rows.dropDuplicates(["id", "key"]).select("row", F.explode(F.sequence(F.lit(1), "times")))
+    return again.select("row.*")

@@ -83,31 +83,35 @@ select t.doc_id, len(t.words) as n_words, coalesce(k.n_removed, 0) as n_removed,
 from texts t left join kept k on t.doc_id = k.doc_id
 """
 
-SUFFIX_DEDUP = r"""
+# Windows are cut from pieces of two window lengths, so that no cut reads a long text from its start.
+SUFFIX_DEDUP = """
 with texts as (
-  select doc_id, coalesce(text, '') as text, hex(encode(coalesce(text, ''))) as hexed from documents),
-bytes as (
-  select doc_id, hexed, len(hexed) // 2 as n, unnest(range(len(hexed) // 2)) as pos from texts),
+  select doc_id, hex(encode(coalesce(text, ''))) as hexed, len(hex(encode(coalesce(text, '')))) // 2 as n
+  from documents),
+pieces as (
+  select doc_id, n, k, substr(hexed, 400 * k + 1, 800) as piece
+  from (select *, unnest(range(0, n // 200 + 1)) as k from texts)),
 windows as (
-  select doc_id, pos, md5(substr(hexed, 2 * pos + 1, 400)) as content from bytes where pos + 200 <= n),
-repeated as (
-  select doc_id, pos from (
-    select doc_id, pos, count(*) over (partition by content) as times from windows) where times > 1),
-marked as (
-  select b.doc_id, b.pos, substr(b.hexed, 2 * b.pos + 1, 2) as byte,
-         max(case when r.pos is not null then 1 else 0 end) over (
-           partition by b.doc_id order by b.pos rows between 199 preceding and current row) as removed
-  from bytes b left join repeated r on b.doc_id = r.doc_id and b.pos = r.pos),
-turns as (
-  select *, case when removed = 1 and coalesce(lag(removed) over (partition by doc_id order by pos), 0) = 0
-                 then 1 else 0 end as opens from marked),
+  select doc_id, 200 * k + o as pos, md5(substr(piece, 2 * o + 1, 400)) as content
+  from (select *, unnest(range(0, 200)) as o from pieces) where 200 * k + o + 200 <= n),
+starts as (
+  select doc_id, pos from windows
+  where content in (select content from windows group by content having count(*) > 1)),
+opened as (
+  select *, case when pos <= lag(pos) over (partition by doc_id order by pos) + 200 then 0 else 1 end as opens from starts),
+islands as (
+  select *, sum(opens) over (partition by doc_id order by pos) as island from opened),
+spans as (
+  select doc_id, min(pos) as low, max(pos) + 200 as high from islands group by doc_id, island),
+ends as (
+  select *, coalesce(lag(high) over (partition by doc_id order by low, high), 0) as before
+  from (select doc_id, low, high from spans union all select doc_id, n, n from texts)),
 kept as (
-  select doc_id, sum(removed)::bigint as n_removed, sum(opens)::bigint as n_spans,
-         coalesce(string_agg(byte, '' order by pos) filter (where removed = 0), '') as hexed
-  from turns group by doc_id)
-select t.doc_id, len(t.hexed) // 2 as n_bytes, coalesce(k.n_removed, 0) as n_removed,
-       coalesce(k.n_spans, 0) as n_spans, sha256(unhex(coalesce(k.hexed, ''))) as kept_sha256
-from texts t left join kept k on t.doc_id = k.doc_id
+  select e.doc_id, sum(e.high - e.low)::bigint as n_removed, (count(*) - 1)::bigint as n_spans,
+         string_agg(substr(t.hexed, 2 * e.before + 1, 2 * (e.low - e.before)), '' order by e.low, e.high) as hexed
+  from ends e join texts t on t.doc_id = e.doc_id group by e.doc_id)
+select t.doc_id, t.n as n_bytes, k.n_removed, k.n_spans, sha256(unhex(k.hexed)) as kept_sha256
+from texts t join kept k on t.doc_id = k.doc_id
 """
 
 HARD_NEGATIVES = """

@@ -79,6 +79,13 @@ def measure(docs: DataFrame, text: str = "text", rules: Rules = Rules(), rejecte
     return source.mapInArrow(judged, out).toDF(*carried, *MEASURES, "base_failed", "kept")
 
 
+def keep_good(docs: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns, those named like a measure included."""
+    placed = by_place(docs, docs.columns)
+    good = measure(placed, f"__{docs.columns.index(text)}", rules, rejected=False)
+    return good.select(*placed.columns).toDF(*docs.columns)
+
+
 def measures(texts: arrays.Texts, rules: Rules) -> dict[str, np.ndarray]:
     """The measures and verdicts of each text of a run."""
     words = texts.words()

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from urlsight.llm import arrays
 from urlsight.llm.components import components
-from urlsight.llm.stored import by_place, extended, plain, stored, written
+from urlsight.llm.stored import by_place, extended, found_again, plain, stored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
@@ -307,11 +307,5 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", distance:
     stays = classes.groupBy(
         F.coalesce("component_id", F.lit(0)).alias("c"), F.col("component_id").isNull().alias("n"),
         F.when(F.col("component_id").isNull(), F.col("print_of")).alias("p"),
-    ).agg(F.min(order).alias("stay")).select(F.col("stay.id").alias("__id"), F.col("stay.key").alias("__key"))
-    keyed = docs.withColumn("__id", F.col(plain(id))).withColumn("__key", key)
-    joined = keyed.alias("d").join(
-        stays.alias("s"),
-        F.col("d.__key").eqNullSafe(F.col("s.__key")) & F.col("d.__id").eqNullSafe(F.col("s.__id")),
-        "left_semi",
-    )
-    return joined.dropDuplicates(["__id", "__key"]).drop("__id", "__key")
+    ).agg(F.min(order).alias("stay")).select("stay.id", "stay.key")
+    return found_again(docs, stays, id, text)

@@ -45,6 +45,22 @@ def by_place(df: DataFrame, names: list[str], **more: Column) -> DataFrame:
     )
 
 
+def identified(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """``(row, id, key)``: whole rows, each with its id and a hash of its text to find it again by.
+
+    All columns lie in ``row``, so whatever their names are they clash with nothing.
+    """
+    whole = F.struct(*[F.col(plain(c)) for c in docs.columns])
+    return docs.select(whole.alias("row"), F.col(plain(id)).alias("id"), F.xxhash64(F.col(plain(text))).alias("key"))
+
+
+def found_again(docs: DataFrame, stays: DataFrame, id: str, text: str) -> DataFrame:
+    """The rows of ``docs`` that ``stays(id, key)`` lists, of repeated rows one."""
+    rows = identified(docs, id, text).alias("d")
+    same = F.col("d.id").eqNullSafe(F.col("s.id")) & F.col("d.key").eqNullSafe(F.col("s.key"))
+    return rows.join(stays.alias("s"), same, "left_semi").dropDuplicates(["id", "key"]).select("row.*")
+
+
 def small(df: DataFrame, most: int = 20_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``most`` rows; ``df`` should be stored."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
