@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from urlsight.llm import exact_dedup, mixing, near_copies, packing, quality
+from urlsight.llm import exact_dedup, mixing, packing, quality, simhash
 from urlsight.llm.queries import tokenizer_path
 from urlsight.llm.stored import documents, stored
 from urlsight.session import shared_dir
@@ -16,8 +16,7 @@ from urlsight.session import shared_dir
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules."""
-    names = [f"`{c}`" for c in docs.columns]
-    return quality.measure(docs, rejected=False).select(*names)
+    return quality.keep_good(docs)
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +25,8 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: shingles of five words, similarity 0.8 or more."""
-    return near_copies.keep_one(docs)
+    """One document of each group that links of the SimHash operator make: three words, two bits."""
+    return simhash.keep_one(docs)
 
 
 def weighed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
