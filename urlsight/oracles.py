@@ -245,6 +245,7 @@ ORACLES["src_ct_incremental"] = (("ct_records",), """
 select id, common_name from ct_records
 where id > (select max(id) from ct_records where id <= (select max(id) / 2 from ct_records))""")
 _tlds = "|".join(MONITORED_TLDS)
+ORACLES["src_ct_offsets"] = (("ct_records",), "select id, common_name from ct_records")
 ORACLES["src_tld_filter"] = (("cert_names",), rf"""
 select id, domain from cert_names where regexp_matches(lower(domain), '\.({_tlds})$')""")
 ORACLES["src_envelope"] = (("envelopes",), """
@@ -510,6 +511,15 @@ union all
 select 'pr', round(cum_pos / (tp + fn), 6), round(cum_pos / (cum_pos + cum_neg), 6), score
 from by_score, conf
 union all select 'pr', 0, 1, null""")
+ORACLES["eval_curves_thinned"] = (("by_score", "conf"), """
+select * from (
+  select 'roc' as curve, round(cum_neg / (tn + fp), 6) as x, round(cum_pos / (tp + fn), 6) as y, score as threshold
+  from by_score, conf where next_pos is null or pos * next_neg <> neg * next_pos
+  union all select 'roc', 0, 0, 'inf'::double
+  union all
+  select 'pr', round(cum_pos / (tp + fn), 6), round(cum_pos / (cum_pos + cum_neg), 6), score
+  from by_score, conf where next_pos is null or pos > 0 or next_pos > 0
+  union all select 'pr', 0, 1, null) cross join (values ('plain'), ('bucketed')) forms(form)""")
 ORACLES["eval_threshold_sweep"] = (("sweep",), f"""
 select round(threshold, 6) as threshold, tn, fp, fn, tp, {_six} from sweep""")
 ORACLES["eval_best_threshold"] = (("sweep",), f"""
@@ -562,6 +572,7 @@ from conf_rates, lateral (values ('Accuracy', accuracy), ('Precision', precision
 ORACLES["stream_minute_counts"] = (("classified_urls",), f"""
 select {_iso("date_trunc('minute', time_added)")} as time_bucket, classification, count(*) as count
 from classified_urls group by all""")
+ORACLES["stream_minute_finals"] = ORACLES["stream_minute_counts"]
 VIEWS["enveloped"] = (("envelopes",), "select url from envelopes where kind = 'good'")
 ORACLES["stream_score"] = (("nb_table", "enveloped"), f"""
 select url, {_stored} from enveloped join ({_scored('enveloped')}) using (url)""")

@@ -217,16 +217,23 @@ def class_report(counts: DataFrame, names: tuple[str, str] = CLASS_NAMES) -> Dat
 
 
 def roc_curve(
-    df: DataFrame | Counted, drop_collinear: bool = True, bounds: list[float] | None = None
+    df: DataFrame | Counted, drop_collinear: bool = True, bounds: list[float] | None = None, thinned: bool = False
 ) -> DataFrame:
     """ROC points ``(fpr, tpr, threshold)`` from (0, 0) to (1, 1), one per distinct score.
 
     With ``drop_collinear`` a point goes if the next step has the same slope and length;
-    the first and the last stay.
+    the first and the last stay. With ``thinned`` it goes if the next step has the same slope,
+    however long, so that only the corners of the curve are left. The next step is that of the
+    following score, in the following bucket if need be, and slopes are compared as whole products.
     """
     found = counted(df, bounds)
     sizes, ranked = found.sizes(), found.ranked()
-    if drop_collinear:
+    if thinned:
+        pos, neg, next_pos, next_neg = (
+            F.col(c).cast("decimal(19,0)") for c in ("pos", "neg", "next_pos", "next_neg")
+        )
+        ranked = ranked.filter(F.col("next_pos").isNull() | (pos * next_neg != neg * next_pos))
+    elif drop_collinear:
         is_first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
         bends = (F.col("next_pos") != F.col("pos")) | (F.col("next_neg") != F.col("neg"))
         ranked = ranked.filter(is_first | F.col("next_pos").isNull() | bends)
@@ -241,12 +248,21 @@ def roc_curve(
     return points.unionByName(start)
 
 
-def pr_curve(df: DataFrame | Counted, bounds: list[float] | None = None) -> DataFrame:
-    """``(precision, recall, threshold)`` per distinct score, and the end point (1, 0)."""
+def pr_curve(
+    df: DataFrame | Counted, bounds: list[float] | None = None, thinned: bool = False
+) -> DataFrame:
+    """``(precision, recall, threshold)`` per distinct score, and the end point (1, 0).
+
+    With ``thinned`` a point goes if it lies on an upright line between its neighbours: neither
+    its own score nor the next one has positives, so all three have the same recall.
+    """
     found = counted(df, bounds)
     sizes = found.sizes()
     cum_pos, cum_neg = F.col("cum_pos"), F.col("cum_neg")
-    points = found.ranked().select(
+    ranked = found.ranked()
+    if thinned:
+        ranked = ranked.filter(F.col("next_pos").isNull() | (F.col("pos") > 0) | (F.col("next_pos") > 0))
+    points = ranked.select(
         _ratio(cum_pos, cum_pos + cum_neg).alias("precision"),
         F.coalesce(F.try_divide(cum_pos.cast("double"), sizes["pos"]), F.lit(1.0)).alias("recall"),
         _shown(F.col("score")).alias("threshold"),

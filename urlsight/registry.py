@@ -19,7 +19,7 @@ from urlsight.sinks import messages as out
 from urlsight.sinks import reports, submissions
 from urlsight.sinks import table as sink
 from urlsight.sinks.batches import keyed_writer, read_batches
-from urlsight.sources import lines, messages, table
+from urlsight.sources import lines, messages, records, table
 from urlsight.streaming import jobs
 
 #: Bytes of a publisher's batch, few enough for the given messages to meet both bounds.
@@ -77,6 +77,22 @@ def src_ct_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.newer_than(records, ingest.load_mark(spark, path)).select("id", "common_name")
 
 
+@query
+def src_ct_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records by a source whose offset is the highest id: stopped after half of the ids, then resumed."""
+    service, path, checkpoint = (shared_dir(spark, n) for n in ("service", "records", "checkpoint"))
+    held = stored(fx.ct_records(spark, sf_dir).select("id", "name_value", "common_name"), "held")
+    half = held.agg(F.max("id") / 2).scalar()
+
+    def write(batch: DataFrame, folder: str) -> None:
+        batch.write.mode("overwrite").parquet(folder)
+
+    for part in (F.col("id") <= half, F.col("id") > half):
+        held.filter(part).write.mode("append").parquet(service)
+        jobs.drain(keyed_writer(records.record_stream(spark, service), path, checkpoint, write))
+    return read_batches(spark, path, "id bigint, common_name string").drop("run", "batch")
+
+
 @query
 def src_tld_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages.with_monitored_tld(_names(spark, sf_dir)).select("id", "domain")
@@ -657,13 +673,13 @@ def eval_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluation.class_report(counts), "precision", "recall", "f1")
 
 
-def _curves(rows: DataFrame, bounds: list[float] | None = None) -> DataFrame:
+def _curves(rows: DataFrame, bounds: list[float] | None = None, thinned: bool = False) -> DataFrame:
     """Both curves from one count of the rows."""
     found = evaluation.counted(rows, bounds)
-    roc = evaluation.roc_curve(found).select(
+    roc = evaluation.roc_curve(found, thinned=thinned).select(
         F.lit("roc").alias("curve"), F.col("fpr").alias("x"), F.col("tpr").alias("y"), "threshold"
     )
-    pr = evaluation.pr_curve(found).select(
+    pr = evaluation.pr_curve(found, thinned=thinned).select(
         F.lit("pr").alias("curve"), F.col("recall").alias("x"), F.col("precision").alias("y"),
         "threshold",
     )
@@ -675,6 +691,17 @@ def eval_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _curves(fx.scored_rows(spark, sf_dir))
 
 
+@query
+def eval_curves_thinned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corners of the curves, also with the rows' scores in buckets."""
+    rows = fx.scored_rows(spark, sf_dir)
+    forms = {"plain": None, "bucketed": BOUNDS}
+    plain, bucketed = (
+        _curves(rows, bounds, thinned=True).withColumn("form", F.lit(form)) for form, bounds in forms.items()
+    )
+    return plain.unionByName(bucketed)
+
+
 @query
 def eval_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     sweep = evaluation.threshold_sweep(fx.scored_rows(spark, sf_dir))
@@ -755,6 +782,17 @@ def stream_dead_letter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_batches(spark, path, "event_id bigint, error string").drop("run", "batch")
 
 
+@query
+def stream_minute_finals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closed minutes by day and open ones from the state, over several micro-batches."""
+    path, checkpoint = (shared_dir(spark, n) for n in ("minutes", "checkpoint"))
+    rows = fx.classified_urls(spark, sf_dir).select(F.col("time_added").alias("ts"), F.col("classification").alias("value"))
+    for source in _parts_in_time(spark, "classified", rows):
+        stream = _timed_stream(spark, source).toDF("time_added", "classification")
+        jobs.drain(jobs.minute_finals_stream(stream, path, checkpoint))
+    return text.iso_columns(jobs.minutes_so_far(spark, path))
+
+
 def _published(spark: SparkSession, path: str) -> DataFrame:
     return read_batches(spark, path, "value string", "text").select("value")
 

@@ -8,6 +8,7 @@ again, and a new checkpoint adds to what earlier runs have written.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -327,6 +328,79 @@ def current_minute_counts(spark: SparkSession, path: str, since: str | None = No
     )
 
 
+def minute_finals_stream(
+    classified: DataFrame, path: str, checkpoint: str, delay: str = "10 minutes"
+) -> DataStreamWriter:
+    """Keeps the counts of closed minutes by day; those of open minutes stay in the query's state.
+
+    A minute is written once, when the watermark has passed it. ``minutes_so_far`` adds the open ones.
+    """
+    spark, run = classified.sparkSession, run_of(classified.sparkSession, checkpoint)
+    # Noted again with every start; readers take each run once.
+    noted = spark.createDataFrame([(checkpoint,)], "checkpoint string").coalesce(1)
+    noted.write.mode("overwrite").parquet(f"{_open_minutes(path)}/run={run}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        keyed = batch.withColumns({"dt": F.to_date("time_bucket"), "run": F.lit(run), "batch": F.lit(number)})
+        keyed.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "dt", "run", "batch"
+        ).parquet(path)
+
+    counts = minute_counts(classified, delay)
+    return counts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(write)
+
+
+def _open_minutes(path: str) -> str:
+    return f"{path.rstrip('/')}-open"
+
+
+MINUTES = "time_bucket timestamp, classification string, count bigint, run string, batch bigint"
+
+
+def minutes_so_far(spark: SparkSession, path: str, days: list[str] | None = None) -> DataFrame:
+    """Counts of every minute, closed or open; of several runs that begun last has the say.
+
+    Closed minutes are read from the folders of the wanted ``days`` only, open ones from the state
+    of each run as of its last finished batch, so an answer costs the same however old the table is.
+    """
+    runs = spark.read.schema("checkpoint string, run string").parquet(_open_minutes(path)).collect()
+    closed = _closed_minutes(spark, path, days)
+    parts, finished = [], {}
+    for run in runs:
+        last = spark.read.format("state-metadata").load(run["checkpoint"]).agg(F.max("maxBatchId")).first()[0]
+        if last is None:
+            continue
+        finished[run["run"]] = last
+        state = spark.read.format("statestore").option("batchId", last).load(run["checkpoint"])
+        parts.append(state.select(
+            F.col("key.window.start").alias("time_bucket"), F.col("key.classification").alias("classification"),
+            F.col("value.count").alias("count"), F.lit(run["run"]).alias("run"), F.lit(last).cast("bigint").alias("batch"),
+        ))
+    # A batch that is under way has its minutes written, but its state not finished: they are in the state before.
+    known = F.lit(False)
+    for name, last in finished.items():
+        known = known | ((F.col("run") == name) & (F.col("batch") <= last))
+    rows = closed.filter(known)
+    for part in parts:
+        if days:
+            part = part.filter(F.to_date("time_bucket").cast("string").isin(days))
+        rows = rows.unionByName(part)
+    return rows.groupBy("time_bucket", "classification").agg(F.max_by("count", F.struct("run", "batch")).alias("count"))
+
+
+def _closed_minutes(spark: SparkSession, path: str, days: list[str] | None) -> DataFrame:
+    """Closed minutes; only the folders of the wanted days are listed."""
+    reader = spark.read.schema(f"{MINUTES}, dt date").option("basePath", path)
+    rows = spark.createDataFrame([], MINUTES)
+    for folder in [path] if days is None else [f"{path}/dt={day}" for day in days]:
+        try:
+            rows = rows.unionByName(reader.parquet(folder).drop("dt"))
+        except AnalysisException:
+            # A day, or a table, without a closed minute has no folder.
+            continue
+    return rows
+
+
 def alert_stream(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     """New rows as JSON lines in a feed folder, for whoever subscribes to it."""
 
