@@ -264,6 +264,9 @@ ORACLES["sink_layout"] = (("classified_urls",), """
 select strftime(time_added, '%Y-%m-%d') as dt, classification, count(*) as n,
        round(sum(score), 6) as total_score
 from classified_urls group by all""")
+ORACLES["sink_layout_streamed"] = (("classified_urls",), """
+select strftime(time_added, '%Y-%m-%d') as dt, count(*) as n, round(sum(score), 6) as total_score, true as few_files
+from classified_urls group by all""")
 ORACLES["sink_submit"] = (("submitted",), f"select {_rows} from submitted")
 ORACLES["sink_metrics_csv"] = (("measured",), """
 select metric as "Metric", printf('%.4f', v) as "Value"
@@ -280,6 +283,7 @@ def _by_length(rows: str) -> str:
     )
 
 
+ORACLES["sink_alert_feed"] = ORACLES["sink_alerts"]
 ORACLES["sink_all_writers"] = (("envelopes", "classified_urls", "submitted"), f"""
 {_by_length("envelopes where kind = 'good'")}
 union all select url, score, classification from classified_urls

@@ -15,8 +15,8 @@ from urlsight.operators import batching, corpus, features, ingest, model, recent
 from urlsight.operators.ranking import numbered
 from urlsight.plans import dashboard, evaluation
 from urlsight.session import shared_dir, stored
+from urlsight.sinks import feed, layout, reports, submissions
 from urlsight.sinks import messages as out
-from urlsight.sinks import reports, submissions
 from urlsight.sinks import table as sink
 from urlsight.sinks.batches import keyed_writer, read_batches
 from urlsight.sources import lines, messages, records, table
@@ -155,6 +155,33 @@ def sink_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text.iso_columns(counted)
 
 
+@query
+def sink_layout_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table that a stream wrote in many batches, its closed days laid out: rows by day, and whether
+    a closed day is read from few files."""
+    path, checkpoint = shared_dir(spark, "classified"), shared_dir(spark, "checkpoint")
+    rows = fx.classified_urls(spark, sf_dir).select(*sink.COLUMNS)
+    schema, source = rows.schema, shared_dir(spark, "files")
+    for part in range(2 * FILES):
+        rows.filter(F.pmod(F.hash("time_added"), F.lit(2 * FILES)) == part).write.mode("append").parquet(source)
+
+        def write(batch: DataFrame, folder: str) -> None:
+            sink.write_batch(sink.with_day(batch), folder)
+
+        jobs.drain(keyed_writer(jobs.file_stream(spark, source, schema), path, checkpoint, write))
+    last = rows.agg(F.max(F.to_date("time_added")).cast("string")).first()[0]
+    if last:
+        layout.lay_out_closed_days(spark, path, last)
+    closed = F.col("dt") < F.lit(last).cast("date")
+    counted = table.read_classified(spark, path).groupBy("dt").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 6).alias("total_score"),
+        F.count_distinct("_metadata.file_path").alias("files"),
+    )
+    # The newest batch of the stream waits for the next job.
+    few = (~closed | (F.col("files") <= 2)).alias("few_files")
+    return text.iso_columns(counted.select("dt", "n", "total_score", few))
+
+
 @query
 def sink_submit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_dir(spark, "submitted")
@@ -180,6 +207,19 @@ def sink_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_batches(spark, path, shape, "json").drop("run", "batch")
 
 
+@query
+def sink_alert_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts of ``sink_alerts`` through a feed that publishes each batch whole, several batches."""
+    path, checkpoint, source = (shared_dir(spark, n) for n in ("feed", "checkpoint", "files"))
+    schema = fx.read(spark, sf_dir, "events").schema
+    for turn in range(2):
+        fx.read(spark, sf_dir, "events").filter(F.col("event_id") % 2 == turn).write.mode("append").parquet(source)
+        requests = fx.submissions(spark, sf_dir, jobs.file_stream(spark, source, schema))
+        rows = submissions.accepted_rows(submissions.parse_submissions(requests))
+        jobs.drain(feed.feed_stream(rows.select(*sink.COLUMNS), path, checkpoint))
+    return feed.read_feed(spark, path, "url string, score double, classification string, time_added string")
+
+
 @query
 def sink_all_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table that a stream, a batch job and submissions add to."""

@@ -20,6 +20,8 @@ CLASSIFIED = StructType([
     StructField("time_added", TimestampType()),
 ])
 
+CLASSIFIED_DDL = "url string, score double, classification string, time_added timestamp"
+
 LABELLED = StructType([
     StructField("url", StringType()),
     StructField("label", IntegerType()),

@@ -7,23 +7,24 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from urlsight.schemas import CLASSIFIED
+from urlsight.schemas import CLASSIFIED_DDL
 from urlsight.sinks.batches import read_batches
-
-
-def _shape() -> str:
-    return CLASSIFIED.simpleString()[len("struct<"):-1].replace(":", " ")
+from urlsight.sinks.layout import PREFIX, current
 
 
 def read_classified(spark: SparkSession, path: str) -> DataFrame:
-    """Scan of the table, whoever wrote its rows; ``dt`` is its partition column."""
-    return read_batches(spark, path, f"{_shape()}, dt date").drop("run", "batch")
+    """Scan of the table, whoever wrote its rows; ``dt`` is its partition column.
+
+    Rows that a layout job has rewritten are read from the new files only.
+    """
+    rows = read_batches(spark, path, f"{CLASSIFIED_DDL}, dt date")
+    return rows.filter(current(spark, path)).drop("run", "batch")
 
 
 def stream_classified(spark: SparkSession, path: str) -> DataFrame:
-    """The rows of the table as a stream, as they are added."""
-    reader = spark.readStream.schema(_shape()).option("recursiveFileLookup", "true")
-    return reader.parquet(path)
+    """The rows of the table as a stream, as they are added; files of layout jobs add none."""
+    reader = spark.readStream.schema(CLASSIFIED_DDL).option("recursiveFileLookup", "true")
+    return reader.parquet(path).filter(~F.contains(F.col("_metadata.file_path"), F.lit(f"/run={PREFIX}")))
 
 
 def moment(as_of: datetime | Column | None) -> Column:
