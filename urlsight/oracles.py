@@ -462,6 +462,11 @@ select cast(count(*) - ceil(0.2::double * count(*)) as bigint) as n_train,
        cast(ceil(0.2::double * count(*)) as bigint) as n_validation,
        true as rounds_in_bounds, true as best_has_least_loss, true as accurate
 from train""")
+ORACLES["model_epochs"] = (("train",), """
+select cast(count(*) - ceil(0.2::double * count(*)) as bigint) as n_train,
+       cast(ceil(0.2::double * count(*)) as bigint) as n_validation,
+       true as epochs_in_bounds, true as best_has_least_loss, true as not_worse, true as accurate
+from train""")
 ORACLES["score_pipeline"] = (("url_corpus_raw",), "select url, true as fits from url_corpus_raw")
 ORACLES["score_user_model"] = (("url_corpus_raw",), f"""
 select url, round_even(cast(cast(raw as float) as double), 2) as score,

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from urlsight import fixtures as fx
 from urlsight.functions import predicates, score, text
-from urlsight.operators import batching, corpus, features, ingest, model, recent, scoring
+from urlsight.operators import batching, corpus, epochs, features, ingest, model, recent, scoring
 from urlsight.operators.ranking import numbered
 from urlsight.plans import dashboard, evaluation
 from urlsight.session import shared_dir, stored
@@ -608,6 +608,30 @@ def model_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def model_epochs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts of a training in epochs: sizes, that the best epoch is the best, and a loss not above that of
+    ``model.train`` on the same rows."""
+    parts = corpus.stratified_split(stored(_only(_split(spark, sf_dir), corpus.TRAIN), "train"))
+    training, validation = (stored(_only(parts, name), name) for name in (corpus.TRAIN, corpus.VALIDATION))
+    chosen = epochs.train_in_epochs(training, validation)
+    path = shared_dir(spark, "weights")
+    epochs.save_weights(spark, chosen, path)
+    loss, accuracy = epochs.held_out_scores(epochs.predict(validation, epochs.load_weights(spark, path)))
+    other, _ = model.validation_scores(model.predict(validation, model.train(training)))
+    sizes = parts.agg(
+        F.count_if(F.col("part") == corpus.TRAIN).alias("n_train"),
+        F.count_if(F.col("part") == corpus.VALIDATION).alias("n_validation"),
+    )
+    return sizes.select(
+        "*",
+        F.lit(1 <= len(chosen.history) <= epochs.EPOCHS).alias("epochs_in_bounds"),
+        F.lit(abs(min(h[1] for h in chosen.history) - loss) < 1e-9).alias("best_has_least_loss"),
+        F.lit(loss <= other).alias("not_worse"),
+        F.lit(accuracy >= LEAST_ACCURACY).alias("accurate"),
+    )
+
+
 @query
 def score_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every URL scored by a pipeline, and whether score and class fit together."""
