@@ -55,13 +55,15 @@ def vectorize(
 
 
 def char_grams(text: Column, widths: tuple[int, ...] = WIDTHS) -> Column:
-    """The distinct character n-grams of a text, for each width."""
-    none = F.array().cast("array<string>")
+    """The distinct character n-grams of a text, for each width.
+
+    One pass of a pattern that looks ahead and goes on by a character; cutting each n-gram out by
+    its place would read the text from its start every time.
+    """
+    known = F.coalesce(text, F.lit(""))
 
     def of_width(width: int) -> Column:
-        starts = F.sequence(F.lit(1), F.length(text) - F.lit(width - 1))
-        grams = F.transform(starts, lambda i: F.substring(text, i, F.lit(width)))
-        return F.when(F.length(text) >= width, F.array_distinct(grams)).otherwise(none)
+        return F.array_distinct(F.regexp_extract_all(known, F.lit(f"(?s)(?=(.{{{width}}}))."), F.lit(1)))
 
     return F.concat(*[of_width(w) for w in widths])
 
