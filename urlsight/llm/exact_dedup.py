@@ -19,13 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from urlsight.llm import arrays, fuse
-from urlsight.llm.stored import found_again, plain, stored
+from urlsight.llm.stored import found_again, plain, small, stored
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 cloudpickle.register_pickle_by_value(arrays)
 cloudpickle.register_pickle_by_value(fuse)
 
 BUCKET_KEYS = 100_000
+#: Shared digests that are broadcast to find their texts; more are joined by a shuffle.
+MOST_BROADCAST = 200_000
 SPACES = " \t\n\x0b\x0c\r"
 
 
@@ -142,19 +144,25 @@ def duplicates(
     ``digest``, of a column ``text``, replaces the SHA-256 of the bytes; where texts collide,
     a digest of their own is made from the text itself.
     """
-    norm = normalised(F.col("text"))
-    texts = docs.select(F.col(plain(id)).alias("id"), F.col(plain(text)).alias("text")).withColumn(
-        "digest", F.sha2(norm, 256) if digest is None else digest
-    )
-    clash = stored(collided(texts))
-    if not clash.isEmpty():
-        apart = F.when(F.col("clash"), F.sha2(norm, 512)).otherwise(F.col("digest"))
-        texts = texts.join(clash.withColumn("clash", F.lit(True)), "digest", "left").withColumn("digest", apart)
+    texts = docs.select(F.col(plain(id)).alias("id"), F.col(plain(text)).alias("text"))
+    return _grouped(texts.withColumn("digest", F.sha2(normalised(F.col("text")), 256) if digest is None else digest), batches)
+
+
+def _grouped(texts: DataFrame, batches: int) -> DataFrame:
+    """``duplicates`` of ``texts(id, text, digest)``; with digests of their own for texts that collide."""
     keys = stored(_keyed(texts))
     batch = F.pmod(F.xxhash64("id"), F.lit(batches))
     groups = stored(digest_groups(keys.filter(batch == 0)))
     for number in range(1, batches):
         groups = stored(merge(snapshot(groups), digest_groups(keys.filter(batch == number))))
+    shared = stored(groups.filter("n > 1").select("digest"))
+    clash = stored(collided(texts.join(small(shared, MOST_BROADCAST), "digest", "left_semi")))
+    if not clash.isEmpty():
+        own = F.sha2(normalised(F.col("text")), 512)
+        apart = F.when(F.col("clash"), own).otherwise(F.col("digest"))
+        marked = texts.join(small(clash, MOST_BROADCAST).withColumn("clash", F.lit(True)), "digest", "left")
+        rest = marked.select("id", "text", apart.alias("digest"))
+        return _grouped(rest, batches)
     return keys.join(groups, "digest").select(
         F.col("id").alias("doc_id"), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"),
         (F.col("row") == F.bitwise_not("best.early")).alias("kept"), F.col("sha").alias("text_sha256"), "key",
