@@ -217,3 +217,25 @@ def test_range_of(spark):
     df = spark.createDataFrame([("0000",), ("0300",), ("0400",), ("0900",), ("zzzz",)], "k string")
     got = [r[0] for r in df.select(sharding.range_of(F.col("k"), bounds)).collect()]
     assert got == [0, 1, 1, 3, 3]
+
+
+@pytest.mark.parametrize("size", [1, 7, 50])
+def test_a_text_in_slices_has_the_same_fingerprint(monkeypatch, size):
+    draw = random.Random(size)
+    texts = [" ".join(draw.choices(["a", "Bc", "déf", "ghi"], k=k)) for k in (0, 1, 2, 3, 4, 40)]
+    texts += ["  lead\t\n and  trail \x0b ", "x" * 200, "x" * 100 + " y " + "z" * 100]
+    whole = [simhash.simhash(t.encode()) for t in texts]
+    monkeypatch.setattr(simhash, "SLICE", size)
+    assert [simhash.simhash(t.encode()) for t in texts] == whole
+    assert simhash.simhash(texts[5].encode(), words=1) != 0
+
+
+def test_a_word_that_the_bound_cuts_is_no_context():
+    from urlsight.llm import pii
+
+    assert pii.words_near("x" * 10 + "card " + "1" * 4, 15, 19) == {"x" * 10 + "card"}
+    long = "discard" + " " * (pii.NEAR - 4) + "4111"
+    assert "card" not in pii.words_near(long, len(long) - 4, len(long))
+    after = "4111" + " " * (pii.NEAR - 4) + "cardinal"
+    assert pii.words_near(after, 0, 4) == set()
+    assert pii.words_near("my card: 4111 ok", 9, 13) == {"my", "card", "ok"}

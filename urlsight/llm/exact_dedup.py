@@ -45,9 +45,12 @@ class Snapshot:
     buckets: int
 
 
-def snapshot(groups: DataFrame) -> Snapshot:
-    """Freeze groups: buckets by a hash of the digest, one filter each, built where the bucket lies."""
-    count = groups.count()
+def snapshot(groups: DataFrame, incoming: int = 0) -> Snapshot:
+    """Freeze groups: buckets by a hash of the digest, one filter each, built where the bucket lies.
+
+    A bucket holds about ``BUCKET_KEYS`` groups, and is asked for as many of ``incoming`` ones.
+    """
+    count = max(groups.count(), incoming)
     buckets = max(1, math.ceil(count / BUCKET_KEYS))
     placed = stored(groups.withColumn("bucket", _bucket(buckets)))
 
@@ -154,7 +157,8 @@ def _grouped(texts: DataFrame, batches: int) -> DataFrame:
     batch = F.pmod(F.xxhash64("id"), F.lit(batches))
     groups = stored(digest_groups(keys.filter(batch == 0)))
     for number in range(1, batches):
-        groups = stored(merge(snapshot(groups), digest_groups(keys.filter(batch == number))))
+        new = stored(digest_groups(keys.filter(batch == number)))
+        groups = stored(merge(snapshot(groups, new.count()), new))
     shared = stored(groups.filter("n > 1").select("digest"))
     clash = stored(collided(texts.join(small(shared, MOST_BROADCAST), "digest", "left_semi")))
     if not clash.isEmpty():

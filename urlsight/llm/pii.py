@@ -153,9 +153,19 @@ RULES: dict[str, Rule] = {
 }
 
 
+def words_near(text: str, start: int, end: int) -> set[str]:
+    """The whole words within ``NEAR`` code points of a span; one that the bound cuts does not count."""
+    low, high = max(0, start - NEAR), min(len(text), end + NEAR)
+    while 0 < low < start and text[low - 1].isalpha() and text[low].isalpha():
+        low += 1
+    while end < high < len(text) and text[high - 1].isalpha() and text[high].isalpha():
+        high -= 1
+    return {*WORD.findall(text[low:start].lower()), *WORD.findall(text[end:high].lower())}
+
+
 def context_score(rule: Rule, text: str, start: int, end: int) -> float:
     """The rule's score, 0.2 higher if a word near the span speaks for it, 0.2 lower if against."""
-    near = {*WORD.findall(text[max(0, start - NEAR): start].lower()), *WORD.findall(text[end: end + NEAR].lower())}
+    near = words_near(text, start, end)
     score = rule.score + 0.2 * bool(near & rule.raised_by) - 0.2 * bool(near & rule.lowered_by)
     return round(min(max(score, 0.0), 1.0), 2)
 

@@ -131,7 +131,9 @@ class Suffixes:
     The owner is part of every word's key, so nothing matches across documents. A rank is the
     place where the suffixes with the same prefix begin in the sorted order. Each round sorts
     only the suffixes that still share a rank, by the rank of what follows their prefix, and
-    so doubles the length of the prefix.
+    so doubles the length of the prefix. The ranks of all rounds are kept, 4 bytes a word each, and there
+    are as many rounds as the longest repeat has binary digits: a text of a million words that is
+    one long repeat takes some 80 MB, others a few rounds' worth.
     """
 
     def __init__(self, hashes: np.ndarray, owner: np.ndarray):
@@ -143,7 +145,7 @@ class Suffixes:
             follows = np.zeros(len(active), dtype=np.int64)
             inside = active + width < self.count
             follows[inside] = rank[active[inside] + width] + 1
-            keys = (rank[active] << 32) | follows
+            keys = (rank[active].astype(np.int64) << 32) | follows
             finer = rank.copy()
             finer[active] = self._ranks(keys, active, rank)[active]
             self.levels.append(finer)
@@ -161,7 +163,7 @@ class Suffixes:
         outer = np.concatenate([[True], before[1:] != before[:-1]])[: len(at)]
         first = np.maximum.accumulate(np.where(outer, here, 0))
         mine = np.maximum.accumulate(np.where(opens, here, 0))
-        out = np.zeros(self.count, dtype=np.int64)
+        out = np.zeros(self.count, dtype=np.int32)
         out[at] = before + mine - first
         return out
 

@@ -9,6 +9,7 @@ its links, not all of them; components over those forests are the classes.
 
 from __future__ import annotations
 
+import re
 import sys
 from collections.abc import Iterator
 
@@ -33,34 +34,61 @@ BITS = 64
 #: Fingerprints in a block of the trie, and bits that a node is cut by in one round.
 BLOCK = 2048
 STEP = 4
+#: Bytes of a text that are hashed at once.
+SLICE = 1 << 20
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
 #: Pairs of nodes that go down together in a task.
 FRONTIER = 1 << 15
 
 
+def slices(text: bytes, most: int = SLICE) -> Iterator[bytes]:
+    """A long text in slices that cut no word."""
+    low = 0
+    while len(text) - low > most:
+        blank = BLANK.search(text, low + most)
+        high = blank.end() if blank else len(text)
+        yield text[low:high]
+        low = high
+    yield text[low:]
+
+
 def simhash(text: bytes, words: int = WORDS) -> int:
-    """The bits set in over half of the shingle hashes; 0 for a text without words."""
-    found = text.lower().split()
-    if not found:
-        return 0
+    """The bits set in over half of the shingle hashes; 0 for a text without words.
+
+    Works on a slice of the text at a time, so that a long one takes little more than its size.
+    """
+    votes, total, open_ = np.zeros(BITS, dtype=np.int64), 0, []
+    for part in slices(text):
+        found = open_ + part.lower().split()
+        hashes = shingle_hashes(found, words)
+        votes += set_bits(hashes)
+        total += len(hashes)
+        # The last words open shingles that end in the next slice.
+        open_ = found[max(0, len(found) - words + 1):] if words > 1 else []
+    if not total and open_:
+        votes, total = set_bits(np.array([xxhash.xxh64_intdigest(b" ".join(open_), SEED)], dtype="<u8")), 1
+    return int(sum(1 << k for k in np.flatnonzero(2 * votes > total).tolist())) if total else 0
+
+
+def shingle_hashes(found: list[bytes], words: int) -> np.ndarray:
+    """Hashes of all runs of ``words`` words, the words joined by blanks; fewer words have none."""
+    if len(found) < words:
+        return np.zeros(0, dtype="<u8")
     line = b" ".join(found)
     ends = np.cumsum([len(w) + 1 for w in found]) - 1
-    if len(found) <= words:
-        hashes = [xxhash.xxh64_intdigest(line, SEED)]
-    else:
-        starts = [0, *(ends[:-words] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1:].tolist())]
-    return majority(np.array(hashes, dtype="<u8"))
+    starts = [0, *(ends[:-words] + 1).tolist()]
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(line[a:b], SEED) for a, b in zip(starts, ends[words - 1:].tolist())], dtype="<u8")
 
 
-def majority(hashes: np.ndarray) -> int:
-    """The 64 bits that more than half of the hashes have set."""
+def set_bits(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit set."""
     votes = np.zeros(BITS, dtype=np.int64)
     for low in range(0, len(hashes), 1 << 16):
         part = hashes[low: low + (1 << 16)]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         votes += bits.sum(axis=0, dtype=np.int64)
-    return int(sum(1 << k for k in np.flatnonzero(2 * votes > len(hashes)).tolist()))
+    return votes
 
 
 def fingerprints(docs: DataFrame, text: str = "text", name: str = "fingerprint", words: int = WORDS) -> DataFrame:
