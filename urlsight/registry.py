@@ -162,8 +162,8 @@ def sink_layout_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = shared_dir(spark, "classified"), shared_dir(spark, "checkpoint")
     rows = fx.classified_urls(spark, sf_dir).select(*sink.COLUMNS)
     schema, source = rows.schema, shared_dir(spark, "files")
-    for part in range(2 * FILES):
-        rows.filter(F.pmod(F.hash("time_added"), F.lit(2 * FILES)) == part).write.mode("append").parquet(source)
+    for part in range(FILES):
+        rows.filter(F.pmod(F.hash("time_added"), F.lit(FILES)) == part).repartition(2).write.mode("append").parquet(source)
 
         def write(batch: DataFrame, folder: str) -> None:
             sink.write_batch(sink.with_day(batch), folder)
@@ -411,7 +411,7 @@ def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     for turn in (0, 1):
         half = sent.filter(F.col("event_id") % 2 == turn).select("ts", "value")
         checkpoint = shared_dir(spark, "checkpoint")
-        for source in _parts_in_time(spark, "messages", half):
+        for source in _parts_in_time(spark, "messages", half, 3):
             lists = jobs.names_of_messages(_timed_stream(spark, source))
             jobs.drain(jobs.certificate_stream(lists, path, checkpoint))
     return ingest.published_so_far(spark, jobs.counters_of(path))
@@ -872,13 +872,13 @@ def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _search_run(
-    spark: SparkSession, sf_dir: str, path: str, mark: str | None = None, after: str | None = None
+    spark: SparkSession, sf_dir: str, path: str, mark: str | None = None, after: str | None = None, parts: int = FILES
 ) -> str:
     """Both steps of the search path over all responses with new checkpoints; that of the second step."""
     staging, first, second = (shared_dir(spark, n) for n in ("staging", "checkpoint", "checkpoint"))
     if after:
         jobs.drain(jobs.seeded_stream(spark, after, staging, path, second, horizon=REPLAY_DELAY))
-    for source in _parts_in_time(spark, "bodies", fx.ct_search_bodies(spark, sf_dir)):
+    for source in _parts_in_time(spark, "bodies", fx.ct_search_bodies(spark, sf_dir), parts):
         names = jobs.names_of_searches(_timed_stream(spark, source))
         jobs.drain(jobs.staged_domains(names, staging, first, mark))
         jobs.drain(jobs.ingest_stream(spark, staging, path, second, horizon=REPLAY_DELAY))
@@ -908,8 +908,8 @@ def stream_replay_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The search path read twice in whole, the second time with new checkpoints that take over the
     names of the first run: nothing is published again."""
     path = shared_dir(spark, "ingested")
-    first = _search_run(spark, sf_dir, path)
-    _search_run(spark, sf_dir, path, after=first)
+    first = _search_run(spark, sf_dir, path, parts=2)
+    _search_run(spark, sf_dir, path, after=first, parts=2)
     return _published(spark, path)
 
 
