@@ -159,8 +159,10 @@ def _grouped(texts: DataFrame, batches: int) -> DataFrame:
     for number in range(1, batches):
         new = stored(digest_groups(keys.filter(batch == number)))
         groups = stored(merge(snapshot(groups, new.count()), new))
-    shared = stored(groups.filter("n > 1").select("digest"))
-    clash = stored(collided(texts.join(small(shared, MOST_BROADCAST), "digest", "left_semi")))
+    # Eight bytes find the texts; one too many does no harm.
+    shared = stored(groups.filter("n > 1").select(F.xxhash64("digest").alias("short")))
+    found = texts.withColumn("short", F.xxhash64("digest")).join(small(shared, MOST_BROADCAST), "short", "left_semi")
+    clash = stored(collided(found))
     if not clash.isEmpty():
         own = F.sha2(normalised(F.col("text")), 512)
         apart = F.when(F.col("clash"), own).otherwise(F.col("digest"))
