@@ -117,6 +117,73 @@ PASSAGES = [
     ("mpl", "mozilla org mpl"),
 ]
 
+# Label, keyword, and the words of a notice as license texts and file headers have them.
+NOTICES = [
+    ("apache-2.0", "compliance", "you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache-2.0", "basis", "software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "contributor", "licensed to .{1,80}? under one or more contributor license agreements"),
+    ("apache-1.1", "apache", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl-1.0-or-later", "option", "(?:gnu )?general public license .{0,60}?either version 1 (?:of the license )?or at your option any later version"),
+    ("gpl-2.0-or-later", "option", "(?:gnu )?general public license .{0,60}?either version 2 (?:of the license )?or at your option any later version"),
+    ("gpl-3.0-or-later", "option", "(?:gnu )?general public license .{0,60}?either version 3 (?:of the license )?or at your option any later version"),
+    ("gpl-2.0-only", "general", "gnu general public license version 2 (?:only|as published by the free software foundation)"),
+    ("gpl-3.0-only", "general", "gnu general public license version 3 (?:only|as published by the free software foundation)"),
+    ("gpl", "gnu", "you should have received a copy of the gnu general public license"),
+    ("gpl", "hope", "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "hope", "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl", "lesser", "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl-2.1-or-later", "lesser", "(?:gnu )?lesser general public license .{0,60}?either version 2 1 (?:of the license )?or at your option any later version"),
+    ("lgpl-3.0-or-later", "lesser", "(?:gnu )?lesser general public license .{0,60}?either version 3 (?:of the license )?or at your option any later version"),
+    ("agpl", "affero", "you should have received a copy of the gnu affero general public license"),
+    ("agpl-3.0-or-later", "affero", "(?:gnu )?affero general public license .{0,60}?either version 3 (?:of the license )?or at your option any later version"),
+    ("gpl-classpath-exception", "independent", "as a special exception .{0,120}?permission to link this library with independent modules"),
+    ("gfdl", "documentation", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mit", "substantial", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "merchantability", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("x11", "advertising", "the name of .{1,60}? shall not be used in advertising or otherwise to promote the sale use or other dealings"),
+    ("bsd-2-clause", "retain", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3-clause", "endorse", "neither the names? of .{1,80}? may be used to endorse or promote products derived from this software"),
+    ("bsd-4-clause", "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd", "code", "use of this source code is governed by a bsd style license that can be found in the license file"),
+    ("isc", "fee", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("hpnd", "fee", "permission to use copy modify and distribute this software and its documentation for any purpose and without fee"),
+    ("zlib", "altered", "altered source versions must be plainly marked as such and must not be misrepresented as being the original software"),
+    ("bsl-1.0", "organization", "free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("mpl-2.0", "subject", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-1.1", "contents", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("epl-2.0", "accompanying", "the accompanying materials are made available under the terms of the eclipse public license v? ?2 0"),
+    ("cddl", "contents", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("eupl", "european", "licensed under the eupl .{0,40}?as soon (?:as )?they will be approved by the european commission"),
+    ("artistic", "perl", "you can redistribute it and or modify it under the same terms as perl(?: itself)?"),
+    ("php-3.01", "php", "this source file is subject to version 3 01 of the php license"),
+    ("openssl", "openssl", "this product includes software developed by the openssl project"),
+    ("ofl-1.1", "font", "this font software is licensed under the sil open font license version 1 1"),
+    ("ncsa", "illinois", "developed by .{1,80}? university of illinois"),
+    ("ms-pl", "governs", "this license governs use of the accompanying software if you use the software you accept this license"),
+    ("unlicense", "anyone", "anyone is free to copy modify publish use compile sell or distribute this software"),
+    ("wtfpl", "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed"),
+    ("json", "evil", "the software shall be used for good not evil"),
+    ("beerware", "beer", "if we meet some day and you think this stuff is worth it you can buy me a beer"),
+    ("cc0", "waived", "to the extent possible under law .{1,80}? waived all copyright and related or neighboring rights"),
+    ("cc-by-4.0", "creative", "this work is licensed under (?:a |the )?creative commons attribution 4 0 international(?: license)?"),
+    ("cc-by-sa-4.0", "creative", "this work is licensed under (?:a |the )?creative commons attribution sharealike 4 0 international(?: license)?"),
+    ("cc-by-sa-3.0", "creative", "text is available under the creative commons attribution sharealike"),
+    ("odbl", "database", "made available under the open database license"),
+    ("public-domain", "government", "work of the united states government"),
+    ("public-domain", "domain", "(?:is|are|has been|have been) (?:hereby )?(?:placed |released |dedicated )?(?:in|into|to) the public domain"),
+    ("sspl-1.0", "server", "server side public license"),
+    ("busl-1.1", "business", "business source license(?: 1 1)?"),
+    ("elastic-2.0", "elastic", "elastic license(?: 2 0| v2)?"),
+    ("commons-clause", "clause", "commons clause license condition"),
+    ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|free trial|internal use) license"),
+    ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: [ms])? license"),
+    ("llama", "llama", "llama [234](?: [0-9])? community license(?: agreement)?"),
+    ("proprietary", "prohibited", "unauthorized (?:copying|use|reproduction|distribution)(?: \\S+){0,12}? (?:is )?strictly prohibited"),
+    ("proprietary", "consent", "may not be (?:copied|reproduced|distributed|disclosed)(?: \\S+){0,12}? without (?:the )?(?:express |prior )*(?:written )?(?:permission|consent)"),
+    ("proprietary", "secret", "this (?:file|document|software) contains (?:confidential|proprietary)(?: \\S+){0,6}? (?:information|trade secrets)"),
+]
+
 # Kind of rule, pattern around a name, priority, score.
 FORMS = [
     ("tag", "spdx license identifier {id}", 5, 1.0),
@@ -136,7 +203,7 @@ class Rule:
 
 
 def rules() -> list[Rule]:
-    """All rules, highest priority first: each family and version in each form, then passages."""
+    """All rules, highest priority first: each family and version in each form, passages and notices."""
     made = []
 
     def add(label: str, kind: str, pattern: str, keywords: tuple[bytes, ...], priority: int, score: float) -> None:
@@ -159,6 +226,8 @@ def rules() -> list[Rule]:
     for label, passage in PASSAGES:
         longest = max(passage.split(), key=len).encode()
         add(label, "passage", passage, (longest,), 4, 0.95)
+    for label, keyword, notice in NOTICES:
+        add(label, "notice text", notice, (keyword.encode(),), 7, 1.0)
     return sorted(made, key=lambda r: -r.priority)
 
 
