@@ -177,7 +177,7 @@ NOTICES = [
     ("elastic-2.0", "elastic", "elastic license(?: 2 0| v2)?"),
     ("commons-clause", "clause", "commons clause license condition"),
     ("polyform", "polyform", "polyform (?:noncommercial|small business|shield|perimeter|strict|free trial|internal use) license"),
-    ("openrail", "openrail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: [ms])? license"),
+    ("openrail", "rail", "(?:creativeml |bigscience |bigcode )?open ?rail(?: [ms])? license"),
     ("llama", "llama", "llama [234](?: [0-9])? community license(?: agreement)?"),
     ("proprietary", "prohibited", "unauthorized (?:copying|use|reproduction|distribution)(?: \\S+){0,12}? (?:is )?strictly prohibited"),
     ("proprietary", "consent", "may not be (?:copied|reproduced|distributed|disclosed)(?: \\S+){0,12}? without (?:the )?(?:express |prior )*(?:written )?(?:permission|consent)"),
