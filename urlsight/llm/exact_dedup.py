@@ -13,7 +13,7 @@ import sys
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,13 +54,12 @@ def snapshot(groups: DataFrame, incoming: int = 0) -> Snapshot:
     buckets = max(1, math.ceil(count / BUCKET_KEYS))
     placed = stored(groups.withColumn("bucket", _bucket(buckets)))
 
-    def built(part: pd.DataFrame) -> pd.DataFrame:
-        keys = np.frombuffer(b"".join(part["key"]), dtype="<u8")
-        return pd.DataFrame({"bucket": [part["bucket"].iloc[0]], "filter": [fuse.build(keys)]})
+    def built(part: pa.Table) -> pa.Table:
+        return pa.table({"bucket": part["bucket"][:1], "filter": pa.array([fuse.build(_numbers(part["key"]))], pa.binary())})
 
     filters = stored(
         placed.select("bucket", _key().alias("key")).groupBy("bucket")
-        .applyInPandas(built, "bucket long, filter binary")
+        .applyInArrow(built, "bucket long, filter binary")
     )
     return Snapshot(placed, filters, buckets)
 
@@ -74,18 +73,22 @@ def _key() -> Column:
     return F.unhex(F.substring(F.md5("digest"), 17, 16))
 
 
+def _numbers(keys: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(keys.to_pylist()), dtype="<u8")
+
+
 def screen(groups: DataFrame, old: Snapshot) -> DataFrame:
     """``groups`` plus ``maybe``: false where the snapshot's filters rule the digest out."""
     incoming = groups.withColumn("bucket", _bucket(old.buckets)).withColumn("key", _key())
 
-    def screened(batch: pd.DataFrame, filters: pd.DataFrame) -> pd.DataFrame:
+    def screened(batch: pa.Table, filters: pa.Table) -> pa.Table:
         found = np.zeros(len(batch), dtype=bool)
         if len(batch) and len(filters):
-            found = fuse.contains(filters["filter"].iloc[0], np.frombuffer(b"".join(batch["key"]), dtype="<u8"))
-        return pd.DataFrame({"digest": batch["digest"], "maybe": found})
+            found = fuse.contains(filters["filter"][0].as_py(), _numbers(batch["key"]))
+        return pa.table({"digest": batch["digest"], "maybe": pa.array(found)})
 
     asked = incoming.select("digest", "bucket", "key").groupBy("bucket").cogroup(old.filters.groupBy("bucket"))
-    return groups.join(asked.applyInPandas(screened, "digest string, maybe boolean"), "digest")
+    return groups.join(asked.applyInArrow(screened, "digest string, maybe boolean"), "digest")
 
 
 def digest_groups(keys: DataFrame) -> DataFrame:
