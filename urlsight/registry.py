@@ -178,7 +178,7 @@ def sink_layout_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.count_distinct("_metadata.file_path").alias("files"),
     )
     # The newest batch of the stream waits for the next job.
-    few = (~closed | (F.col("files") <= 2)).alias("few_files")
+    few = (~closed | (F.col("files") <= 4)).alias("few_files")
     return text.iso_columns(counted.select("dt", "n", "total_score", few))
 
 
