@@ -183,3 +183,35 @@ def test_an_empty_table_publishes_nothing(spark, sf_dir, tmp_path, name):
         (df.limit(0) if table == "events" else df).write.parquet(f"{tmp_path}/{table}.parquet")
     rows = registry.QUERIES[name](spark, str(tmp_path)).collect()
     assert rows == [] or (name == "ingest_counters" and tuple(rows[0]) == (0, 0))
+
+
+@pytest.mark.parametrize("bound,width", [(1, 10), (7, 70), (40, 400)])
+def test_a_memory_by_count_over_many_stretches(spark, monkeypatch, bound, width):
+    monkeypatch.setattr(recent, "STRETCH", width)
+    draw = random.Random(bound)
+    names = ["hot.com" if draw.random() < 0.3 else f"n{draw.randrange(90)}.com" for _ in range(9 * width + 5)]
+    rows = list(enumerate(names, 3))
+    df = spark.createDataFrame(rows, "number long, domain string").repartition(3)
+    memory = [("hot.com", 2), ("n1.com", 3 - bound)]
+    last = dict(memory)
+    want = []
+    for number, name in rows:
+        if number - last.get(name, -bound) >= bound:
+            last[name] = number
+            want.append((name, number))
+    got = recent.published(df, bound, spark.createDataFrame(memory, "domain string, last long")).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_the_jobs_do_not_grow_with_the_numbers(spark):
+    """A bound that is passed many times; a round for each of them took jobs of its own."""
+    rows = [(k, f"n{k % 13}.com" if k % 3 else "hot.com") for k in range(400)]
+    df = spark.createDataFrame(rows, "number long, domain string").repartition(2)
+    group = "rounds-of-the-bound"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        got = recent.published(df, 5).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got)) == sorted(offered([name for _, name in rows], 5))
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 30
