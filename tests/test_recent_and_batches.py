@@ -215,3 +215,16 @@ def test_the_jobs_do_not_grow_with_the_numbers(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(map(tuple, got)) == sorted(offered([name for _, name in rows], 5))
     assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 30
+
+
+def test_a_large_batch_of_the_stream_takes_no_more_jobs(spark, tmp_path):
+    folder, path = str(tmp_path / "in"), str(tmp_path / "out")
+    names = [f"n{k % 7}.com" if k % 3 else "hot.com" for k in range(240)]
+    records = [(1 + k, [name]) for k, name in enumerate(names)]
+    put(spark, folder, [(response(*records), "2024-01-01 00:00:00")])
+    query = jobs.drain(jobs.recent_stream(stream_of(spark, folder), path, str(tmp_path / "ck"), bound=3))
+    assert published(spark, path) == sorted([name] for name, _ in offered(names, 3))
+    assert 0 < len(spark.sparkContext.statusTracker().getJobIdsForGroup(str(query.runId))) < 60
+    kept = spark.read.parquet(f"{path}-recent").filter("domain is not null").collect()
+    last = {name: number for name, number in offered(names, 3) if number > len(names) - 3}
+    assert {r["domain"]: r["last"] for r in kept} == last

@@ -130,4 +130,4 @@ def remembered_after(chosen: DataFrame, end: int, bound: int = RECENT, remembere
     rows = chosen.select("domain", F.col("number").alias("last"))
     if remembered is not None:
         rows = rows.unionByName(remembered.select("domain", "last"))
-    return rows.groupBy("domain").agg(F.max("last").alias("last")).filter(F.col("last") > end - bound)
+    return rows.filter(F.col("last") > end - bound).groupBy("domain").agg(F.max("last").alias("last"))
