@@ -120,6 +120,19 @@ def test_old_days_cost_an_answer_nothing(spark, tmp_path):
     assert sum(answer(spark, tmp_path).values()) == 35
 
 
+def test_partitions_of_the_state_are_tasks(spark, tmp_path):
+    """One task for all of them held the memory of every partition's aggregates."""
+    put_minutes(spark, str(tmp_path / "in"), [(f"2024-01-0{d} 0{h}:00:00", "A") for d in (1, 2, 3) for h in range(9)])
+    stream = jobs.file_stream(spark, str(tmp_path / "in"), MINUTES)
+    query = jobs.drain(jobs.minute_finals_stream(stream, str(tmp_path / "out"), str(tmp_path / "ck")))
+    tracker = spark.sparkContext.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup(str(query.runId)) for s in tracker.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = spark.read.parquet(str(tmp_path / "out")).select("dt", "batch", F.input_file_name().alias("file")).distinct()
+    assert files.groupBy("dt", "batch").count().filter("count > 1").isEmpty()
+    assert sum(answer(spark, tmp_path).values()) == 27
+
+
 def test_a_batch_under_way_is_not_counted_twice(spark, tmp_path):
     folder = str(tmp_path / "in")
     put_minutes(spark, folder, [("2024-01-01 00:00:10", "A"), ("2024-01-01 03:00:00", "A")])

@@ -334,6 +334,8 @@ def minute_finals_stream(
     """Keeps the counts of closed minutes by day; those of open minutes stay in the query's state.
 
     A minute is written once, when the watermark has passed it. ``minutes_so_far`` adds the open ones.
+    Minutes are shuffled by day, a file a day and batch: the state's partitions stay tasks of their own, and
+    a day has no more rows than minutes and classes.
     """
     spark, run = classified.sparkSession, run_of(classified.sparkSession, checkpoint)
     # Noted again with every start; readers take each run once.
@@ -342,7 +344,7 @@ def minute_finals_stream(
 
     def write(batch: DataFrame, number: int) -> None:
         keyed = batch.withColumns({"dt": F.to_date("time_bucket"), "run": F.lit(run), "batch": F.lit(number)})
-        keyed.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        keyed.repartition("dt").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "dt", "run", "batch"
         ).parquet(path)
 
