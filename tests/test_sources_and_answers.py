@@ -3,6 +3,8 @@
 import random
 from collections import Counter
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType, TimestampType
@@ -71,6 +73,24 @@ def test_a_service_of_ones_own(spark, tmp_path):
     assert drain_records(spark, tmp_path, source=CountingSource) == list(range(1, 26))
 
 
+def test_a_task_holds_few_rows_of_the_folder(tmp_path):
+    names = ["id", "name_value", "common_name"]
+    for start in (0, 150_000):
+        ids = range(start + 1, start + 150_001)
+        table = pa.table({"common_name": [None] * len(ids), "name_value": [f"{i:0200d}" for i in ids], "id": ids},
+                         schema=pa.schema([("common_name", pa.string()), ("name_value", pa.string()), ("id", pa.int64())]))
+        pq.write_table(table, tmp_path / f"{start}.parquet", row_group_size=150_000)
+    del table
+    service, before, most, seen = records.FolderService({"path": str(tmp_path)}), pa.total_allocated_bytes(), 0, []
+    for batch in service.between(100_000, 200_000, names):
+        assert batch.schema.names == names
+        seen += batch["id"].to_pylist()
+        most = max(most, pa.total_allocated_bytes() - before)
+    assert sorted(seen) == list(range(100_001, 200_001))
+    assert most < 16e6  # the rows asked for are 21 MB, those of the folder 62 MB
+    assert [b["name_value"][0].as_py() for b in service.between(6, 7, ["name_value"]) if b.num_rows] == [f"{7:0200d}"]
+
+
 MINUTES = StructType([StructField("time_added", TimestampType()), StructField("classification", StringType())])
 
 

@@ -88,7 +88,9 @@ def src_ct_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(folder)
 
     for part in (F.col("id") <= half, F.col("id") > half):
-        held.filter(part).write.mode("append").parquet(service)
+        # By id, so that the statistics of a file tell which tasks need it.
+        rows = held.filter(part).repartitionByRange("id").sortWithinPartitions("id")
+        rows.write.mode("append").parquet(service)
         jobs.drain(keyed_writer(records.record_stream(spark, service), path, checkpoint, write))
     return read_batches(spark, path, "id bigint, common_name string").drop("run", "batch")
 
